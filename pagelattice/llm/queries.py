@@ -1,13 +1,18 @@
 """Queries of this subpackage, by name: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL where it can say the same."""
 
-from pagelattice.llm import bpe, chat, mixing, tiff, toxicity
+from pagelattice.llm import bpe, chat, ctw, mixing, neardup, substring, tiff, toxicity, vectors, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_tiff": tiff.op2_tiff,
+    "op3_neardup": neardup.op3_neardup,
+    "op4_ctw": ctw.op4_ctw,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substring": substring.op6_substring,
     "op7_bpe": bpe.op7_bpe,
     "op8_chat": chat.op8_chat,
+    "op9_warc": warc.op9_warc,
+    "op10_vectors": vectors.op10_vectors,
 }
 
 SQL = {"op1_mix": mixing.OP1_SQL}

@@ -1,3 +1,61 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, source mix, tokens."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelattice.llm import bpe, mixing, neardup, substring, toxicity
+from pagelattice.llm.common import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on these documents' labels, doesn't reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
+    kept = neardup.groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document with a smaller id has too."""
+    return substring.dedup(docs, length_col="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, in its order, once for each time taken."""
+    return mixing.mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of each row, decoded again as a check: intact."""
+    import public_tokenizers
+
+    rows = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    out = bpe.bpe(rows, public_tokenizers.path(bpe.RANK_FILE), public_tokenizers.PATTERN, ("n_tokens", "ids", "decoded_sha256"))
+    return out.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded_sha256") == F.col("sha")).alias("intact"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", keep_one_of_each),
+    ("substring_dedup", cut_repeated_passages),
+    ("source_mix", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: Learned scores and hashed sketches have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,11 +32,12 @@ FROM raw WHERE length(trim(txt)) > 0
 """
 # A drawing on each box: type, colours, stroke and path operators by arithmetic.
 VECTOR = """
-SELECT page_number, box_id, l, t,
+SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY l, t, r, b, box_id) AS INT) AS box_id, l, t,
   CASE box_id % 4 WHEN 0 THEN l + CAST(6 AS DOUBLE) ELSE r END AS r,
   CASE box_id % 4 WHEN 0 THEN t + CAST(6 AS DOUBLE) WHEN 1 THEN t + CAST(2 AS DOUBLE) ELSE b END AS b,
   CASE box_id % 4 WHEN 0 THEN 'curve' WHEN 1 THEN 'line' WHEN 2 THEN 'rectangle' ELSE 'compound' END AS drawing_type,
   CASE page_number % 3 WHEN 0 THEN '#FFFFFF' WHEN 1 THEN '#336699' ELSE NULL END AS fill_color,
+  CASE WHEN box_id % 2 = 1 THEN '#000000' END AS stroke_color,
   CAST(box_id AS DOUBLE) / 2 AS stroke_width
 FROM box
 """

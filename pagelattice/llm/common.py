@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,47 @@ def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix64(out)
 
 
+#: Bytes of a Bloom filter; beyond about its 8 million bits it lets more through, and stays right.
+BLOOM = 1 << 20
+
+
+def _bits(keys: np.ndarray) -> list[np.ndarray]:
+    h = mix64(keys.view(np.uint64) + _MULTIPLIER)
+    return [(h >> np.uint64(23 * k)) & np.uint64(8 * BLOOM - 1) for k in (0, 1)]
+
+
+def bloom(df: DataFrame, col: str) -> np.ndarray:
+    """A Bloom filter of a column of longs, of a fixed size: for passing over rows that a join
+    would drop, before they are shuffled. Each task sends one filter, a few at a time."""
+
+    def run(batches):
+        bits = np.zeros(8 * BLOOM, bool)
+        for b in batches:
+            keys = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in _bits(keys):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    def merge(batches):
+        total = np.zeros(BLOOM, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                total |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bits"])
+
+    each = map_arrow(df.select(F.col(col).cast("long")), run, "bits binary")
+    few = map_arrow(each.coalesce(8), merge, "bits binary")
+    total = np.zeros(BLOOM, np.uint8)
+    for row in few.toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(total).astype(bool)
+
+
+def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = _bits(keys)
+    return bits[one] & bits[two]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component = smallest node.
 

@@ -1,7 +1,7 @@
 """All layout queries, and their DuckDB SQL, by name."""
 
-from pagelattice.plans import geometry, lines, pages
+from pagelattice.plans import alignment, geometry, layout, lines, pages, tables
 
-MODULES = (geometry, lines, pages)
+MODULES = (geometry, lines, pages, alignment, tables, layout)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

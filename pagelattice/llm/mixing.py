@@ -69,7 +69,7 @@ def schedule(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     digest = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     row = docs.withColumns({"size": word_count(text_col), "_md5": digest, "_source": F.col(source_col)})
     row = row.withColumn("_bucket", F.pmod(F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int"), F.lit(65536)) * buckets / 65536)
-    row = row.withColumn("_bucket", F.col("_bucket").cast("int"))
+    row = row.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(0)))
     per_bucket = row.groupBy("_source", "_bucket").agg(F.sum("size").alias("size"))
     per_bucket = cut(per_bucket)  # read twice: for the sources and for the offsets
     targets = source_targets(per_bucket.withColumnRenamed("_source", "source"), weights, total, repeats)
@@ -104,7 +104,7 @@ def op1_mix(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
+  SELECT doc_id, source, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2 * source_size AS cap FROM s),
@@ -115,7 +115,7 @@ f AS (SELECT min(ord) AS ord, arg_min(level, ord) AS level, arg_min(left_weight,
 t AS (SELECT o.source, o.source_size, CASE WHEN f.ord IS NULL OR o.ord < f.ord THEN CAST(o.cap AS DOUBLE)
     ELSE o.weight * f.level / f.left_weight END AS target FROM o CROSS JOIN f),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
   CAST(size * ((CASE WHEN 2 * start + size <= 2 * target THEN 1 ELSE 0 END)

@@ -91,15 +91,14 @@ def pack_lzw(data: bytes) -> bytes:
         put(table[word])
         table[longer] = len(table) + 2
         size = len(table) + 2
-        if size >= 4094:
+        if size >= 4095:
             reset()
-        elif size >= (1 << width) - 1 and width < 12:
+        elif size >= 1 << width and width < 12:
             width += 1
         word = data[i : i + 1]
     if word:
         put(table[word])
-        size = len(table) + 3
-        if size >= (1 << width) - 1 and width < 12:
+        if len(table) + 3 >= 1 << width and width < 12:
             width += 1
     put(_END)
     if bits:

@@ -55,17 +55,18 @@ def record(kind: str, record_id: str, block: bytes, **fields) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + _CRLF2
 
 
-def records_of(page_id, url: str | None, payload: bytes, refers_to) -> list[bytes]:
-    """The records of one page: a revisit, or a response and, past SEGMENT bytes, its continuations."""
+def records_of(page_id, url: str | None, payload: bytes, refers_to, copy: str | None = None) -> list[bytes]:
+    """The records of one page: a revisit, or a response and, past SEGMENT bytes, its continuations.
+    copy, an extension field, keeps the segments of repeated pages apart."""
     rid, uri = _ID.format(page_id), url or "about:blank"
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        return [record("revisit", rid, block, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{digest(payload)}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=_ID.format(refers_to))]
+        return [record("revisit", rid, block, WARC_X_Copy=copy, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{digest(payload)}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=_ID.format(refers_to))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     first, rest = block[:SEGMENT], [block[i : i + SEGMENT] for i in range(SEGMENT, len(block), SEGMENT)]
-    out = [record("response", rid, first, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{digest(payload)}", WARC_Segment_Number=1 if rest else None)]
+    out = [record("response", rid, first, WARC_X_Copy=copy, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{digest(payload)}", WARC_Segment_Number=1 if rest else None)]
     for k, part in enumerate(rest, 2):
-        out.append(record("continuation", f"{rid[:-1]}/{k}>", part, WARC_Target_URI=uri, WARC_Segment_Origin_ID=rid, WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(rest) + 1 else None))
+        out.append(record("continuation", f"{rid[:-1]}/{k}>", part, WARC_X_Copy=copy, WARC_Target_URI=uri, WARC_Segment_Origin_ID=rid, WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(rest) + 1 else None))
     return out
 
 
@@ -115,7 +116,7 @@ def write(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, made, sides = TaskContext.get().partitionId(), 0, [[], []]
+        task, made, n, sides = TaskContext.get().partitionId(), 0, 0, [[], []]
 
         def blob(side):
             nonlocal made
@@ -126,7 +127,8 @@ def write(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
 
         for b in batches:
             for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                for k, r in enumerate(records_of(*row)):
+                n += 1
+                for k, r in enumerate(records_of(*row, f"{task}-{n}")):
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                     sides[k % 2].append(gz.compress(r) + gz.flush())
                     if sum(map(len, sides[k % 2])) > ARCHIVE and len(sides[k % 2]) % 64 == 0:
@@ -138,15 +140,15 @@ def write(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     return cut(map_arrow(rows, run, "archive string, data binary"))
 
 
-_FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "warc-segment-origin-id")
+_FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "warc-segment-origin-id", "warc-x-copy")
 
 
 def records(archives: DataFrame) -> DataFrame:
-    """The records of all archives: type, record_id, uri, payload_digest, refers_to, origin_id,
+    """The records of all archives: type, record_id, uri, payload_digest, refers_to, origin_id, copy,
     segment, total, block, error. An archive that breaks off gives its records up to there and
     one row of type error."""
-    names = ["type", "record_id", "uri", "payload_digest", "refers_to", "origin_id", "segment", "total", "block", "error"]
-    types = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
+    names = ["type", "record_id", "uri", "payload_digest", "refers_to", "origin_id", "copy", "segment", "total", "block", "error"]
+    types = [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches):
         for b in batches:
@@ -157,7 +159,7 @@ def records(archives: DataFrame) -> DataFrame:
                         whole = [int(f[k]) if f.get(k, "").isdigit() else None for k in ("warc-segment-number", "warc-segment-total-length")]
                         rows.append((*(f.get(k) for k in _FIELDS), *whole, block, None))
                 except (WarcError, ValueError, KeyError, zlib.error) as e:
-                    rows.append(("error", *[None] * 8, f"{type(e).__name__}: {e}"))
+                    rows.append(("error", *[None] * 9, f"{type(e).__name__}: {e}"))
                 for k in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names=names)
 
@@ -169,7 +171,7 @@ def reassemble(found: DataFrame) -> DataFrame:
     """Whole records with their payload: record_id, type, uri, refers_to, payload, payload_bytes,
     payload_digest, error.
 
-    Continuations are grouped with their origin, put in the order of their segment numbers and
+    Continuations are grouped with their origin (and copy), put in the order of their segment numbers and
     checked against the total length; a missing, repeated or surplus segment, a wrong length, a
     broken chunk or a payload that differs from its declared digest give an error and a null
     payload. A group is one record, so it is as large as that record.
@@ -178,7 +180,7 @@ def reassemble(found: DataFrame) -> DataFrame:
     meta = ("type", "uri", "refers_to", "payload_digest")
     whole = found.where("segment is null and type <> 'error'").select("record_id", *meta, F.array(part).alias("parts"))
     head = [F.max(F.when(F.col("type") != "continuation", F.struct(*meta))).alias("head"), F.array_sort(F.collect_list(part)).alias("parts")]
-    cut_up = found.where("segment is not null").groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(*head)
+    cut_up = found.where("segment is not null").groupBy(F.coalesce("origin_id", "record_id").alias("record_id"), "copy").agg(*head)
     every = whole.unionByName(cut_up.select("record_id", "head.*", "parts"))
     names = ["record_id", "type", "uri", "refers_to", "payload", "payload_bytes", "payload_digest", "error"]
     types = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string(), pa.string()]

@@ -15,8 +15,8 @@ from pagelattice.llm.common import map_arrow
 DIM = 1 << 18
 THRESHOLD = 0.3
 #: Bounds of the fitting sample: rows of `labels`, about so many of each kind.
-POSITIVES = 6000
-UNLABELLED = 12000
+POSITIVES = 3000
+UNLABELLED = 6000
 #: A slot is kept if toxic texts have it more often than unlabelled ones by so many standard errors.
 SIGNIFICANT = 5.0
 _WORD = re.compile(r"[^\W\d_]+")

@@ -38,7 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="pagelattice-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing lazy reads any more."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            jvm, jsc = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
@@ -143,7 +154,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         move = cut(move.select(F.col("a").alias("node"), F.least(F.col("best"), rank("a"))["n"].alias("to")))
         left, right = (move.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
         step = live.join(left, "a").join(right, "b").where("a2 <> b2")
-        live = cut(step.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        before, live = live, cut(step.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        discard(before)
         moves.append(move)
     if not moves:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -153,4 +165,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = label.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     # priorities pick the root; the smallest member names the component
     least = label.groupBy("to").agg(F.min(F.least("node", "to")).alias("component"))
-    return label.join(least, "to").select("node", "component")
+    out = cut(label.join(least, "to").select("node", "component"))
+    discard(live, *moves)
+    return out

@@ -158,3 +158,10 @@ def split_blocks(lines: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
     place = F.row_number().over(g.orderBy(*order))
     return rows.withColumn("run", F.element_at(F.aggregate("_f", start, step)["out"], place)).drop("_f")
+
+
+def indents(paragraphs_: DataFrame, keys: list[str], block_type: str = "block_type") -> DataFrame:
+    """Adds left_indent and right_indent against the envelope of the page's text, page numbers left out."""
+    w = Window.partitionBy(*keys)
+    body = lambda f, c: f(F.when(F.col(block_type) != "page_number", F.col(c))).over(w)
+    return paragraphs_.withColumns({"left_indent": F.greatest(F.col("left") - body(F.min, "left"), F.lit(0.0)), "right_indent": F.greatest(body(F.max, "right") - F.col("right"), F.lit(0.0))})

@@ -108,3 +108,21 @@ def action(kind: Column, role: Column, placement: Column, disposition: Column, d
     text = F.when((disposition == "skip") | role.isin("header", "footer") | (placement != "flow") | ~has_layout, "ignore").otherwise("render_paragraph")
     other = F.when(disposition == "skip", "ignore").otherwise(F.concat(F.lit("defer_"), kind))
     return F.when(kind == "table", table).when(kind == "paragraph", text).otherwise(other)
+
+#: Issues that keep a detected alignment out of the file.
+BLOCKING = (
+    "missing_result", "duplicate_result", "reference_mismatch", "paragraph_outside_reference", "center_geometry_conflict", "right_geometry_conflict", "left_geometry_conflict", "justify_geometry_conflict")
+
+
+def layout_plan(paragraphs: DataFrame, order: DataFrame, alignments: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Paragraphs in their order with role and the alignment that is safe to write.
+
+    order: role, reading_order. alignments: alignment, confidence, issue_codes. Paragraphs without an
+    order follow as unassigned, by top and left. An unknown or weak alignment, or one with a blocking
+    issue, isn't applied.
+    """
+    p = paragraphs.join(order, [*keys, id_col], "left").join(alignments, [*keys, id_col], "left")
+    blocked = F.arrays_overlap(F.coalesce("issue_codes", F.array().cast("array<string>")), F.array(*map(F.lit, BLOCKING)))
+    safe = F.col("alignment").isNotNull() & (F.col("alignment") != "unknown") & (F.col("confidence") >= 0.55) & ~blocked
+    w = Window.partitionBy(*keys).orderBy(F.col("reading_order").asc_nulls_last(), "top", "left", id_col)
+    return p.withColumns({"role": F.coalesce("role", F.lit("unassigned")), "word_alignment": F.when(F.coalesce(safe, F.lit(False)), F.col("alignment")), "plan_order": F.row_number().over(w)})

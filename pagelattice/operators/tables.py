@@ -169,3 +169,35 @@ def validated(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     warnings = F.when((made > 0) & (made <= 0.35), 1).otherwise(0)
     t = t.withColumns({"native_confidence": native, "errors": errors.cast("long"), "warnings": warnings.cast("long")})
     return t.select(*keys, "structure_score", "content_score", "merge_score", "reconstruction_score", "native_confidence", "errors", "warnings", decision(F.col("errors"), F.col("warnings"), F.col("native_confidence"), F.lit(False)).alias("decision"))
+
+
+def axis_issues(tables_: DataFrame, segments: DataFrame, keys: list[str], count: str, low: str, high: str, tolerance: float = 1.5) -> DataFrame:
+    """Issues of the row or column definitions of each table: keys, code, severity, k (null for the table).
+
+    segments: k, start, end. Duplicates keep the last by start; order and gaps are judged against the
+    definition before among those with a positive extent.
+    """
+    s = segments.join(tables_.select(*keys, count, low, high), keys)
+    per = tables_.select(*keys, count).join(segments.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").na.fill(0, ["n"])
+    issue = lambda df, code, severity="error", k=None: df.select(*keys, F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(k) if k else F.lit(None).cast("int")).alias("k"))
+    twice = segments.groupBy(*keys, "k").count().where("count > 1")
+    one = s.where((F.col("k") >= 0) & (F.col("k") < F.col(count))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "k").orderBy(F.col("start").desc(), F.col("end").desc()))).where("_r = 1")
+    bad = ~F.coalesce(~F.isnan("start") & ~F.isnan("end") & (F.abs("start") < float("inf")) & (F.abs("end") < float("inf")), F.lit(False))
+    flat = one.where(~bad & (F.col("end") - F.col("start") <= 0))
+    good = one.where(~bad & (F.col("end") - F.col("start") > 0)).withColumn("_p", F.lag("end").over(Window.partitionBy(*keys).orderBy("k")))
+    out = good.where((F.col("start") < F.col(low) - tolerance) | (F.col("end") > F.col(high) + tolerance))
+    parts = [
+        issue(per.where(F.col("n") != F.col(count)), "INCOMPLETE_DEFINITIONS"), issue(twice, "DUPLICATE_INDEX", k="k"), issue(one.where(bad), "NON_FINITE_GEOMETRY", k="k"), issue(flat, "NON_POSITIVE_EXTENT", k="k"), issue(out, "OUTSIDE_TABLE_BOUNDS", k="k"),
+        issue(good.where(F.col("start") < F.col("_p") - tolerance), "NON_MONOTONIC_GEOMETRY", k="k"), issue(good.where(F.abs(F.col("start") - F.col("_p")) > tolerance), "BOUNDARY_GAP", "warning", "k")]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def axis_score(issues: DataFrame, tables_: DataFrame, segments: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """keys, score: the share of usable definitions, less 0.12 for each error."""
+    usable = segments.where("k >= 0 and end > start").join(tables_.select(*keys, count), keys).where(F.col("k") < F.col(count)).groupBy(*keys).agg(F.count_distinct("k").alias("ok"))
+    errors = issues.where("severity = 'error'").groupBy(*keys).agg(F.count("*").alias("e"))
+    t = tables_.select(*keys, count).join(usable, keys, "left").join(errors, keys, "left").na.fill(0, ["ok", "e"])
+    return t.select(*keys, F.least(F.greatest(F.col("ok") / F.greatest(F.col(count), F.lit(1)) - F.col("e") * 0.12, _d(0)), _d(1)).alias("score"))

@@ -185,9 +185,22 @@ def containing_regions(spark, sf_dir):
 CONTAINING_REGIONS = _I + """, p AS (SELECT i.page_number, i.box_id, min(CASE WHEN greatest(least(i.r, x.r) - greatest(i.l, x.l), CAST(0 AS DOUBLE)) * greatest(least(i.b, x.b) - greatest(i.t, x.t), CAST(0 AS DOUBLE)) / greatest((i.r - i.l) * (i.b - i.t), CAST(1 AS DOUBLE)) >= CAST(0.75 AS DOUBLE)
   THEN {'a': greatest((x.r - x.l) * (x.b - x.t), CAST(1 AS DOUBLE)), 'b': x.box_id} END).b AS region_id FROM i2 i JOIN i2 x ON i.page_number = x.page_number AND i.kind = 'paragraph' AND x.kind <> 'paragraph' GROUP BY ALL) SELECT * FROM p"""
 
+def layout_plan(spark, sf_dir):
+    """Boxes as paragraphs with an order for most of them and alignments that may be blocked."""
+    v = view(spark, sf_dir, "vector")
+    p = v.select("page_number", "box_id", F.col("l").alias("left"), F.col("t").alias("top"))
+    order = v.where("box_id % 4 <> 0").select("page_number", "box_id", F.lit("body").alias("role"), (F.lit(100) - F.col("box_id")).alias("reading_order"))
+    codes = F.when(F.col("box_id") % 3 == 0, F.array(F.lit("low_confidence"), F.lit("reference_mismatch"))).otherwise(F.array().cast("array<string>"))
+    align = v.where("box_id % 5 <> 0").select("page_number", "box_id", F.when(F.col("box_id") % 7 == 0, "unknown").otherwise("center").alias("alignment"), F.when(F.col("page_number") % 2 == 0, 0.5).otherwise(0.8).alias("confidence"), codes.alias("issue_codes"))
+    return render.layout_plan(p, order, align, ["page_number"], "box_id").select("page_number", "box_id", "role", "word_alignment", "plan_order")
+
+
+LAYOUT_PLAN = duckdb("vector") + """ SELECT page_number, box_id, CASE WHEN box_id % 4 <> 0 THEN 'body' ELSE 'unassigned' END AS role, CASE WHEN box_id % 5 <> 0 AND box_id % 7 <> 0 AND page_number % 2 <> 0 AND box_id % 3 <> 0 THEN 'center' END AS word_alignment,
+  CAST(row_number() OVER (PARTITION BY page_number ORDER BY CASE WHEN box_id % 4 <> 0 THEN 100 - box_id END NULLS LAST, t, l, box_id) AS INT) AS plan_order FROM vector"""
+
 QUERIES = {
     "repeated_bands": repeated_bands, "body_boxes": body_boxes, "page_columns": page_columns, "reading_order": reading_order, "page_paragraphs": page_paragraphs, "paragraph_spacing": paragraph_spacing, "section_groups": section_groups, "page_size_groups": page_size_groups,
-    "suppressed_paragraphs": suppressed_paragraphs, "render_order": render_order, "render_actions": render_actions, "containing_regions": containing_regions}
+    "suppressed_paragraphs": suppressed_paragraphs, "render_order": render_order, "render_actions": render_actions, "containing_regions": containing_regions, "layout_plan": layout_plan}
 SQL = {
     "repeated_bands": REPEATED_BANDS, "body_boxes": BODY_BOXES, "reading_order": READING_ORDER, "paragraph_spacing": PARAGRAPH_SPACING, "section_groups": SECTION_GROUPS, "suppressed_paragraphs": SUPPRESSED_PARAGRAPHS,
-    "render_order": RENDER_ORDER, "render_actions": RENDER_ACTIONS, "containing_regions": CONTAINING_REGIONS}
+    "render_order": RENDER_ORDER, "render_actions": RENDER_ACTIONS, "containing_regions": CONTAINING_REGIONS, "layout_plan": LAYOUT_PLAN}

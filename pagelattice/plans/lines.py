@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import numbers as N
 from pagelattice.functions import text as X
-from pagelattice.operators import lists
+from pagelattice.operators import lists, paragraphs
 from pagelattice.operators.fonts import font_statistics
 from pagelattice.sources.bridge import duckdb, view
 
@@ -159,9 +159,40 @@ SELECT p_partkey, printf('#%02X%02X%02X', k >> 16, (k >> 8) & 255, k & 255) AS h
   CASE WHEN abs(w - h) / greatest(w, h, CAST(1 AS DOUBLE)) <= CAST(0.03 AS DOUBLE) THEN 'square' WHEN w > h THEN 'landscape' ELSE 'portrait' END AS orientation,
   abs(w - h) <= greatest(CAST(1 AS DOUBLE), greatest(abs(w), abs(h)) * CAST(0.002 AS DOUBLE)) AS square, p_size & 16 <> 0 AS bold, p_size & 2 <> 0 OR regexp_matches(lower(p_type), 'italic|oblique') AS italic FROM p"""
 
+def standalone_markers(spark, sf_dir):
+    """Rows that are only a marker, and the rows they are attached to; every ninth text is cut to its marker."""
+    i = _items(spark, sf_dir)
+    cut = F.when((F.col("line_index") % 4 == 1) & F.col("marker").isNotNull(), F.col("marker")).otherwise(F.col("text"))
+    i = i.withColumns({"text": cut, "right": F.when(cut == F.col("marker"), F.col("left") + 8).otherwise(F.col("right")), "top": F.col("top") - F.when(F.col("line_index") % 4 == 2, 14.0).otherwise(0.0), "bottom": F.col("bottom") - F.when(F.col("line_index") % 4 == 2, 14.0).otherwise(0.0), "left": F.col("left") + F.when(F.col("line_index") % 4 == 2, 30.0).otherwise(0.0)})
+    i = i.withColumn("list_type", F.when(F.col("line_index") % 4 != 2, F.col("list_type")))
+    out = lists.attach_standalone(i, _KEYS, _ORDER)
+    return out.where("marker_only or attached_marker is not null").select("doc_id", "line_index", "marker_only", "attached_marker")
+
+
+STANDALONE_MARKERS = _MARKED + """, i AS (SELECT doc_id, page_number, line_index, marker, CASE WHEN line_index % 4 = 1 AND marker IS NOT NULL THEN marker ELSE text END AS text, l + CASE WHEN line_index % 4 = 2 THEN CAST(30 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS l, t - CASE WHEN line_index % 4 = 2 THEN CAST(14 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS t,
+  CASE WHEN (CASE WHEN line_index % 4 = 1 AND marker IS NOT NULL THEN marker ELSE text END) = marker THEN l + 8 ELSE r END AS r, b - CASE WHEN line_index % 4 = 2 THEN CAST(14 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS b, CASE WHEN line_index % 4 <> 2 THEN list_type END AS list_type FROM n),
+j AS (SELECT *, lead(l) OVER w AS nl, lead(t) OVER w AS nt, lead(b) OVER w AS nb, lead(text) OVER w AS nx, lead(list_type) OVER w AS ny FROM i WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index)),
+k AS (SELECT *, coalesce(marker IS NOT NULL AND trim(text) = marker AND ny IS NULL AND trim(nx) <> '' AND nl > l AND nl - r BETWEEN -2 AND 72 AND (greatest(least(b, nb) - greatest(t, nt), CAST(0 AS DOUBLE)) / least(greatest(b - t, CAST(1 AS DOUBLE)), greatest(nb - nt, CAST(1 AS DOUBLE))) >= CAST(0.45 AS DOUBLE) OR abs((t + b) / 2 - (nt + nb) / 2) <= 8), false) AS marker_only FROM j),
+z AS (SELECT *, CASE WHEN lag(marker_only) OVER w THEN lag(marker) OVER w END AS attached_marker FROM k WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index))
+SELECT doc_id, line_index, marker_only, attached_marker FROM z WHERE marker_only OR attached_marker IS NOT NULL"""
+
+
+def block_paragraphs(spark, sf_dir):
+    """Paragraphs of blocks of eight lines, split where the font changes (ordered fold; no SQL form)."""
+    line = view(spark, sf_dir, "line").withColumn("block", F.floor(F.col("line_index") / 8).cast("int"))
+    return paragraphs.split_blocks(line.select("doc_id", "block", "line_index", "text", "font_size"), ["doc_id", "block"], ["line_index"]).select("doc_id", "line_index", "run")
+
+
+def line_indents(spark, sf_dir):
+    line = view(spark, sf_dir, "line").select("doc_id", "page_number", "line_index", F.col("l").alias("left"), F.col("r").alias("right"), F.when(F.col("line_index") % 8 == 0, "page_number").otherwise("paragraph").alias("block_type"))
+    return paragraphs.indents(line, _KEYS).select("doc_id", "line_index", "left_indent", "right_indent")
+
+
+LINE_INDENTS = duckdb("line") + """ SELECT doc_id, line_index, greatest(l - min(CASE WHEN line_index % 8 <> 0 THEN l END) OVER w, CAST(0 AS DOUBLE)) AS left_indent, greatest(max(CASE WHEN line_index % 8 <> 0 THEN r END) OVER w - r, CAST(0 AS DOUBLE)) AS right_indent FROM line WINDOW w AS (PARTITION BY doc_id, page_number)"""
+
 QUERIES = {
     "line_marker_kinds": line_marker_kinds, "marker_values": marker_values, "list_sequences": list_sequences, "numbering_restarts": numbering_restarts, "indent_levels": indent_levels,
-    "font_stats": font_stats, "block_classes": block_classes, "text_normalize": text_normalize, "font_names": font_names, "color_and_units": color_and_units}
+    "font_stats": font_stats, "block_classes": block_classes, "text_normalize": text_normalize, "font_names": font_names, "standalone_markers": standalone_markers, "block_paragraphs": block_paragraphs, "line_indents": line_indents, "color_and_units": color_and_units}
 SQL = {
     "line_marker_kinds": LINE_MARKER_KINDS, "marker_values": MARKER_VALUES, "list_sequences": LIST_SEQUENCES, "numbering_restarts": NUMBERING_RESTARTS,
-    "font_stats": FONT_STATS, "block_classes": BLOCK_CLASSES, "text_normalize": TEXT_NORMALIZE, "font_names": FONT_NAMES, "color_and_units": COLOR_AND_UNITS}
+    "font_stats": FONT_STATS, "block_classes": BLOCK_CLASSES, "text_normalize": TEXT_NORMALIZE, "font_names": FONT_NAMES, "standalone_markers": STANDALONE_MARKERS, "line_indents": LINE_INDENTS, "color_and_units": COLOR_AND_UNITS}

@@ -144,9 +144,37 @@ CELL_CONTENT = duckdb("box") + """, c AS (SELECT page_number, box_id AS cell, l
 SELECT c.page_number, cell, span, cl, l FROM c JOIN s ON c.page_number = s.page_number AND (((l + r) / 2 BETWEEN cl - CAST(1.5 AS DOUBLE) AND cr + CAST(1.5 AS DOUBLE) AND (t + b) / 2 BETWEEN ct - CAST(1.5 AS DOUBLE) AND cb + CAST(1.5 AS DOUBLE))
   OR greatest(least(r, cr) - greatest(l, cl), CAST(0 AS DOUBLE)) * greatest(least(b, cb) - greatest(t, ct), CAST(0 AS DOUBLE)) / greatest((r - l) * (b - t), CAST(1 AS DOUBLE)) >= CAST(0.55 AS DOUBLE))"""
 
+def _segments(spark, sf_dir):
+    t = _table(spark, sf_dir, GRID_TABLES)
+    seg = "SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS INT) AS k, CAST(20 + 30 * (l_linenumber - 1) + l_partkey % 4 AS DOUBLE) AS start, CAST(20 + 30 * l_linenumber - l_suppkey % 33 AS DOUBLE) AS \"end\" FROM lineitem"
+    return t, _table(spark, sf_dir, seg)
+
+
+def row_issues(spark, sf_dir):
+    t, s = _segments(spark, sf_dir)
+    return tables.axis_issues(t, s, _KEY, "row_count", "top", "bottom")
+
+
+_SEG = _WITH + """, s AS (SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS INT) AS k, CAST(20 + 30 * (l_linenumber - 1) + l_partkey % 4 AS DOUBLE) AS a, CAST(20 + 30 * l_linenumber - l_suppkey % 33 AS DOUBLE) AS z FROM lineitem),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id, k ORDER BY a DESC, z DESC) AS r FROM s WHERE k BETWEEN 0 AND 2) WHERE r = 1), g AS (SELECT *, lag(z) OVER (PARTITION BY table_id ORDER BY k) AS p FROM o WHERE z > a),
+n AS (SELECT tb.table_id, count(s.k) AS n FROM tb LEFT JOIN s USING (table_id) GROUP BY tb.table_id),
+ri AS (SELECT table_id, 'INCOMPLETE_DEFINITIONS' AS code, 'error' AS severity, CAST(NULL AS INT) AS k FROM n WHERE n <> 3 UNION ALL SELECT table_id, 'DUPLICATE_INDEX', 'error', k FROM s GROUP BY table_id, k HAVING count(*) > 1
+UNION ALL SELECT table_id, 'NON_POSITIVE_EXTENT', 'error', k FROM o WHERE z <= a UNION ALL SELECT table_id, 'OUTSIDE_TABLE_BOUNDS', 'error', k FROM g WHERE a < CAST(18.5 AS DOUBLE) OR z > CAST(111.5 AS DOUBLE)
+UNION ALL SELECT table_id, 'NON_MONOTONIC_GEOMETRY', 'error', k FROM g WHERE a < p - CAST(1.5 AS DOUBLE) UNION ALL SELECT table_id, 'BOUNDARY_GAP', 'warning', k FROM g WHERE abs(a - p) > CAST(1.5 AS DOUBLE))"""
+ROW_ISSUES = _SEG + " SELECT * FROM ri"
+
+
+def row_scores(spark, sf_dir):
+    t, s = _segments(spark, sf_dir)
+    return tables.axis_score(tables.axis_issues(t, s, _KEY, "row_count", "top", "bottom"), t, s, _KEY, "row_count")
+
+
+ROW_SCORES = _SEG + """, u AS (SELECT table_id, count(DISTINCT k) AS ok FROM s WHERE k BETWEEN 0 AND 2 AND z > a GROUP BY table_id), e AS (SELECT table_id, count(*) AS e FROM ri WHERE severity = 'error' GROUP BY table_id)
+SELECT table_id, least(greatest(coalesce(ok, 0) / CAST(3 AS DOUBLE) - coalesce(e, 0) * CAST(0.12 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS score FROM tb LEFT JOIN u USING (table_id) LEFT JOIN e USING (table_id)"""
+
 QUERIES = {
     "grid_boundaries": grid_boundaries, "grid_missing": grid_missing, "grid_ownership_issues": grid_ownership_issues, "table_normalized": table_normalized, "table_validation": table_validation,
-    "merge_proposals": merge_proposals, "accepted_merges": accepted_merges, "cell_content": cell_content}
+    "merge_proposals": merge_proposals, "accepted_merges": accepted_merges, "cell_content": cell_content, "row_issues": row_issues, "row_scores": row_scores}
 SQL = {
     "grid_boundaries": GRID_BOUNDARIES, "grid_missing": GRID_MISSING, "grid_ownership_issues": GRID_OWNERSHIP_ISSUES, "table_normalized": TABLE_NORMALIZED, "table_validation": TABLE_VALIDATION,
-    "merge_proposals": MERGE_PROPOSALS, "cell_content": CELL_CONTENT}
+    "merge_proposals": MERGE_PROPOSALS, "cell_content": CELL_CONTENT, "row_issues": ROW_ISSUES, "row_scores": ROW_SCORES}

@@ -169,12 +169,12 @@ def standalone_markers(spark, sf_dir):
     return out.where("marker_only or attached_marker is not null").select("doc_id", "line_index", "marker_only", "attached_marker")
 
 
-STANDALONE_MARKERS = _MARKED + """, i AS (SELECT doc_id, page_number, line_index, marker, CASE WHEN line_index % 4 = 1 AND marker IS NOT NULL THEN marker ELSE text END AS text, l + CASE WHEN line_index % 4 = 2 THEN CAST(30 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS l, t - CASE WHEN line_index % 4 = 2 THEN CAST(14 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS t,
+STANDALONE_MARKERS = _MARKED + """, sa AS (SELECT doc_id, page_number, line_index, marker, CASE WHEN line_index % 4 = 1 AND marker IS NOT NULL THEN marker ELSE text END AS text, l + CASE WHEN line_index % 4 = 2 THEN CAST(30 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS l, t - CASE WHEN line_index % 4 = 2 THEN CAST(14 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS t,
   CASE WHEN (CASE WHEN line_index % 4 = 1 AND marker IS NOT NULL THEN marker ELSE text END) = marker THEN l + 8 ELSE r END AS r, b - CASE WHEN line_index % 4 = 2 THEN CAST(14 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS b, CASE WHEN line_index % 4 <> 2 THEN list_type END AS list_type FROM n),
-j AS (SELECT *, lead(l) OVER w AS nl, lead(t) OVER w AS nt, lead(b) OVER w AS nb, lead(text) OVER w AS nx, lead(list_type) OVER w AS ny FROM i WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index)),
-k AS (SELECT *, coalesce(marker IS NOT NULL AND trim(text) = marker AND ny IS NULL AND trim(nx) <> '' AND nl > l AND nl - r BETWEEN -2 AND 72 AND (greatest(least(b, nb) - greatest(t, nt), CAST(0 AS DOUBLE)) / least(greatest(b - t, CAST(1 AS DOUBLE)), greatest(nb - nt, CAST(1 AS DOUBLE))) >= CAST(0.45 AS DOUBLE) OR abs((t + b) / 2 - (nt + nb) / 2) <= 8), false) AS marker_only FROM j),
-z AS (SELECT *, CASE WHEN lag(marker_only) OVER w THEN lag(marker) OVER w END AS attached_marker FROM k WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index))
-SELECT doc_id, line_index, marker_only, attached_marker FROM z WHERE marker_only OR attached_marker IS NOT NULL"""
+sb AS (SELECT *, lead(l) OVER w AS nl, lead(t) OVER w AS nt, lead(b) OVER w AS nb, lead(text) OVER w AS nx, lead(list_type) OVER w AS ny FROM sa WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index)),
+sc AS (SELECT *, coalesce(marker IS NOT NULL AND trim(text) = marker AND ny IS NULL AND trim(nx) <> '' AND nl > l AND nl - r BETWEEN -2 AND 72 AND (greatest(least(b, nb) - greatest(t, nt), CAST(0 AS DOUBLE)) / least(greatest(b - t, CAST(1 AS DOUBLE)), greatest(nb - nt, CAST(1 AS DOUBLE))) >= CAST(0.45 AS DOUBLE) OR abs((t + b) / 2 - (nt + nb) / 2) <= 8), false) AS marker_only FROM sb),
+sd AS (SELECT *, CASE WHEN lag(marker_only) OVER w THEN lag(marker) OVER w END AS attached_marker FROM sc WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_index))
+SELECT doc_id, line_index, marker_only, attached_marker FROM sd WHERE marker_only OR attached_marker IS NOT NULL"""
 
 
 def block_paragraphs(spark, sf_dir):

@@ -11,12 +11,13 @@
    chance that they share none is 0.25 ** 48.
 3. Pairs that meet are filtered by the similarity that the sketch of their union estimates, with
    more than five standard errors of room, and confirmed on the full sets.
-4. A member of a large group need not have met those that it is similar to. But it has met others
-   of the group, and some of these almost pass. So where a pair that met has a similarity of ALMOST
-   or more and isn't joined, the one in the smaller component is compared with what the NEAREST of
-   those that almost pass are linked to, and so on from the pairs this yields, nearer each time,
-   until none yields a link. A document has at most as many links here as it has met others, so this
-   grows with the documents.
+4. What the lists of more than SHORT classes have left out is made up for. A pair that passes the
+   filter and shares a value of a shorter list has met; any other shares so many values of long lists
+   that one is in the rarest few of both (a prefix filter), which only members of large groups have.
+   In each such list all pairs that aren't in one component yet are filtered as in 3, in cells of at
+   most about CELL rows a side, and confirmed there, so that no pair becomes a row; a cell returns a
+   spanning forest of its links. Members that the first links have joined are never compared with
+   each other, so a list costs its size times those outside its largest component.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ NEIGHBOURS = 2
 SIMILAR = (75, 100)
 #: A pair stays if the union's sketch shares more than this part; more than five errors of K = 48 below 0.75.
 ESTIMATE = 0.42
-ALMOST = 0.62
-NEAREST = 2
+#: Rows of a side of a cell, about.
+CELL = 256
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -143,9 +144,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(part > ESTIMATE).select("a", "b")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, set) of the documents (node, text) that pairs name."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the documents (node, text) that wanted (node) names."""
     # a filter of fixed size leaves most other texts out before the join, which is merged at every size
     bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "node"))
 
@@ -163,38 +163,147 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(map_arrow(texts, run, "node long, set binary"))
 
 
-def _apart(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """(u, x, part) of pairs that almost pass and aren't joined; u is in the smaller component."""
-    sized = joined.join(joined.groupBy("component").agg(F.count("*").alias("size")), "component")
-    side = lambda c: sized.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"n{c}"))
-    pairs = met.where(~F.col("similar") & (F.col("part") >= ALMOST)).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    pairs = pairs.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").na.fill(1, ["na", "nb"])
-    less = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))
-    return pairs.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("x"), "part")
+def hot_values(postings: DataFrame) -> DataFrame:
+    """(v, times) of the values v whose list in postings (v, node) has more than SHORT nodes."""
+    return postings.groupBy("v").agg(F.count("*").alias("times")).where(F.col("times") > SHORT)
 
 
-def _walk(met: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
-    """More links (a, b) between components, see 4."""
-    links = met.where("similar").select("a", "b")
-    near = links.select(F.col("a").alias("x"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("w")))
-    open_, seen, more = cut(_apart(met, joined)), met.select("a", "b"), links.where("false")
-    followed = open_.select("u", "x").where("false")
-    while not open_.isEmpty():
-        best = open_.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("p"), "x"))), 1, NEAREST).alias("best"))
-        best = cut(best.select("u", F.explode("best.x").alias("x")).join(followed, ["u", "x"], "left_anti"))
-        followed = followed.unionByName(best)
-        asked = best.join(near, "x").select("u", F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
-        asked = cut(asked.join(seen, ["a", "b"], "left_anti"))
-        found = cut(compared(asked, sets))
-        links = found.where("similar").select("a", "b")
-        if links.isEmpty():
-            break
-        more, seen = more.unionByName(links), seen.unionByName(asked.select("a", "b"))
-        # the nearest so far and the new ones, of those without a link yet
-        next_ = found.where("not similar").join(asked, ["a", "b"]).select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), "part").where(F.col("part") >= ALMOST)
-        done = links.join(asked, ["a", "b"]).select("u").distinct()
-        open_ = cut(open_.unionByName(next_).join(done, "u", "left_anti"))
-    return more
+def unmet(entries: DataFrame, joined: DataFrame, sets_of, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Links (a, b) between different components of all pairs that share a list, up to what a spanning
+    forest of each cell leaves out.
+
+    entries: v, node, n, of (the sorted values of the node's entries), sketch (empty: no estimate).
+    sets_of makes a table (node, set) of those that a table (node) names, which may have more. A list is
+    dealt over cells by salts of the nodes: those outside its largest component, in blocks, against all
+    of it, in blocks. Both grow with the list, so a cell has about 2 * CELL rows.
+    """
+    component = joined.select("node", F.col("component").alias("c"))
+    named = cut(entries.select("v", "node").join(component, "node", "left").select("v", "node", F.coalesce("c", "node").alias("c")))
+    sizes = named.groupBy("v", "c").agg(F.count("*").alias("times"))
+    lists = sizes.groupBy("v").agg(F.sum("times").alias("m"), F.max(F.struct("times", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    lists = lists.select("v", F.col("most.c").alias("most"), F.ceil(F.col("m") / CELL).alias("across"), F.ceil((F.col("m") - F.col("most.times")) / CELL).alias("down"))
+    placed = named.join(lists, "v").withColumn("outer", F.col("c") != F.col("most"))
+    salt = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    left = placed.where("outer").select("v", "node", "c", "outer", F.lit(True).alias("left"), salt("down", 1).alias("i"), every("across").alias("j"))
+    right = placed.select("v", "node", "c", "outer", F.lit(False).alias("left"), every("down").alias("i"), salt("across", 2).alias("j"))
+    full = entries.select("node", "n", "of", "sketch").dropDuplicates(["node"])
+    cells = left.unionByName(right).join(full, "node")
+
+    def padded(col):
+        width = np.diff(col.offsets.to_numpy())
+        out = np.zeros((len(width), max(int(width.max(initial=0)), 1)), np.int64)
+        out[np.arange(out.shape[1]) < width[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
+        return out, width
+
+    def run(table):
+        t = table.combine_chunks()
+        get = lambda k: t.column(k).to_numpy()
+        v, node, c, n, outer, is_left = int(get("v")[0]), get("node"), get("c"), get("n"), get("outer"), get("left")
+        of, of_n = padded(t.column("of").combine_chunks())
+        sketch, sketch_n = padded(t.column("sketch").combine_chunks())
+        right = np.flatnonzero(~is_left)
+        asks, asked = {}, np.zeros(len(node), bool)
+        for k in np.flatnonzero(is_left):
+            at = right[(c[right] != c[k]) & (~outer[right] | (node[right] > node[k]))]
+            at = at[np.minimum(n[at], n[k]) * ratio[1] >= np.maximum(n[at], n[k]) * ratio[0]]
+            at = at[_first_shared(of[k, : of_n[k]], of[at], of_n[at]) == v] if len(at) else at
+            if sketch_n[k] and len(at):
+                at = at[_estimates(sketch[k, : sketch_n[k]], sketch[at], sketch_n[at]) > ESTIMATE]
+            if len(at):
+                asks[int(k)] = node[at].tobytes()
+                asked[at] = True
+        rows = np.array(sorted(asks) + [k for k in np.flatnonzero(asked)], np.int64)
+        with_ = [asks[int(k)] for k in sorted(asks)] + [None] * int(asked.sum())
+        cell = [np.full(len(rows), int(get(k)[0]) if t.num_rows else 0, np.int64) for k in ("v", "i", "j")]
+        return pa.table([*map(pa.array, cell), pa.array(node[rows]), pa.array(c[rows]), pa.array(with_, pa.binary())], names=["v", "i", "j", "node", "c", "asks"])
+
+    asking = cut(cells.groupBy("v", "i", "j").applyInArrow(run, "v long, i long, j long, node long, c long, asks binary"))
+    discard(named)
+    if asking.isEmpty():
+        return asking.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    def verify(table):
+        t = table.combine_chunks()
+        node, c, asks, col = t.column("node").to_numpy(), t.column("c").to_numpy(), t.column("asks").to_pylist(), t.column("set")
+        sets = {int(x): np.frombuffer(y.as_buffer(), np.uint64) for x, y in zip(node, col, strict=True)}
+        part, up, a, b = dict(zip(node.tolist(), c.tolist(), strict=True)), {}, [], []
+
+        def root(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        for u, ask in zip(node.tolist(), asks, strict=True):
+            others = np.frombuffer(ask, np.int64).tolist() if ask else []
+            for s in range(0, len(others), 64):
+                mine = root(part[u])
+                some = [x for x in others[s : s + 64] if root(part[x]) != mine]
+                if not some:
+                    continue
+                sizes = np.array([len(sets[x]) for x in some])
+                flat, own = np.concatenate([sets[x] for x in some]), sets[u]
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in np.flatnonzero((both > 0) & (ratio[1] * both >= ratio[0] * (sizes + len(own) - both))):
+                    x, y = root(part[u]), root(part[some[k]])
+                    if x != y:
+                        up[x] = y
+                        a.append(min(u, some[k]))
+                        b.append(max(u, some[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = sets_of(asking.select("node").distinct())
+    out = cut(asking.join(sets, "node").groupBy("v", "i", "j").applyInArrow(verify, "a long, b long"))
+    discard(asking, sets)
+    return out
+
+
+def _found(value: np.ndarray, rows: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted value would stand each number of rows, and whether it has it; rows are padded."""
+    at = np.searchsorted(value, rows)
+    return at, (value[np.minimum(at, len(value) - 1)] == rows) & (np.arange(rows.shape[1]) < width[:, None])
+
+
+def _first_shared(value: np.ndarray, rows: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The smallest number that value and each of the sorted rows share; they share one."""
+    hit = _found(value, rows, width)[1]
+    return rows[np.arange(len(rows)), hit.argmax(axis=1)]
+
+
+def _estimates(value: np.ndarray, rows: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The part of the union's sketch that a sketch shares with each of the rows, as in _estimated."""
+    at, hit = _found(value, rows, width)
+    shared = np.cumsum(hit, axis=1)
+    place = np.arange(1, rows.shape[1] + 1) + at - (shared - hit)  # in the sorted union, from 1
+    union = np.minimum(len(value) + width - shared[:, -1], K)
+    return (hit & (place <= K)).sum(axis=1) / union
+
+
+def _rarest(classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """Entries for unmet(): of the values of long lists that a sketch has, the rarest. A pair that passes the
+    estimate shares more than ESTIMATE of either sketch, so beyond all but that many it must have one in common."""
+    hot = cut(hot_values(postings))
+    bits = classes.sparkSession.sparkContext.broadcast(bloom(hot, "v"))
+
+    def run(batches):
+        for b in batches:
+            col = b.column(b.schema.get_field_index("sketch"))
+            values, width = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(col.offsets.to_numpy())
+            row = np.repeat(np.arange(len(width)), width)
+            hit = maybe_in(bits.value, values) if len(values) else np.zeros(0, bool)
+            ok = hit & (np.bincount(row[hit], minlength=len(width)) > ESTIMATE * width)[row]
+            node = b.column(b.schema.get_field_index("rep")).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[row[ok]]), pa.array(values[ok])], names=["node", "v"])
+
+    some = map_arrow(classes.select("rep", "sketch"), run, "node long, v long").join(hot, "v")
+    rows = some.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "v"))).alias("all"))
+    rows = rows.join(classes.select(F.col("rep").cast("long").alias("node"), "n", "sketch"), "node")
+    spare = F.size("all") - F.floor(F.size("sketch") * F.lit(ESTIMATE)).cast("int")
+    rows = rows.withColumn("of", F.sort_array(F.slice("all.v", 1, F.greatest(spare, F.lit(0)))))
+    out = cut(rows.where(spare > 0).select("node", "n", "of", "sketch", F.explode("of").alias("v")))
+    discard(hot)
+    return out
 
 
 def _entries(sketch):
@@ -221,13 +330,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     postings = classes.select(F.col("rep").alias("node"), "n", F.inline(_entries(F.col("sketch"))))
     pairs = cut(_estimated(meeting_pairs(postings), classes))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    sets = _sets(texts, pairs)
+    sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     met = cut(compared(pairs, sets))
-    joined = components(met.where("similar"))
-    more = cut(_walk(met, sets, joined))
+    links = met.where("similar").select("a", "b")
+    joined = components(links)
+    entries = _rarest(classes, postings)
+    more = unmet(entries, joined, lambda wanted: _sets(texts, wanted))
+    discard(entries)
     if not more.isEmpty():
         discard(joined)
-        joined = components(met.where("similar").select("a", "b").unionByName(more))
+        joined = components(links.unionByName(more))
     discard(pairs, sets, met, more)
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n_shingles", "print").join(named, "print", "left")

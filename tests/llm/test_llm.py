@@ -401,3 +401,17 @@ def test_registered_queries():
     from pagelattice.llm.queries import QUERIES, SQL
 
     assert [q.split("_")[0] for q in QUERIES] == [f"op{k}" for k in range(1, 11)] and set(SQL) <= set(QUERIES)
+
+
+def test_near_duplicates_of_large_varied_groups_are_all_found(spark):
+    rng = random.Random(31)
+    texts = []
+    for g in range(3):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(110)]
+        for k in range(250):
+            w = list(base)
+            for at in rng.sample(range(110), rng.randint(2, 4)):
+                w[at] = f"edit{rng.random()}"
+            texts.append((g * 1000 + k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.groups(docs(spark, texts)).collect()}
+    assert got == brute_groups(texts)

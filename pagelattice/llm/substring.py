@@ -4,8 +4,9 @@ Two kinds of paragraphs are looked for, over the whole of every text.
 
 Blocks are the stretches between line ends, from WORDS words on. Equal blocks form a class. Classes
 collide by bands of ROWS MinHashes; BANDS of them find a pair of Jaccard similarity 0.75 with a
-chance of 0.96, one of 0.85 with 0.997. Colliding classes are confirmed on their full sets of word
-shingles, and components of the links are the clusters.
+chance of 0.988, one of 0.85 with 0.9995. Colliding classes are confirmed on their full sets of word
+shingles, and components of the links are the clusters. In the lists of bands that many classes have
+only neighbours meet at first; the others that aren't in one component then are compared in cells.
 
 Windows find passages that stand inside other text: from each start of a sentence to the first end
 of one at least WINDOW words on, so that a passage has the same windows wherever it stands. Equal
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import bloom, components, cut, discard, map_arrow, maybe_in, mix64, partitions, shingle_hashes, word_hashes, words_of
-from pagelattice.llm.neardup import confirm, meeting_pairs
+from pagelattice.llm.neardup import confirm, hot_values, meeting_pairs, unmet
 
 WORDS, WINDOW, SHORTEST = 25, 12, 25
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 8, 3
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -94,6 +95,13 @@ def _node(shingles: np.ndarray) -> tuple[int, np.ndarray]:
 _PLACE = "sw int, ew int, start int, end int"
 
 
+def _small(batches, rows: int = 1000):
+    """The batches in pieces, so that what a worker makes of one stays small."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def _parts(docs: DataFrame) -> DataFrame:
     """One row per document: its windows and its blocks with their bands, as arrays."""
     schema = f"doc_id long, windows array<struct<node: long, {_PLACE.replace(' int', ': int')}>>, blocks array<struct<node: long, n: int, bands: array<bigint>, {_PLACE.replace(' int', ': int')}>>"
@@ -103,7 +111,7 @@ def _parts(docs: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=names))
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             nw, win, nb, blk, keys = [], [], [], [], []
             for text in b.column(b.schema.get_field_index("text")):
                 w = Words(text.as_py() or "")
@@ -230,7 +238,7 @@ def _block_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(node, set) of the blocks whose node may be in the filter."""
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             nodes, sets = [], []
             for text in b.column(b.schema.get_field_index("text")):
                 w = Words(text.as_py() or "")
@@ -255,9 +263,15 @@ def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> D
     postings = classes.select(names, F.lit(0).cast("long").alias("c2"), "node", F.col("n").cast("long").alias("n"))
     pairs = cut(meeting_pairs(postings).select("a", "b"))
     wanted = bloom(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
-    links = confirm(pairs, _block_sets(docs, wanted))
+    links = cut(confirm(pairs, _block_sets(docs, wanted)))
     joined = components(links)
-    made += [classes, pairs, joined]
+    some = postings.select("node", "n", "v").join(hot_values(postings), "v").groupBy("node", "n").agg(F.sort_array(F.collect_list("v")).alias("of"))
+    entries = cut(some.select("node", "n", "of", F.array().cast("array<bigint>").alias("sketch"), F.explode("of").alias("v")))
+    more = unmet(entries, joined, lambda wanted: _block_sets(docs, bloom(wanted, "node")))
+    if not more.isEmpty():
+        discard(joined)
+        joined = components(links.unionByName(more))
+    made += [classes, pairs, links, entries, more, joined]
     member = classes.select("node", "low", "high").join(joined, "node", "left").withColumn("cluster_id", F.coalesce("component", "node"))
     cluster = member.groupBy("cluster_id").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
     member = member.select("node", "cluster_id").join(cluster.select("cluster_id", "first_doc"), "cluster_id")

@@ -415,3 +415,19 @@ def test_near_duplicates_of_large_varied_groups_are_all_found(spark):
             texts.append((g * 1000 + k, " ".join(w)))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.groups(docs(spark, texts)).collect()}
     assert got == brute_groups(texts)
+
+
+def test_near_blocks_of_a_large_varied_group_are_all_found(spark):
+    rng = random.Random(33)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(110)]
+    texts = []
+    for k in range(250):
+        w = list(base)
+        for at in rng.sample(range(110), rng.randint(2, 4)):
+            w[at] = f"edit{rng.random()}"
+        texts.append((k, " ".join(w)))
+    df = docs(spark, texts).select("doc_id", "text")
+    rows = substring._near_blocks(df, substring._parts(df).select("doc_id", F.inline("blocks")), []).collect()
+    want = {i: c for i, (_, c, _) in brute_groups(texts).items()}
+    many = {i: c for i, c in want.items() if sum(x == c for x in want.values()) > 1}
+    assert {r.doc_id: r.first_doc for r in rows} == many

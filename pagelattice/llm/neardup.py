@@ -37,8 +37,8 @@ NEIGHBOURS = 2
 SIMILAR = (75, 100)
 #: A pair stays if the union's sketch shares more than this part; more than five errors of K = 48 below 0.75.
 ESTIMATE = 0.42
-#: Rows of a side of a cell, about.
-CELL = 256
+#: Rows of a side of a cell, about, and shingles of one, so that long texts make smaller cells.
+CELL, CELL_SHINGLES = 1024, 1 << 20
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -66,11 +66,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Pairs (a, b), a < b, that meet in a list, and in how many (overlaps).
+    """Pairs (a, b), a < b, that meet in a list, and in how many (overlaps), written.
 
     postings: v, c1, c2, node, n, all long. Lists are runs of equal v in the sort by (v, c1, c2, node).
     Pairs whose sizes n alone rule the similarity out are left out. In lists of more than SHORT
-    nodes only NEIGHBOURS meet, so the pairs are at most in proportion to the postings.
+    nodes only NEIGHBOURS meet, so the pairs are at most in proportion to the postings. A list that the
+    sort splits between partitions leaves its ends, of up to SHORT rows each, whose pairs are made last.
     """
     order = ["v", "c1", "c2", "node"]
     lists = postings.select(*order, "n").repartitionByRange(partitions(postings), *order).sortWithinPartitions(*order)
@@ -89,15 +90,22 @@ def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> Data
             i = i[ok & (small * ratio[1] >= large * ratio[0]) & (node[i] != node[i + d])]
             if len(i):
                 a, b = np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "v"])
+
+    def end(v, node, n):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(v)], names=["a", "b", "v"])
 
     def run(batches):
-        held, fresh = [np.zeros(0, np.int64)] * 3, 0
+        held, fresh, begun = [np.zeros(0, np.int64)] * 3, 0, False
         for batch in batches:
             cols = [np.concatenate([h, batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("v", "node", "n"), strict=True)]
             v = cols[0]
             if not len(v):
                 continue
+            if not begun and v[min(len(v) - 1, SHORT)] != v[0]:  # only the last batch has fewer rows than a list
+                first = int(np.searchsorted(v, v[0], "right"))
+                yield end(*(c[:first] for c in cols))  # the first list may have begun before
+            begun = True
             start = int(np.searchsorted(v, v[-1]))  # the last list may go on
             if len(v) - start <= SHORT and start >= fresh:
                 done, keep, after = [c[:start] for c in cols], start, 0
@@ -106,9 +114,18 @@ def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> Data
             yield from emit(*done, fresh)
             held, fresh = [c[keep:] for c in cols], after
         yield from emit(*held, fresh)
-
-    met = map_arrow(lists, run, "a long, b long")
-    return met.groupBy("a", "b").agg(F.count("*").alias("overlaps"))
+        if begun and len(held[0]):
+            start = int(np.searchsorted(held[0], held[0][-1]))
+            if len(held[0]) - start <= SHORT:
+                yield end(*(c[start:] for c in held))
+
+    met = cut(map_arrow(lists, run, "a long, b long, v long"))
+    ends = [met.where("v is not null").select("v", F.col("a").alias(x), F.col("b").alias(f"n{x}")).distinct() for x in "ab"]
+    alike = F.least("na", "nb") * ratio[1] >= F.greatest("na", "nb") * ratio[0]
+    split = ends[0].join(ends[1], "v").where(F.col("a") < F.col("b")).where(alike).select("a", "b")
+    out = cut(met.where("v is null").select("a", "b").unionByName(split).groupBy("a", "b").agg(F.count("*").alias("overlaps")))
+    discard(met)
+    return out
 
 
 def compared(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -175,14 +192,16 @@ def unmet(entries: DataFrame, joined: DataFrame, sets_of, ratio: tuple[int, int]
     entries: v, node, n, of (the sorted values of the node's entries), sketch (empty: no estimate).
     sets_of makes a table (node, set) of those that a table (node) names, which may have more. A list is
     dealt over cells by salts of the nodes: those outside its largest component, in blocks, against all
-    of it, in blocks. Both grow with the list, so a cell has about 2 * CELL rows.
+    of it, in blocks. Both grow with the list, so a cell has about 2 * CELL rows or 2 * CELL_SHINGLES.
     """
     component = joined.select("node", F.col("component").alias("c"))
-    named = cut(entries.select("v", "node").join(component, "node", "left").select("v", "node", F.coalesce("c", "node").alias("c")))
-    sizes = named.groupBy("v", "c").agg(F.count("*").alias("times"))
-    lists = sizes.groupBy("v").agg(F.sum("times").alias("m"), F.max(F.struct("times", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    lists = lists.select("v", F.col("most.c").alias("most"), F.ceil(F.col("m") / CELL).alias("across"), F.ceil((F.col("m") - F.col("most.times")) / CELL).alias("down"))
-    placed = named.join(lists, "v").withColumn("outer", F.col("c") != F.col("most"))
+    named = cut(entries.select("v", "node", "n").join(component, "node", "left").select("v", "node", "n", F.coalesce("c", "node").alias("c")))
+    sizes = named.groupBy("v", "c").agg(F.count("*").alias("times"), F.sum("n").alias("shingles"))
+    lists = sizes.groupBy("v").agg(F.sum("times").alias("m"), F.sum("shingles").alias("s"), F.max(F.struct("times", "c", "shingles")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    sides = lambda m, s: F.ceil(F.greatest(m / CELL, s / CELL_SHINGLES))
+    outside = sides(F.col("m") - F.col("most.times"), F.col("s") - F.col("most.shingles"))
+    lists = lists.select("v", F.col("most.c").alias("most"), sides(F.col("m"), F.col("s")).alias("across"), outside.alias("down"))
+    placed = named.drop("n").join(lists, "v").withColumn("outer", F.col("c") != F.col("most"))
     salt = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     left = placed.where("outer").select("v", "node", "c", "outer", F.lit(True).alias("left"), salt("down", 1).alias("i"), every("across").alias("j"))
@@ -317,7 +336,7 @@ def _entries(sketch):
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Ids are whole numbers.
 
     Null and empty texts and texts of white space have no shingles and stay alone. Rows with a null
     id aren't compared; their component is null and they are kept. Rows that share an id are one
@@ -328,7 +347,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     postings = classes.select(F.col("rep").alias("node"), "n", F.inline(_entries(F.col("sketch"))))
-    pairs = cut(_estimated(meeting_pairs(postings), classes))
+    meeting = meeting_pairs(postings)
+    pairs = cut(_estimated(meeting, classes))
+    discard(meeting)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     met = cut(compared(pairs, sets))

@@ -261,7 +261,7 @@ def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> D
     classes = cut(blocks.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     names = F.inline(F.arrays_zip(F.col("bands").alias("v"), F.concat(F.slice("bands", 2, BANDS), F.slice("bands", 1, 1)).alias("c1")))
     postings = classes.select(names, F.lit(0).cast("long").alias("c2"), "node", F.col("n").cast("long").alias("n"))
-    pairs = cut(meeting_pairs(postings).select("a", "b"))
+    pairs = meeting_pairs(postings)
     wanted = bloom(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
     links = cut(confirm(pairs, _block_sets(docs, wanted)))
     joined = components(links)

@@ -163,11 +163,22 @@ def test_near_duplicates_of_a_large_group(spark):
     shared = " ".join(rng.choice(WORDS) for _ in range(60))
     texts += [(1000 + k, shared + " " + " ".join(f"own{rng.random()}" for _ in range(100))) for k in range(150)]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.groups(docs(spark, texts)).collect()}
-    want = brute_groups(texts)
-    # many of these links are just above the threshold between members that are similar to nothing else;
-    # the search may miss a few of them, and must not make any up
-    assert sum(got[i] != want[i] for i in want) <= 3
-    assert all(want[i][1] == want[got[i][1]][1] for i in want)
+    assert got == brute_groups(texts)
+
+
+def test_lists_that_the_sort_splits_still_meet(spark):
+    rng = random.Random(12)
+    rows = [(v, rng.randint(0, 9), 0, 100 * v + k, 10) for v in range(60) for k in range(rng.choice([1, 2, 5, 8]))]
+    df = spark.createDataFrame(rows, "v long, c1 long, c2 long, node long, n long")
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r[3])
+    want = {(a, b) for nodes in by.values() for a in nodes for b in nodes if a < b}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert {(r.a, r.b) for r in neardup.meeting_pairs(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_context_tree_is_a_distribution():

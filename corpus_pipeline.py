@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm import bpe, mixing, neardup, substring, toxicity
-from pagelattice.llm.common import cut
+from pagelattice.llm.common import cut, discard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,7 +30,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, in its order, once for each time taken."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, stored=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents; each stage's table goes when the next one is written. Rows with a
+    null id or text pass the filters, repeated rows are one document to them, and an empty table
+    gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,9 +16,10 @@ from pagelattice.llm.common import map_arrow
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Longer texts are cut before encoding, so that no call sees more than about this many characters.
 SPLIT_CHARS = 1 << 15
-#: No match of the pre-split pattern goes from a character that isn't white space into a blank
-#: after it, and none looks back, so encoding may restart at such a blank.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?)\]\"'|])[ \n](?=[A-Za-z0-9(\[\"'])")
+#: No match of the pre-split pattern goes from a character that isn't white space into a single blank or
+#: line end after it, nor from a letter or digit into a punctuation mark, and none looks back, so
+#: encoding may restart there. The marks serve scripts without blanks.
+_SAFE = re.compile(r"(?<=\S)[ \n](?=\S)|(?<=[^\W_])(?=[。、，！？；：।،؟])")
 _encodings: dict[tuple[str, str], object] = {}
 
 
@@ -101,6 +102,7 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, outputs=("n_tokens", "ids
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_tokens, ids_sha256, decoded_sha256; nulls and repeats as in bpe()."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

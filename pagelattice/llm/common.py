@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,13 +29,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared checkpoint folder and reads it back.
 
-    The folder is the one that spark.checkpoint.dir names; only where that is unset (local
-    tests) does it fall back to a temporary folder. The files survive lost executors and
+    The folder is the one that spark.checkpoint.dir names; only where that is unset and Spark runs
+    in one local process (tests) is it a temporary folder. The files survive lost executors and
     give later stages statistics and column pruning; the folder's owner expires them.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         set_dir = sc.getConf().get("spark.checkpoint.dir", None)
+        if not set_dir and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="pagelattice-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -371,4 +371,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
+    """All documents; nulls, empty texts and repeats as in groups()."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

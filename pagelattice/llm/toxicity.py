@@ -30,7 +30,7 @@ class Features:
         self.keep, self.known = keep, {}
 
     def slots(self, word: str) -> tuple[int, ...]:
-        forms = {"=" + word[:40]} | {word[:k] for k in range(3, 7) if len(word) >= k}
+        forms = {"=" + word} | {word[:k] for k in range(3, 7) if len(word) >= k}
         found = {xxhash.xxh32_intdigest(f) % DIM for f in forms}
         found = tuple(found if self.keep is None else (s for s in found if self.keep[s]))
         if len(self.known) > 300_000:
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Fits on rows of labels outside the held-out fold: confirmed toxic texts as positives and, as
     unlabelled texts, a sample of all of them whatever their label. The class prior is the share of
     toxic rows among these labels. Both samples are hash samples with the given expected bounds, so
-    reruns agree; the rows of `labels` beyond them are counted in the prior.
+    reruns agree; the rows of `labels` beyond them are counted in the prior. Labels that are null or have a
+    null id count nowhere, repeated rows each count, and without toxic rows nothing is predicted toxic.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~_held_out()).select("doc_id", "toxic")
     n, toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -150,6 +151,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, held_out (false for a null id), score, predicted; nulls as in score()."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -249,4 +249,5 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
 
 def op10_vectors(spark, sf_dir: str) -> DataFrame:
+    """All embeddings; null, zero and odd vectors and repeats as in near()."""
     return near(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

@@ -72,12 +72,19 @@ def records_of(page_id, url: str | None, payload: bytes, refers_to, copy: str |
 
 def parse(data: bytes):
     """Yields (fields in lower case, block) of an archive of gzip members or plain records."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            gz = zlib.decompressobj(31)
-            plain, data = gz.decompress(data) + gz.flush(), gz.unused_data
+    read = 0
+    while read < len(data):
+        if data[read : read + 2] == b"\x1f\x8b":
+            gz, parts = zlib.decompressobj(31), []
+            while not gz.eof and read < len(data):  # in small pieces, since what a member leaves over is copied
+                piece = data[read : read + 8192]
+                parts.append(gz.decompress(piece))
+                read += len(piece) - len(gz.unused_data)
+            if not gz.eof:
+                raise WarcError("member is cut off")
+            plain = b"".join(parts)
         else:
-            plain, data = data, b""
+            plain, read = data[read:], len(data)
         at = 0
         while at < len(plain):
             if not plain.startswith(b"WARC/1.", at):
@@ -116,13 +123,14 @@ def write(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, made, n, sides = TaskContext.get().partitionId(), 0, 0, [[], []]
+        task, made, n, sides, held = TaskContext.get().partitionId(), 0, 0, [[], []], [0, 0]
 
         def blob(side):
             nonlocal made
             made += 1
             data = b"".join(sides[side])
             sides[side].clear()
+            held[side] = 0
             return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{made:05d}"]), pa.array([data], pa.binary())], names=["archive", "data"])
 
         for b in batches:
@@ -131,7 +139,8 @@ def write(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
                 for k, r in enumerate(records_of(*row, f"{task}-{n}")):
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                     sides[k % 2].append(gz.compress(r) + gz.flush())
-                    if sum(map(len, sides[k % 2])) > ARCHIVE and len(sides[k % 2]) % 64 == 0:
+                    held[k % 2] += len(sides[k % 2][-1])
+                    if held[k % 2] > ARCHIVE:
                         yield blob(k % 2)
         for side in (0, 1):
             if sides[side]:
@@ -174,7 +183,8 @@ def reassemble(found: DataFrame) -> DataFrame:
     Continuations are grouped with their origin (and copy), put in the order of their segment numbers and
     checked against the total length; a missing, repeated or surplus segment, a wrong length, a
     broken chunk or a payload that differs from its declared digest give an error and a null
-    payload. A group is one record, so it is as large as that record.
+    payload. A group is one record, so it is as large as that record. An archive that breaks off has a
+    row of type error with its message; repeated records of one segment each stay.
     """
     part = F.struct("segment", "block", "total")
     meta = ("type", "uri", "refers_to", "payload_digest")
@@ -215,12 +225,18 @@ def reassemble(found: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return map_arrow(every, run, ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if n == 'payload_bytes' else 'string'}" for n in names))
+    whole = map_arrow(every, run, ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if n == 'payload_bytes' else 'string'}" for n in names))
+    broken = found.where("type = 'error'").select(*(F.col(n) if n in ("type", "error") else F.lit(None).cast(whole.schema[n].dataType).alias(n) for n in names))
+    return whole.unionByName(broken)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages, read back from archives; nulls, ties and repeats as in write(). A record that can't be
+    read back makes the query fail. Rows with a null page_id have one."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     read = cut(reassemble(records(write(pages))).drop("payload", "uri"))
+    fault = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("archive: "), F.col("error"))))
+    read = read.withColumn("payload_digest", F.coalesce(fault.cast("string"), "payload_digest"))
     number = lambda c: F.regexp_extract(c, r"record:(-?\d+)>$", 1).try_cast("long")
     read = read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
     sizes = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("same_bytes"))

@@ -91,12 +91,19 @@ def test_mix(spark, corpus, tmp_path):
     by = {}
     for (i, _), r in zip(sorted(corpus, key=lambda x: (x[0] is None, str(x[0]))), got, strict=True):
         assert 0 <= r[4] <= 2 * r[1]
-    for r in mixing.schedule(docs(spark, corpus)).collect():
+    clashing = docs(spark, corpus).withColumns({c: F.lit(-1) for c in ("size", "start", "times", "target", "weight", "rate", "at", "row", "h", "pass", "finish", "bucket")})
+    for r in mixing.schedule(clashing).collect():
         by.setdefault(r.source, []).append(r)
     for rows in by.values():
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r.size for r in rows)
-    stream = mixing.mix(docs(spark, corpus)).collect()
-    assert len(stream) == sum(r.times for rows in by.values() for r in rows) and set(stream[0].asDict()) == {*docs(spark, corpus).columns}
+    stream = mixing.mix(clashing).collect()
+    assert len(stream) == sum(r.times for rows in by.values() for r in rows) and stream[0].__fields__ == clashing.columns
+    taken = {}
+    for r in stream:
+        assert {r[c] for c in clashing.columns[8:]} | {r.size} == {-1}
+        taken[r.doc_id, r.text] = taken.get((r.doc_id, r.text), 0) + len((r.text or "").encode().split())
+    assert sorted(taken.values()) == sorted(r.taken for rows in by.values() for r in rows if r.taken)
+    assert [(r.doc_id, r.text) for r in mixing.mix(clashing).collect()] == [(r.doc_id, r.text) for r in stream]
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
@@ -287,7 +294,7 @@ def test_bpe(spark, corpus):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path(bpe.RANK_FILE)
     enc = bpe.encoding(path, tokenizers.PATTERN)
-    odd = ["x " * 60000, "\n" * 70000 + "a", "it's  'll\t\t b", "é" * 40000, "<|endoftext|>", "🙂 мир"]
+    odd = ["x " * 60000, "\n" * 70000 + "a", "it's  'll\t\t b", "é" * 40000, "слово не воробей, и " * 4000, "汉字。文字，" * 9000, "مرحبا بكم " * 5000, "a\n" * 40000, "x.\ny' s" * 9000, "½。" * 20000, "<|endoftext|>", "🙂 мир"]
     texts = [t for _, t in corpus] + odd
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit(1))
     for r in bpe.bpe(df, path, tokenizers.PATTERN, ("n_tokens", "ids", "decoded", "ids_sha256")).collect():
@@ -303,6 +310,8 @@ def test_chat(spark):
         n = rng.randint(1, 40)
         turns[c] = [("system" if k == 0 and c % 2 else "user" if k % 2 else "assistant", prose(rng, rng.randint(0, 90))) for k in range(n)]
     turns[20] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "<|turn|>a\\<|end|>\\\\[INST]<<SYS>> \\ <|text|>\n")]
+    turns[22] = [("system", prose(rng, 60)), *((("user", "assistant")[k % 2], prose(rng, rng.randint(5, 50))) for k in range(30))]
+    turns[23] = [("system", "alone")]
     turns[21] = [("", ""), ("assistant", ""), ("role\nwith <|text|>", "x" * 9000)]
     turns[None] = [("user", "hi"), ("assistant", "there")]
     rows = [(c, k, r, t, 1) for c, v in turns.items() for k, (r, t) in enumerate(v)]
@@ -313,6 +322,10 @@ def test_chat(spark):
         got.setdefault(r.conv_id, []).extend((x.role, x.text) for x in r.t)
         said.setdefault(r.conv_id, []).extend(r.l)
         assert len(r.t) == r.n_new
+        held = [x.partition("<|text|>") for x in r.formatted.split("<|end|>")[:-1]]
+        assert r.tokens == sum(len(x.encode().split()) + 4 for _, _, x in held)
+        others = [x for head, _, x in held if not head.endswith("system")]
+        assert r.tokens <= 128 or len(others) <= 1
         if turns[r.conv_id][0][0] == "system":
             assert r.formatted.startswith(("<|turn|>" if r.window == 0 else "<|again|>") + "system")
     assert got == turns
@@ -344,6 +357,8 @@ def test_warc_faults(spark):
         (r,) = warc.reassemble(warc.records(spark.createDataFrame([(bytearray(data),)], "data binary"))).collect()
         assert r.payload is None and "WarcError" in r.error
     assert [r.type for r in warc.records(spark.createDataFrame([(bytearray(b"WARC/1.1\r\nContent-Length: 9"),), (None,)], "data binary")).collect()] == ["error"]
+    broken = spark.createDataFrame([(bytearray(shuffled + b"WARC/1.1\r\nContent-Length: 9"),)], "data binary")
+    assert sorted((r.type, r.payload_bytes, r.error is None) for r in warc.reassemble(warc.records(broken)).collect()) == [("error", None, False), ("response", 40000, True)]
     assert warc.dechunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
 
 

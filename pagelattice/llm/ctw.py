@@ -3,12 +3,19 @@
 A text is its words in lower case (A-Z only), one blank between two, and a line end. Each byte is
 eight binary decisions; each decision has a context tree over the DEPTH bytes before it, with a
 Krichevsky-Trofimov estimate at every node and the CTW mixture of all depths (Willems, Shtarkov and
-Tjalkens, 1995). Counts of all training texts are gathered exactly, by partial counts per task and
-one shuffle. The model then keeps, at each depth, the contexts with at least 2 ** -SHARE of all
-occurrences, with every byte that follows them: 2 ** SHARE contexts a depth at most. Where those
-come to more than MOST byte strings, the share is doubled until they don't, so what is broadcast
-has a fixed bound at every size of the corpus. What a node's kept children don't cover counts as
-one more child.
+Tjalkens, 1995); below the deepest node that the training texts have, that node's estimate stands
+alone. Nothing is pruned: every context of the corpus is in the model, which is never in one place.
+
+1. Texts are gathered in blocks. A block asks for each distinct string of DEPTH + 1 bytes that it has,
+   the byte before last first, so that a context's children follow it in the order of the strings; it
+   says how often its training texts have it. Questions are packed by the two bytes before the last.
+2. All questions of two such bytes meet in a stream, which merges them to the counts of a subtree. Its
+   roots, at depth 2, add up to the nodes of depths 1 and 0: 65,280 and 255 of them at most, whatever
+   the corpus, and these alone go to the driver and to all workers.
+3. Each subtree, computed again from its counts, answers its questions, and the answers go back to
+   their blocks, where each text's score is summed.
+
+Words are counted and looked up the same way, for the unigram base.
 """
 
 from __future__ import annotations
@@ -16,17 +23,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut, map_arrow, word_hashes, words_of
+from pagelattice.llm.common import cut, discard, map_arrow, word_hashes, words_of
 
 DEPTH = 5
-SHARE = 18
-#: Byte strings of the model at most.
-MOST = 2_000_000
-#: Bytes of text that are counted or scored at a time, about.
-BLOCK = 2 << 20
+#: Bytes of the texts of a block, about, and of the slices that it is handled in.
+BLOCK, PIECE = 16 << 20, 1 << 20
+#: Strings that are held unmerged.
+HELD = 1 << 20
+_BELOW = DEPTH - 2
 _END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 _LN2 = np.log(2.0)
 
@@ -40,234 +48,357 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z - shift
 
 
+_SMALL = 64
+_HALVES = _log_gamma(np.arange(_SMALL) + 0.5)
+_WHOLES = _log_gamma(np.arange(2 * _SMALL) + 1.0)
+
+
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    n0, n1 = n0.astype(np.float64), n1.astype(np.float64)
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - np.log(np.pi)
+    out = np.empty(len(n0))
+    small = (n0 < _SMALL) & (n1 < _SMALL)
+    a, b = n0[small].astype(np.int64), n1[small].astype(np.int64)
+    out[small] = _HALVES[a] + _HALVES[b] - _WHOLES[a + b] - np.log(np.pi)
+    a, b = n0[~small].astype(np.float64), n1[~small].astype(np.float64)
+    out[~small] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
+    return out
+
+
+def _mixed(own: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of a node's own estimate, and the log of the mixture."""
+    return 1 / (1 + np.exp(np.clip(split - own, -700, 700))), np.logaddexp(own, split) - _LN2
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray):
+def _summed(keys: np.ndarray, values: np.ndarray):
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
+
+
+class Merged:
+    """Sums of values by key, from many parts."""
+
+    def __init__(self, kind=np.int64):
+        self.parts, self.size, self.kind = [], 0, kind
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.parts.append((keys, values))
+        self.size += len(keys)
+        if len(self.parts) > 1 and self.size > 2 * len(self.parts[0][0]) + HELD:
+            self.all()
 
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.parts or [(np.zeros(0, self.kind), np.zeros(0, np.int64))]
+        if len(parts) > 1:
+            parts = [_summed(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))]
+        self.parts, self.size = parts, len(parts[0][0])
+        return parts[0]
 
-def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the depth bytes before each byte and the byte itself, and each text's number of bytes."""
-    pad = b"\n" * depth
-    blob = np.frombuffer(pad + pad.join(texts), np.uint8) if texts else np.zeros(0, np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + depth) - sizes
-    code = np.zeros(max(len(blob) - depth, 0), np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | blob[k : len(blob) - depth + k]
-    keep = np.ones(len(code), bool)
-    for s in starts[1:]:
-        keep[s - 2 * depth : s - depth] = False
-    return code[keep], sizes
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes by place, so that high bytes, which are alike, stand together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unpack(data, kind) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-class Tree:
-    """Mixture weights and estimates of a context tree with the counts of kept byte strings."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], depth: int = DEPTH):
-        """counts: for each depth d, codes of d + 1 bytes and how often they occur."""
-        self.depth, levels = depth, []
-        for d in range(depth + 1):
-            code, n = counts.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            context, byte = code >> 8, code & 255
-            keys = [(context << 8) | (1 << k) | (byte >> (8 - k)) for k in range(8)]
-            bits = [(byte >> (7 - k)) & 1 for k in range(8)]
-            levels.append(_summed(np.concatenate(keys), np.concatenate([n * (1 - b) for b in bits]), np.concatenate([n * b for b in bits])))
-        self.keys, self.one, self.own = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
-        below = None
-        for d in range(depth, -1, -1):
-            keys, n0, n1 = levels[d]
-            log_own = _log_kt(n0, n1)
-            weight, log_mixed = np.ones(len(keys)), log_own
-            if below is not None and len(below[0]) and len(keys):
-                child, c0, c1, c_log = below
-                parent = (child & 255) | (((child >> 8) & ((1 << (8 * d)) - 1)) << 8)
-                parent, s0, s1, s_log = _summed(parent, c0, c1, c_log)
-                at = np.searchsorted(keys, parent)
-                rest = _log_kt(n0[at] - s0, n1[at] - s1)
-                log_split = np.zeros(len(keys))
-                log_split[at] = s_log + rest
-                has = np.zeros(len(keys), bool)
-                has[at] = True
-                weight = np.where(has, 1 / (1 + np.exp(np.clip(log_split - log_own, -700, 700))), 1.0)
-                log_mixed = np.where(has, np.logaddexp(log_own, log_split) - _LN2, log_own)
-            self.keys[d], self.one[d], self.own[d] = keys, (n1 + 0.5) / (n0 + n1 + 1.0), weight.astype(np.float32)
-            below = keys, n0, n1, log_mixed
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(last byte | bytes before it) of codes of depth + 1 bytes."""
-        context, byte = codes >> 8, codes & 255
-        total = np.zeros(len(codes))
+class Strings:
+    """The strings of DEPTH + 1 bytes of texts, each of which begins after line ends."""
+
+    def __init__(self, texts: list[bytes]):
+        pad = b"\n" * DEPTH
+        self.blob = np.frombuffer(pad + pad.join(texts), np.uint8)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes + DEPTH) - self.sizes
+
+    def slices(self):
+        """(text numbers, codes) of the bytes of a slice: the bytes before, the nearest first, then the byte."""
+        for at in range(DEPTH, len(self.blob), PIECE):
+            to = min(at + PIECE, len(self.blob))
+            code = np.zeros(to - at, np.int64)
+            for j in range(1, DEPTH + 1):
+                code = (code << 8) | self.blob[at - j : to - j]
+            code = (code << 8) | self.blob[at:to]
+            low, high = np.searchsorted(self.starts, (at, to - 1), "right")
+            new = np.zeros(to - at, np.int64)
+            new[self.starts[low:high] - at] = 1
+            text = low - 1 + np.cumsum(new)
+            inside = np.arange(at, to) < (self.starts + self.sizes)[text]
+            yield text[inside], code[inside]
+
+
+class Level:
+    """Nodes of one depth: for each of the eight decisions, counts and places among the rows (context, byte)."""
+
+    def __init__(self, rows: np.ndarray, n: np.ndarray):
+        self.rows, self.n, self.decisions = rows, n, []
+        for k in range(8):
+            key = rows >> (8 - k)
+            new = np.append(True, key[1:] != key[:-1])
+            start = np.flatnonzero(new)
+            n1 = np.add.reduceat(n * ((rows >> (7 - k)) & 1), start)
+            self.decisions.append({"start": start, "node": np.cumsum(new) - 1, "n1": n1, "n0": np.add.reduceat(n, start) - n1})
+
+
+class Subtree:
+    """The part of the tree below one context of two bytes. codes: the further bytes of the context and
+    the byte, sorted and distinct; n: how often the training texts have them, which may be 0."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        level, self.levels, self.up = Level(codes, n), [], [None]
+        self.levels.append(level)
+        for _ in range(_BELOW):  # one byte of the context less each time
+            key, back = np.unique(((level.rows >> 16) << 8) | (level.rows & 255), return_inverse=True)
+            level = Level(key, np.bincount(back, level.n, len(key)).astype(np.int64))
+            self.levels.insert(0, level)
+            self.up.insert(1, back)
+        for d in range(_BELOW, -1, -1):
+            for k, here in enumerate(self.levels[d].decisions):
+                here["own"], here["log"] = np.ones(len(here["start"])), _log_kt(here["n0"], here["n1"])
+                if d < _BELOW:
+                    split = np.bincount(self.parent(d + 1, k), self.levels[d + 1].decisions[k]["log"], len(here["start"]))
+                    here["own"], here["log"] = _mixed(here["log"], split)
+
+    def parent(self, d: int, k: int) -> np.ndarray:
+        below = self.levels[d].decisions[k]
+        return self.levels[d - 1].decisions[k]["node"][self.up[d][below["start"]]]
+
+    def roots(self):
+        """(node, n0, n1, log of the mixture) of the nodes of depth 2."""
+        top = self.levels[0]
+        node = [(1 << k) | (top.rows[x["start"]] >> (8 - k)) for k, x in enumerate(top.decisions)]
+        return (np.concatenate(node), *(np.concatenate([x[c] for x in top.decisions]) for c in ("n0", "n1", "log")))
+
+    def log10(self, above) -> np.ndarray:
+        """log10 P(byte | context) of each code. above: of depth 1, by node (acc, part, stop)."""
+        total = np.zeros(len(self.levels[-1].rows))
         for k in range(8):
-            node, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
-            p = np.full(len(codes), np.nan)
-            for d in range(self.depth, -1, -1):
-                if not len(self.keys[d]):
-                    continue
-                key = ((context & ((1 << (8 * d)) - 1)) << 8) | node
-                at = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-                hit = self.keys[d][at] == key
-                one = self.one[d][at]
-                here = np.where(bit == 1, one, 1 - one)
-                mixed = np.where(np.isnan(p), here, self.own[d][at] * here + (1 - self.own[d][at]) * p)
-                p = np.where(hit, mixed, p)
-            total += np.log10(np.where(np.isnan(p), 0.5, p))
+            for d, level in enumerate(self.levels):
+                x = level.decisions[k]
+                up = (1 << k) | (level.rows[x["start"]] >> (8 - k)) if d == 0 else self.parent(d, k)
+                above_k = above if d == 0 else here
+                here = _descend(x["n0"], x["n1"], x["own"], *(v[up] for v in above_k))
+            one = here[0][x["node"]]
+            total += np.log10(np.where((level.rows >> (7 - k)) & 1, one, 1 - one))
         return total
 
 
-def _blocks(batches, columns):
-    """Rows of Arrow batches in lists of about BLOCK characters of the first column, which is text."""
-    rows, size = [], 0
+def _descend(n0, n1, own, acc, part, stop):
+    """What the mixture down to a node gives to bit 1 (acc), what is left for the nodes below it (part), and
+    the probability where the path ends here (stop). A node without counts ends the path above it."""
+    seen = n0 + n1 > 0
+    one = (n1 + 0.5) / (n0 + n1 + 1.0)
+    return np.where(seen, acc + part * own * one, stop), np.where(seen, part * (1 - own), 0.0), np.where(seen, acc + part * one, stop)
+
+
+def upper(byte: np.ndarray, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray):
+    """(acc, part, stop), each by last byte and node, from the counts of depth 1 and the sums of the logs below."""
+    at = np.zeros((4, 256, 256))
+    at[0, byte, node], at[1, byte, node], at[2, byte, node] = n0, n1, split
+    own, log = _mixed(_log_kt(at[0].ravel(), at[1].ravel()).reshape(256, 256), at[2])
+    top = at[:2].sum(axis=1)
+    top_own, _ = _mixed(_log_kt(*top), log.sum(axis=0))
+    half = np.full(256, 0.5)
+    root = _descend(*top, top_own, np.zeros(256), np.ones(256), half)
+    return _descend(at[0], at[1], own, *(np.broadcast_to(v, (256, 256)) for v in root))
+
+
+def _rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Blocks (kind 0: ids, sizes, texts), and their questions: strings (kind 1) and words (kind 2), by group."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+
+        def block(ids, train, streams, id_type):
+            schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("g", pa.int32()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+            name, learn = f"{task}-{made}", np.array(train)
+            held, held_words = Merged(), Merged()
+            strings = Strings(streams)
+            for text, code in strings.slices():
+                ok = learn[text]
+                held.add(*np.unique(code[ok], return_counts=True))
+                rest = np.unique(code[~ok])
+                held.add(rest, np.zeros(len(rest), np.int64))
+            for s in range(0, len(streams), 256):
+                words = [w for t in streams[s : s + 256] for w in [*t.split(), b""]]
+                ok = np.repeat(learn[s : s + 256], [t.count(b" ") + (2 if len(t) > 1 else 1) for t in streams[s : s + 256]])
+                hashes = word_hashes(words).view(np.int64)
+                held_words.add(*np.unique(hashes[ok], return_counts=True))
+                rest = np.unique(hashes[~ok])
+                held_words.add(rest, np.zeros(len(rest), np.int64))
+            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(streams))
+            yield _rows({"block": [name], "kind": [0], "g": [0], "ids": [ids], "sizes": [pack(strings.sizes)], "a": [blob], "b": [None]}, schema)
+            codes, n = held.all()
+            words, m = held_words.all()
+            order = np.argsort(words & 255, kind="stable")
+            for which, keys, values, group, rest in ((1, codes, n, codes >> 32, (codes & 0xFFFFFFFF).astype(np.uint32)), (2, words[order], m[order], words[order] & 255, words[order])):
+                start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                stop = np.append(start[1:], len(keys))
+                rows = {"block": [name] * len(start), "kind": [which] * len(start), "g": group[start], "ids": [None] * len(start), "sizes": [None] * len(start)}
+                rows["a"], rows["b"] = [pack(rest[s:e]) for s, e in zip(start, stop, strict=True)], [pack(values[s:e]) for s, e in zip(start, stop, strict=True)]
+                yield _rows(rows, schema)
+
+        ids, train, streams, size, id_type = [], [], [], 0, None
+        for b in batches:
+            column = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            id_type = column(id_col).type
+            for i, t, ok in zip(column(id_col).to_pylist(), column(text_col), column("learn").to_pylist(), strict=True):
+                ids.append(i)
+                train.append(bool(ok))
+                streams.append(stream(words_of(t.as_py())))
+                size += len(streams[-1])
+                if size >= BLOCK:
+                    yield from block(ids, train, streams, id_type)
+                    ids, train, streams, size = [], [], [], 0
+                    made += 1
+        if ids:
+            yield from block(ids, train, streams, id_type)
+
+    return map_arrow(docs, run, f"block string, kind int, g int, ids array<{kind}>, sizes binary, a binary, b binary")
+
+
+_KEY = {1: np.uint32, 2: np.int64}
+
+
+def _by(batches, keys, values):
+    """(key, row) of sorted batches, row: values by name."""
     for b in batches:
-        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
-            rows.append(row)
-            size += len(row[0] or "")
-            if size >= BLOCK:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        at = {c: b.column(b.schema.get_field_index(c)) for c in (*keys, *values)}
+        for r, key in enumerate(zip(*(at[c].to_pylist() for c in keys), strict=True)):
+            yield key, {c: at[c][r] for c in values}
+
 
+def _model(asks: DataFrame) -> DataFrame:
+    """(kind, g, a, b, node, n0, n1, log): all questions of a group merged, and what they add to the nodes above.
+    For words, n0 is their number in the training texts and n1 that of distinct ones."""
+    schema = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("node", pa.list_(pa.int32())), ("n0", pa.list_(pa.int64())), ("n1", pa.list_(pa.int64())), ("log", pa.list_(pa.float64()))])
 
-def count(texts: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): byte strings of depth + 1 (kind 0) and hashed words with the end (kind 1)."""
+    def run(batches):
+        now, held = None, None
+
+        def done():
+            keys, n = held.all()
+            top = Subtree(keys.astype(np.int64), n).roots() if now[0] == 1 else (np.zeros(1), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1))
+            return _rows(dict(zip(schema.names, ([now[0]], [now[1]], [pack(keys)], [pack(n)], *([x] for x in top)), strict=True)), schema)
+
+        for key, row in _by(batches, ("kind", "g"), ("a", "b")):
+            if key != now:
+                if now:
+                    yield done()
+                now, held = key, Merged(_KEY[key[0]])
+            held.add(unpack(row["a"].as_buffer(), _KEY[key[0]]), unpack(row["b"].as_buffer(), np.int64))
+        if now:
+            yield done()
+
+    met = asks.select("kind", "g", "a", "b").repartition("kind", "g").sortWithinPartitions("kind", "g")
+    return map_arrow(met, run, "kind int, g int, a binary, b binary, node array<int>, n0 array<bigint>, n1 array<bigint>, log array<double>")
+
+
+def _answers(asks: DataFrame, model: DataFrame, above) -> DataFrame:
+    """(block, kind, g, a, b): the questions again, with the log10 probability or the count of each."""
+    shared = asks.sparkSession.sparkContext.broadcast(np.stack(above))
+    both = model.select(F.lit(None).cast("string").alias("block"), "kind", "g", "a", "b").union(asks.select("block", "kind", "g", "a", F.lit(None).cast("binary").alias("b")))
+    met = both.repartition("kind", "g").sortWithinPartitions("kind", "g", F.col("block").asc_nulls_first())
+    schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        held = {0: [], 1: []}
-
-        def merged(kind):
-            keys, n = _summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
-            held[kind] = [(keys, n)]
-            return keys, n
-
-        for rows in _blocks(batches, [text_col]):
-            words = [words_of(t) for (t,) in rows]
-            hashes = np.append(word_hashes([w for ws in words for w in ws]), np.full(len(words), _END, np.uint64)).view(np.int64)
-            held[0].append(np.unique(grams_of([stream(ws) for ws in words], depth)[0], return_counts=True))
-            held[1].append(np.unique(hashes, return_counts=True))
-            for kind in (0, 1):
-                if len(held[kind]) > 1 and sum(len(k) for k, _ in held[kind]) > 2_000_000:
-                    merged(kind)
-        for kind in (0, 1):
-            if held[kind]:
-                keys, n = merged(kind)
-                for s in range(0, len(keys), 1 << 16):
-                    part = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part]), pa.array(n[part].astype(np.int64))], names=["kind", "key", "n"])
-
-    parts = map_arrow(texts.select(text_col), run, "kind int, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Broadcast parts: the tree, common words with their counts, and totals."""
-
-    def __init__(self, counts: DataFrame, depth: int = DEPTH):
-        """counts: the result of count(), written."""
-        sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-        self.words = counts.where("kind = 1").select("key", "n")
-        self.n, self.v = (int(sums[1].n), int(sums[1].v)) if 1 in sums else (0, 0)
-        n_bytes = int(sums[0].n) if 0 in sums else 0
-        grams = counts.where("kind = 0")
-        mask = F.element_at(F.array(*[F.lit((1 << (8 * (d + 1))) - 1) for d in range(depth + 1)]), F.col("d") + 1)
-        level = grams.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth)))).groupBy("d", F.col("key").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-        within = F.sum("n").over(Window.partitionBy("d", F.shiftright("code", 8)))
-        level = cut(level.withColumn("share", F.ceil(F.log2(F.lit(float(n_bytes)) / within)).cast("int")).where(F.col("share") <= SHARE))
-        sizes = {r.share: r["count"] for r in level.groupBy("share").count().collect()}
-        share = next((k for k in range(SHARE, 0, -1) if sum(n for x, n in sizes.items() if x <= k) <= MOST), 0)
-        kept = level.where(F.col("share") <= share).toArrow()
-        d, code, n = (kept.column(c).to_numpy().astype(np.int64) for c in ("d", "code", "n"))
-        self.tree = Tree({k: (code[d == k], n[d == k]) for k in range(depth + 1)}, depth)
-        common = self.words.where(F.col("n") >= F.lit(self.n) / (1 << SHARE)).toArrow()
-        key, n = (common.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-        order = np.argsort(key)
-        self.common = key[order], n[order]
-
-    def shared(self):
-        return {"tree": self.tree, "common": self.common, "n": self.n, "v": self.v}
-
-
-_known: dict[str, list] = {}
-
-
-def _log10_of(tree: Tree, name: str, codes: np.ndarray) -> np.ndarray:
-    """tree.log10 with a memory of the codes seen in this worker, which is emptied when it grows large."""
-    if name not in _known:
-        _known.clear()
-        _known[name] = [np.zeros(0, np.int64), np.zeros(0)]
-    keys, values = _known[name]
-    unique, back = np.unique(codes, return_inverse=True)
-    at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-    new = unique[keys[at] != unique] if len(keys) else unique
-    if len(new):
-        if len(keys) > 2_000_000:
-            keys, values, new = np.zeros(0, np.int64), np.zeros(0), unique
-        fresh = np.concatenate([tree.log10(new[s : s + (1 << 17)]) for s in range(0, len(new), 1 << 17)])
-        where = np.searchsorted(keys, new)
-        keys, values = np.insert(keys, where, new), np.insert(values, where, fresh)
-        _known[name] = [keys, values]
-    return values[np.searchsorted(keys, unique)][back]
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        keys, values, rows, size = None, None, {c: [] for c in schema.names}, 0
+        for (kind, g, block), row in _by(batches, ("kind", "g", "block"), ("a", "b")):
+            asked = unpack(row["a"].as_buffer(), _KEY[kind])
+            if block is None:
+                keys, values = asked, unpack(row["b"].as_buffer(), np.int64)
+                if kind == 1:
+                    values = Subtree(keys.astype(np.int64), values).log10(shared.value[:, g >> 8]).astype(np.float32)
+                continue
+            for c, x in zip(schema.names, (block, kind, g, row["a"].as_py(), pack(values[np.searchsorted(keys, asked)])), strict=True):
+                rows[c].append(x)
+            size += len(asked)
+            if size > HELD:
+                yield _rows(rows, schema)
+                rows, size = {c: [] for c in schema.names}, 0
+        if size:
+            yield _rows(rows, schema)
+
+    return map_arrow(met, run, "block string, kind int, g int, a binary, b binary")
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
-    score is log10 of the model's probability of the text, base_score that of an add-one unigram
-    model over words. Common words are looked up in the broadcast part; the counts of all others
-    come by a join. Null and empty texts are one end token. Null or repeated ids and rows each keep
-    a row; other columns are dropped.
+    The model is that of the texts where `learn` holds (null: it doesn't). score is log10 of the model's
+    probability of the text, base_score that of an add-one unigram model over words. Null and empty texts
+    are one end token. Null or repeated ids and rows each keep a row; repeated training rows count each.
+    Other columns are dropped, whatever their names. Without training texts each bit has probability 1/2.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
     kind = docs.schema[id_col].dataType.simpleString()
-    name = f"{docs.sparkSession.sparkContext.applicationId}-{id(model)}"
-    base = float(model.n + model.v + 1)
+    made = cut(_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")), "id", "text"))
+    asks = made.where("kind > 0")
+    model = cut(_model(asks))
+    totals = model.where("kind = 2").agg(F.sum(F.col("n0")[0]).alias("n"), F.sum(F.col("n1")[0]).alias("v")).first()
+    n, v = int(totals.n or 0), int(totals.v or 0)
+    each = model.where("kind = 1").select(F.shiftright("g", 8).alias("byte"), F.inline(F.arrays_zip("node", "n0", "n1", "log")))
+    top = each.groupBy("byte", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))).toArrow()  # 65,280 rows at most
+    above = upper(*(top.column(c).to_numpy() for c in ("byte", "node", "n0", "n1", "log")))
+    texts = made.where("kind = 0").select("block", "kind", "g", "ids", "sizes", "a", "b")
+    said = _answers(asks, model, above).select("block", "kind", "g", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("sizes"), "a", "b")
+    met = texts.union(said).repartition("block").sortWithinPartitions("block", "kind", "g")
+    base = np.log10(float(n + v + 1))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        m, row_id = shared.value, TaskContext.get().partitionId() << 40
-        keys, ns = m["common"]
-        for rows in _blocks(batches, [text_col, id_col]):
-            words = [words_of(t) for t, _ in rows]
-            streams = [stream(ws) for ws in words]
-            codes, sizes = grams_of(streams, m["tree"].depth)
-            ends = np.cumsum(sizes)
-            logs = np.add.reduceat(_log10_of(m["tree"], name, codes), ends - sizes)
-            counts = np.array([len(ws) + 1 for ws in words])
-            hashes = word_hashes([w for ws in words for w in [*ws, b""]]).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-            hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            tops = np.cumsum(counts)
-            known = np.add.reduceat(hit.astype(np.int64), tops - counts)
-            common = np.add.reduceat(np.where(hit, np.log10((ns[at] + 1) / base), 0.0) if len(keys) else np.zeros(len(hashes)), tops - counts)
-            rare = hashes[~hit]
-            marks = np.concatenate([[0], np.cumsum(counts - known)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(marks), pa.array(rare))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(rows)) + row_id), pa.array([i for _, i in rows], b_type), pa.array(counts, pa.int64()), pa.array(known), pa.array(common), pa.array(logs), pa.array(sizes), lists],
-                names=["row", "doc_id", "n_tokens", "n_top", "top_score", "score", "n_bytes", "rare"])
-            row_id += len(rows)
-
-    b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    made = cut(map_arrow(docs.select(text_col, id_col), run, f"row long, doc_id {kind}, n_tokens long, n_top long, top_score double, score double, n_bytes long, rare array<bigint>"))
-    rare = made.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    found = rare.join(model.words, "key", "left")
-    each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(base))
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * each).alias("rare_score"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return made.drop("rare").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_top") + zero("rare_known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("top_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score", "n_bytes")
+        def done(text, held):
+            ids, sizes = text["ids"].values, unpack(text["sizes"].as_buffer(), np.int64)
+            codes, logs = (np.concatenate(held[1][k]) for k in (0, 1))
+            words, counts = (np.concatenate(held[2][k]) for k in (0, 1))
+            order = np.argsort(words, kind="stable")
+            words, counts = words[order], counts[order]
+            raw = zstandard.ZstdDecompressor().decompress(text["a"].as_py())
+            ends = np.cumsum(sizes).tolist()
+            streams = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends, strict=True)]
+            total = np.zeros(len(sizes))
+            for at, code in Strings(streams).slices():
+                total += np.bincount(at, logs[np.searchsorted(codes, code)], len(sizes))
+            n_tokens, known, known_score = [], [], []
+            for s in range(0, len(streams), 256):
+                some = [[*t.split(), b""] for t in streams[s : s + 256]]
+                size = np.array([len(w) for w in some])
+                c = counts[np.searchsorted(words, word_hashes([w for ws in some for w in ws]).view(np.int64))]
+                first = np.cumsum(size) - size
+                n_tokens.append(size)
+                known.append(np.add.reduceat((c > 0).astype(np.int64), first))
+                known_score.append(np.add.reduceat(np.log10(c + 1.0) - base, first))
+            columns = [ids, *(pa.array(np.concatenate(x)) for x in (n_tokens, known)), pa.array(np.full(len(sizes), n)), pa.array(np.concatenate(known_score)), pa.array(total), pa.array(sizes)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+
+        now, text, held = None, None, None
+        for (block, which, g), row in _by(batches, ("block", "kind", "g"), ("ids", "sizes", "a", "b")):
+            if block != now:
+                if now is not None:
+                    yield done(text, held)
+                now, text, held = block, row, {1: ([], []), 2: ([], [])}
+                continue
+            keys = unpack(row["a"].as_buffer(), _KEY[which])
+            held[which][0].append(keys.astype(np.int64) | (np.int64(g) << 32) if which == 1 else keys)
+            held[which][1].append(unpack(row["b"].as_buffer(), np.float32 if which == 1 else np.int64))
+        if now is not None:
+            yield done(text, held)
+
+    out = cut(map_arrow(met, run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"))
+    discard(made, model)
+    return out
 
 
 def held_out(col: str = "doc_id"):
@@ -275,6 +406,6 @@ def held_out(col: str = "doc_id"):
 
 
 def op4_ctw(spark, sf_dir: str) -> DataFrame:
+    """All documents: the columns of score() and held_out, false for a null id; nulls and repeats as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = Model(cut(count(docs.where(~held_out()))))
-    return score(docs, model).withColumn("held_out", held_out())
+    return score(docs, ~held_out()).withColumn("held_out", held_out())

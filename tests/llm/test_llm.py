@@ -188,21 +188,56 @@ def test_lists_that_the_sort_splits_still_meet(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_context_tree_is_a_distribution():
-    rng = random.Random(4)
-    texts = [ctw.stream(prose(rng, 60).encode().split()) for _ in range(40)]
-    code, n = np.unique(ctw.grams_of(texts, 3)[0], return_counts=True)
-    counts = {}
-    for d in range(4):
-        k, m = ctw._summed(code & ((1 << (8 * (d + 1))) - 1), n)
-        counts[d] = k, m
-    tree = ctw.Tree(counts, 3)
-    for context in (code[5] >> 8, 0x616263, 0):
-        p = 10 ** tree.log10((np.int64(context) << 8) + np.arange(256))
-        assert abs(p.sum() - 1) < 1e-9
-    held = ctw.grams_of([ctw.stream(prose(rng, 60).encode().split())], 3)[0]
-    flat = ctw.Tree({0: counts[0]}, 3)
-    assert tree.log10(held).sum() > flat.log10(held).sum()
+def plain_ctw(train, texts, depth=5):
+    """A recursive context tree in plain Python: log10 P of each text under the training texts."""
+    count = {}
+    for t in train:
+        past = b"\n" * depth
+        for c in t:
+            for d in range(depth + 1):
+                for k in range(8):
+                    node = past[depth - d :], k, c >> (8 - k)
+                    count.setdefault(node, [0, 0])[(c >> (7 - k)) & 1] += 1
+            past = past[1:] + bytes([c])
+    children = {}
+    for context, k, bits in count:
+        if context:
+            children.setdefault((context[1:], k, bits), []).append((context, k, bits))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    own, logs = {}, {}
+    for node in sorted(count, key=lambda x: -len(x[0])):
+        logs[node] = kt(*count[node])
+        own[node] = 1.0
+        if len(node[0]) < depth:
+            split = sum(logs[x] for x in children[node])
+            own[node] = 1 / (1 + math.exp(min(split - logs[node], 700)))
+            logs[node] = np.logaddexp(logs[node], split) - math.log(2)
+
+    def one(past, k, bits, d=0):
+        node = past[depth - d :], k, bits
+        if node not in count:
+            return None
+        n0, n1 = count[node]
+        here, below = (n1 + 0.5) / (n0 + n1 + 1), one(past, k, bits, d + 1) if d < depth else None
+        return here if below is None else own[node] * here + (1 - own[node]) * below
+
+    out = []
+    for t in texts:
+        past, total = b"\n" * depth, 0.0
+        for c in t:
+            for k in range(8):
+                p = one(past, k, c >> (8 - k))
+                p = 0.5 if p is None else p
+                total += math.log10(p if (c >> (7 - k)) & 1 else 1 - p)
+            past = past[1:] + bytes([c])
+        out.append(total)
+    return out
+
+
+def test_strings_restart_at_each_text(monkeypatch):
+    monkeypatch.setattr(ctw, "PIECE", 2)
+    got = [(int(i), int(c).to_bytes(6, "big")) for text, code in ctw.Strings([b"ab\n", b"c\n"]).slices() for i, c in zip(text, code)]
+    assert got == [(0, b"\n\n\n\n\na"), (0, b"a\n\n\n\nb"), (0, b"ba\n\n\n\n"), (1, b"\n\n\n\n\nc"), (1, b"c\n\n\n\n\n")]
 
 
 def test_log_gamma():
@@ -210,17 +245,9 @@ def test_log_gamma():
     assert np.allclose(ctw._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
 
 
-def test_grams_restart_at_each_text():
-    code, sizes = ctw.grams_of([b"ab\n", b"c\n"], 2)
-    pad = 10
-    want = [(pad, pad, 97), (pad, 97, 98), (97, 98, 10), (pad, pad, 99), (pad, 99, 10)]
-    assert code.tolist() == [a << 16 | b << 8 | c for a, b, c in want] and sizes.tolist() == [3, 2]
-
-
 def test_language_model(spark, corpus):
-    df = docs(spark, corpus)
-    model = ctw.Model(common.cut(ctw.count(df.where(~ctw.held_out()))))
-    got = ctw.score(df, model).collect()
+    df = docs(spark, corpus).withColumns({c: F.lit(1) for c in ("a", "b", "g", "kind", "block", "learn")})
+    got = ctw.score(df, ~ctw.held_out()).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     count = {}
     for i, t in corpus:
@@ -228,13 +255,22 @@ def test_language_model(spark, corpus):
             count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()), len(count)
     text = {i: t for i, t in corpus if i is not None}
+    streams = {i: ctw.stream((t or "").encode().lower().split()) for i, t in text.items()}
+    ids = [i for i in streams if len(streams[i]) < 400 or i in (60, 82)]
+    train = [ctw.stream((t or "").encode().lower().split()) for i, t in corpus if not held(i)]
+    want = dict(zip(ids, plain_ctw(train, [streams[i] for i in ids]), strict=True))
     assert len(got) == len(corpus)
     for r in got:
         if r.doc_id is not None:
             w = [*(text[r.doc_id] or "").encode().lower().split(), None]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in count for x in w), n)
             assert abs(r.base_score - sum(math.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w)) < 1e-6
-            assert r.score < 0
+            assert r.doc_id not in want or abs(r.score - want[r.doc_id]) < 1e-4
+    other = spark.createDataFrame([(k, "xyzzy " * 30) for k in range(20)], "doc_id long, text string")
+    probe = spark.createDataFrame([(99, "xyzzy xyzzy")], "doc_id long, text string")
+    same = lambda extra: [r.score for r in ctw.score(extra.select("doc_id", "text").union(probe), F.col("doc_id") != 99).collect() if r.doc_id == 99][0]
+    assert same(other) == same(other) > same(df.where("doc_id < 50"))
+    assert abs(ctw.score(probe, F.lit(False)).first().score - 12 * 8 * math.log10(0.5)) < 1e-4
 
 
 def test_toxicity(spark):
@@ -412,10 +448,9 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 
 def test_empty_tables(spark):
     none = docs(spark, [])
-    model = ctw.Model(common.cut(ctw.count(none)))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert ctw.score(none, model).count() == 0
-    assert ctw.score(docs(spark, [(1, "a few words"), (None, None)]), model).count() == 2
+    assert ctw.score(none, F.lit(True)).count() == 0
+    assert ctw.score(docs(spark, [(1, "a few words"), (None, None)]), F.lit(True)).count() == 2
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
     assert tiff.documents(none).count() == 0 and chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert warc.reassemble(warc.records(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0

@@ -147,8 +147,8 @@ class Level:
             self.decisions.append({"start": start, "node": np.cumsum(new) - 1, "n1": n1, "n0": np.add.reduceat(n, start) - n1})
 
 
-class Subtree:
-    """The part of the tree below one context of two bytes. codes: the further bytes of the context and
+class Subtrees:
+    """The parts of the tree below contexts of two bytes, each with all its codes. codes: the context and
     the byte, sorted and distinct; n: how often the training texts have them, which may be 0."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray):
@@ -170,21 +170,24 @@ class Subtree:
         below = self.levels[d].decisions[k]
         return self.levels[d - 1].decisions[k]["node"][self.up[d][below["start"]]]
 
+    def top(self, k: int) -> np.ndarray:
+        """256 x last byte + node, the parents of the nodes of depth 2."""
+        rows = self.levels[0].rows[self.levels[0].decisions[k]["start"]]
+        return ((rows >> 16) << 8) | (1 << k) | ((rows & 255) >> (8 - k))
+
     def roots(self):
-        """(node, n0, n1, log of the mixture) of the nodes of depth 2."""
-        top = self.levels[0]
-        node = [(1 << k) | (top.rows[x["start"]] >> (8 - k)) for k, x in enumerate(top.decisions)]
-        return (np.concatenate(node), *(np.concatenate([x[c] for x in top.decisions]) for c in ("n0", "n1", "log")))
+        """(parent, n0, n1, log of the mixtures): sums of the nodes of depth 2."""
+        parent, back = np.unique(np.concatenate([self.top(k) for k in range(8)]), return_inverse=True)
+        return parent, *(np.bincount(back, np.concatenate([x[c] for x in self.levels[0].decisions]), len(parent)) for c in ("n0", "n1", "log"))
 
     def log10(self, above) -> np.ndarray:
-        """log10 P(byte | context) of each code. above: of depth 1, by node (acc, part, stop)."""
+        """log10 P(byte | context) of each code. above: (acc, part, stop) of depth 1, by parent."""
         total = np.zeros(len(self.levels[-1].rows))
         for k in range(8):
             for d, level in enumerate(self.levels):
                 x = level.decisions[k]
-                up = (1 << k) | (level.rows[x["start"]] >> (8 - k)) if d == 0 else self.parent(d, k)
-                above_k = above if d == 0 else here
-                here = _descend(x["n0"], x["n1"], x["own"], *(v[up] for v in above_k))
+                up, over = (self.top(k), above) if d == 0 else (self.parent(d, k), here)
+                here = _descend(x["n0"], x["n1"], x["own"], *(v[up] for v in over))
             one = here[0][x["node"]]
             total += np.log10(np.where((level.rows >> (7 - k)) & 1, one, 1 - one))
         return total
@@ -198,16 +201,17 @@ def _descend(n0, n1, own, acc, part, stop):
     return np.where(seen, acc + part * own * one, stop), np.where(seen, part * (1 - own), 0.0), np.where(seen, acc + part * one, stop)
 
 
-def upper(byte: np.ndarray, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray):
-    """(acc, part, stop), each by last byte and node, from the counts of depth 1 and the sums of the logs below."""
-    at = np.zeros((4, 256, 256))
-    at[0, byte, node], at[1, byte, node], at[2, byte, node] = n0, n1, split
+def upper(parent: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """(acc, part, stop), each by 256 x last byte + node, from the counts of depth 1 and the sums of the logs below."""
+    at = np.zeros((3, 256 * 256))
+    at[:, parent] = n0, n1, split
+    at = at.reshape(3, 256, 256)
     own, log = _mixed(_log_kt(at[0].ravel(), at[1].ravel()).reshape(256, 256), at[2])
     top = at[:2].sum(axis=1)
     top_own, _ = _mixed(_log_kt(*top), log.sum(axis=0))
     half = np.full(256, 0.5)
     root = _descend(*top, top_own, np.zeros(256), np.ones(256), half)
-    return _descend(at[0], at[1], own, *(np.broadcast_to(v, (256, 256)) for v in root))
+    return np.stack(_descend(at[0], at[1], own, *(np.broadcast_to(v, (256, 256)) for v in root))).reshape(3, -1)
 
 
 def _rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -272,6 +276,18 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 _KEY = {1: np.uint32, 2: np.int64}
+#: Groups of a partition are handled together in so many parts.
+_PARTS = 8
+
+
+def _met(asks: DataFrame, *order) -> DataFrame:
+    """Rows of a group in one partition, by (part, *order); part is a share of the partition's groups."""
+    part = F.pmod(F.xxhash64("kind", "g"), F.lit(_PARTS)).alias("part")
+    return asks.select("*", part).repartition("kind", "g").sortWithinPartitions("part", *order)
+
+
+def _whole(g: int, keys: np.ndarray) -> np.ndarray:
+    return keys.astype(np.int64) | (np.int64(g) << 32)
 
 
 def _by(batches, keys, values):
@@ -283,48 +299,67 @@ def _by(batches, keys, values):
 
 
 def _model(asks: DataFrame) -> DataFrame:
-    """(kind, g, a, b, node, n0, n1, log): all questions of a group merged, and what they add to the nodes above.
-    For words, n0 is their number in the training texts and n1 that of distinct ones."""
-    schema = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("node", pa.list_(pa.int32())), ("n0", pa.list_(pa.int64())), ("n1", pa.list_(pa.int64())), ("log", pa.list_(pa.float64()))])
+    """(kind, g, a, b, parent, n0, n1, log): all questions of a group merged, and sums for the nodes above, which
+    some rows have. For words, n0 is their number in the training texts and n1 that of distinct ones."""
+    schema = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("parent", pa.list_(pa.int32())), ("n0", pa.list_(pa.int64())), ("n1", pa.list_(pa.int64())), ("log", pa.list_(pa.float64()))])
 
     def run(batches):
-        now, held = None, None
+        part, held = None, {}
 
         def done():
-            keys, n = held.all()
-            top = Subtree(keys.astype(np.int64), n).roots() if now[0] == 1 else (np.zeros(1), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1))
-            return _rows(dict(zip(schema.names, ([now[0]], [now[1]], [pack(keys)], [pack(n)], *([x] for x in top)), strict=True)), schema)
-
-        for key, row in _by(batches, ("kind", "g"), ("a", "b")):
-            if key != now:
-                if now:
-                    yield done()
-                now, held = key, Merged(_KEY[key[0]])
-            held.add(unpack(row["a"].as_buffer(), _KEY[key[0]]), unpack(row["b"].as_buffer(), np.int64))
-        if now:
-            yield done()
-
-    met = asks.select("kind", "g", "a", "b").repartition("kind", "g").sortWithinPartitions("kind", "g")
-    return map_arrow(met, run, "kind int, g int, a binary, b binary, node array<int>, n0 array<bigint>, n1 array<bigint>, log array<double>")
-
-
-def _answers(asks: DataFrame, model: DataFrame, above) -> DataFrame:
+            got = {key: m.all() for key, m in held.items()}
+            strings = [(_whole(g, keys), n) for (kind, g), (keys, n) in got.items() if kind == 1]
+            above = []
+            if strings:
+                parent, n0, n1, log = Subtrees(*(np.concatenate(x) for x in zip(*strings, strict=True))).roots()
+                above.append((1, parent, n0.astype(np.int64), n1.astype(np.int64), log))
+            above += [(2, np.zeros(1), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1)) for (kind, _), (_, n) in got.items() if kind == 2]
+            for (kind, g), (keys, n) in got.items():
+                yield _rows(dict(zip(schema.names, ([kind], [g], [pack(keys)], [pack(n)], *[[None]] * 4), strict=True)), schema)
+            for kind, *sums in above:
+                yield _rows(dict(zip(schema.names, ([kind], [None], [None], [None], *([x] for x in sums)), strict=True)), schema)
+
+        for (now, *key), row in _by(batches, ("part", "kind", "g"), ("a", "b")):
+            if now != part:
+                yield from done()
+                part, held = now, {}
+            kind = _KEY[key[0]]
+            held.setdefault(tuple(key), Merged(kind)).add(unpack(row["a"].as_buffer(), kind), unpack(row["b"].as_buffer(), np.int64))
+        yield from done()
+
+    return map_arrow(_met(asks.select("kind", "g", "a", "b"), "kind", "g"), run, "kind int, g int, a binary, b binary, parent array<int>, n0 array<bigint>, n1 array<bigint>, log array<double>")
+
+
+def _answers(asks: DataFrame, model: DataFrame, above: np.ndarray) -> DataFrame:
     """(block, kind, g, a, b): the questions again, with the log10 probability or the count of each."""
-    shared = asks.sparkSession.sparkContext.broadcast(np.stack(above))
-    both = model.select(F.lit(None).cast("string").alias("block"), "kind", "g", "a", "b").union(asks.select("block", "kind", "g", "a", F.lit(None).cast("binary").alias("b")))
-    met = both.repartition("kind", "g").sortWithinPartitions("kind", "g", F.col("block").asc_nulls_first())
+    shared = asks.sparkSession.sparkContext.broadcast(above)
+    both = model.where("g is not null").select(F.lit(None).cast("string").alias("block"), "kind", "g", "a", "b").union(asks.select("block", "kind", "g", "a", F.lit(None).cast("binary").alias("b")))
+    met = _met(both, F.col("block").asc_nulls_first(), "kind", "g")
     schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        keys, values, rows, size = None, None, {c: [] for c in schema.names}, 0
-        for (kind, g, block), row in _by(batches, ("kind", "g", "block"), ("a", "b")):
-            asked = unpack(row["a"].as_buffer(), _KEY[kind])
+        part, known, open_, rows, size = None, {}, False, {c: [] for c in schema.names}, 0
+
+        def answered():
+            mine = [key for key in known if key[0] == 1]
+            if mine:
+                logs = Subtrees(np.concatenate([_whole(g, known[1, g][0]) for _, g in mine]), np.concatenate([known[k][1] for k in mine])).log10(shared.value)
+                for key, some in zip(mine, np.split(logs, np.cumsum([len(known[k][0]) for k in mine])[:-1]), strict=True):
+                    known[key] = known[key][0], some.astype(np.float32)
+
+        for (now, block, *key), row in _by(batches, ("part", "block", "kind", "g"), ("a", "b")):
+            key = tuple(key)
+            asked = unpack(row["a"].as_buffer(), _KEY[key[0]])
+            if now != part:
+                part, known, open_ = now, {}, True
             if block is None:
-                keys, values = asked, unpack(row["b"].as_buffer(), np.int64)
-                if kind == 1:
-                    values = Subtree(keys.astype(np.int64), values).log10(shared.value[:, g >> 8]).astype(np.float32)
+                known[key] = asked, unpack(row["b"].as_buffer(), np.int64)
                 continue
-            for c, x in zip(schema.names, (block, kind, g, row["a"].as_py(), pack(values[np.searchsorted(keys, asked)])), strict=True):
+            if open_:
+                answered()
+                open_ = False
+            keys, values = known[key]
+            for c, x in zip(schema.names, (block, *key, row["a"].as_py(), pack(values[np.searchsorted(keys, asked)])), strict=True):
                 rows[c].append(x)
             size += len(asked)
             if size > HELD:
@@ -350,9 +385,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     model = cut(_model(asks))
     totals = model.where("kind = 2").agg(F.sum(F.col("n0")[0]).alias("n"), F.sum(F.col("n1")[0]).alias("v")).first()
     n, v = int(totals.n or 0), int(totals.v or 0)
-    each = model.where("kind = 1").select(F.shiftright("g", 8).alias("byte"), F.inline(F.arrays_zip("node", "n0", "n1", "log")))
-    top = each.groupBy("byte", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))).toArrow()  # 65,280 rows at most
-    above = upper(*(top.column(c).to_numpy() for c in ("byte", "node", "n0", "n1", "log")))
+    each = model.where("kind = 1 and parent is not null").select(F.inline(F.arrays_zip("parent", "n0", "n1", "log")))
+    top = each.groupBy("parent").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))).toArrow()  # 65,280 rows at most
+    above = upper(*(top.column(c).to_numpy() for c in ("parent", "n0", "n1", "log")))
     texts = made.where("kind = 0").select("block", "kind", "g", "ids", "sizes", "a", "b")
     said = _answers(asks, model, above).select("block", "kind", "g", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("sizes"), "a", "b")
     met = texts.union(said).repartition("block").sortWithinPartitions("block", "kind", "g")
@@ -370,7 +405,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             streams = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends, strict=True)]
             total = np.zeros(len(sizes))
             for at, code in Strings(streams).slices():
-                total += np.bincount(at, logs[np.searchsorted(codes, code)], len(sizes))
+                unique, back = np.unique(code, return_inverse=True)
+                total += np.bincount(at, logs[np.searchsorted(codes, unique)][back], len(sizes))
             n_tokens, known, known_score = [], [], []
             for s in range(0, len(streams), 256):
                 some = [[*t.split(), b""] for t in streams[s : s + 256]]
@@ -391,7 +427,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 now, text, held = block, row, {1: ([], []), 2: ([], [])}
                 continue
             keys = unpack(row["a"].as_buffer(), _KEY[which])
-            held[which][0].append(keys.astype(np.int64) | (np.int64(g) << 32) if which == 1 else keys)
+            held[which][0].append(_whole(g, keys) if which == 1 else keys)
             held[which][1].append(unpack(row["b"].as_buffer(), np.float32 if which == 1 else np.int64))
         if now is not None:
             yield done(text, held)

@@ -8,9 +8,9 @@ chance of 0.988, one of 0.85 with 0.9995. Colliding classes are confirmed on the
 shingles, and components of the links are the clusters. In the lists of bands that many classes have
 only neighbours meet at first; the others that aren't in one component then are compared in cells.
 
-Windows find passages that stand inside other text: from each start of a sentence to the first end
-of one at least WINDOW words on, so that a passage has the same windows wherever it stands. Equal
-windows are a cluster; they meet in one global sort by (window, document), in which a frequent
+Windows find passages that stand inside other text: from each start of a sentence, and from words
+that winnowing chooses in long ones, to the first of these at least WINDOW words on, so that a passage has the same
+windows wherever it stands, even where it begins and ends within sentences. Equal windows are a cluster; they meet in one global sort by (window, document), in which a frequent
 window is a stretch of several range partitions and no task has to hold it.
 
 In each cluster the document with the smallest id keeps its text and the others lose it. What is
@@ -29,11 +29,14 @@ from pagelattice.llm.common import bloom, components, cut, discard, map_arrow, m
 from pagelattice.llm.neardup import confirm, hot_values, meeting_pairs, unmet
 
 WORDS, WINDOW, SHORTEST = 25, 12, 25
+#: Words in a row of which at least one begins a window, in sentences of more than SENTENCE words;
+#: sentences that follow one of fewer than CLAUSE words count as part of it.
+SPREAD, SENTENCE, CLAUSE = 16, 16, 4
 BANDS, ROWS = 8, 3
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -43,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a text: starts and ends in characters, hashes, starts of sentences and of blocks."""
+    """Words of a text: starts and ends in characters, hashes, starts of windows and of blocks."""
 
     def __init__(self, text: str):
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -56,27 +59,34 @@ class Words:
             lines = np.cumsum(chars == 10)
             new_line = lines[self.starts[1:]] > lines[self.ends[:-1] - 1]
             self.block_starts = np.concatenate([[0], np.flatnonzero(new_line) + 1])
-            self.sentence_starts = self._sentences(np.concatenate([[0], np.flatnonzero(new_line | np.isin(chars[self.ends[:-1] - 1], _STOPS)) + 1]))
-
-    def _sentences(self, found: np.ndarray) -> np.ndarray:
-        """Sentences of more than 40 words begin anew at words whose hash is in a fixed sixteenth,
-        and in any case after 80, so that text without stops has windows too."""
-        size = np.diff(np.append(found, self.n))
-        if not (size > 40).any():
-            return found
-        out = [found]
-        for a, b in zip(found[size > 40].tolist(), (found + size)[size > 40].tolist(), strict=True):
-            inner = a + 1 + np.flatnonzero(self.hashes[a + 1 : b] % np.uint64(16) == 0)
-            gaps = np.diff(np.concatenate([[a], inner, [b]]))
-            out += [inner, *(s + np.arange(40, g, 40) for s, g in zip(np.concatenate([[a], inner]), gaps, strict=True) if g > 80)]
-        return np.unique(np.concatenate(out))
+            last = chars[self.ends[:-1] - 1]
+            starts = np.flatnonzero(new_line | (last == 46) | (last == 33) | (last == 63)) + 1  # . ! ?
+            starts = starts[np.diff(starts, prepend=-CLAUSE) >= CLAUSE]
+            edges = np.concatenate([[0], starts, [self.n]])
+            found = self._winnowed()
+            within = np.searchsorted(edges, found, "right")
+            mark = np.zeros(self.n, bool)
+            mark[0] = mark[starts] = mark[found[edges[within] - edges[within - 1] > SENTENCE]] = True
+            self.starts_of_windows = np.flatnonzero(mark)
+
+    def _winnowed(self) -> np.ndarray:
+        """Words whose hash is the least of some SPREAD words in a row: one in any SPREAD words, chosen by these
+        words alone, so that a passage has the same ones wherever it stands."""
+        if self.n < SPREAD:
+            return np.zeros(0, np.int64)
+        least, width = (self.hashes & _HIGH) | np.arange(self.n, dtype=np.uint64), 1
+        while width < SPREAD:
+            step = min(width, SPREAD - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        at = (least & ~_HIGH).astype(np.int64)
+        return at[np.append(True, at[1:] != at[:-1])]
 
     def windows(self, words: int = WINDOW):
         """(first word, end word, hash) of each window."""
-        edges = np.append(self.sentence_starts, self.n)
-        k = np.searchsorted(edges, self.sentence_starts + words)
+        edges = np.append(self.starts_of_windows, self.n)
+        k = np.searchsorted(edges, self.starts_of_windows + words)
         ok = k < len(edges)
-        a, e = self.sentence_starts[ok], edges[k[ok]]
+        a, e = self.starts_of_windows[ok], edges[k[ok]]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * _powers(_BASE, self.n)[: self.n], dtype=np.uint64)])
         return a, e, mix64((sums[e] - sums[a]) * _powers(_INVERSE, self.n)[a] + (e - a).astype(np.uint64))
 
@@ -234,11 +244,17 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     return rows.select("doc_id", "sw", "ew", "start", "end", F.col("node").alias("cluster_id"), F.least("first_doc", "f").alias("first_doc"))
 
 
-def _block_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(node, set) of the blocks whose node may be in the filter."""
+def _block_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the blocks that wanted (node) names and some others, from the first document of each."""
+    bits = bloom(wanted, "node"), bloom(classes.join(wanted.distinct(), "node").select("low"), "low")
 
     def run(batches):
-        for b in _small(batches):
+        for b in batches:
+            b = b.filter(pa.array(maybe_in(shared.value[1], b.column(b.schema.get_field_index("doc_id")).to_numpy().astype(np.int64))))
+            yield from found(b)
+
+    def found(batch):
+        for b in _small([batch]):
             nodes, sets = [], []
             for text in b.column(b.schema.get_field_index("text")):
                 w = Words(text.as_py() or "")
@@ -246,13 +262,13 @@ def _block_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     a, e = w.blocks()
                     shingles = shingle_hashes(w.hashes)
                     made = [_node(shingles[x : y - 4]) for x, y in zip(a, e, strict=True)]
-                    hit = maybe_in(shared.value, np.array([m[0] for m in made], np.int64))
+                    hit = maybe_in(shared.value[0], np.array([m[0] for m in made], np.int64))
                     nodes += [m[0] for m, h in zip(made, hit, strict=True) if h]
                     sets += [m[1].tobytes() for m, h in zip(made, hit, strict=True) if h]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    return map_arrow(docs.select("text"), run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return map_arrow(docs.select("doc_id", "text"), run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> DataFrame:
@@ -262,12 +278,11 @@ def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> D
     names = F.inline(F.arrays_zip(F.col("bands").alias("v"), F.concat(F.slice("bands", 2, BANDS), F.slice("bands", 1, 1)).alias("c1")))
     postings = classes.select(names, F.lit(0).cast("long").alias("c2"), "node", F.col("n").cast("long").alias("n"))
     pairs = meeting_pairs(postings)
-    wanted = bloom(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
-    links = cut(confirm(pairs, _block_sets(docs, wanted)))
+    links = cut(confirm(pairs, _block_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))))
     joined = components(links)
     some = postings.select("node", "n", "v").join(hot_values(postings), "v").groupBy("node", "n").agg(F.sort_array(F.collect_list("v")).alias("of"))
     entries = cut(some.select("node", "n", "of", F.array().cast("array<bigint>").alias("sketch"), F.explode("of").alias("v")))
-    more = unmet(entries, joined, lambda wanted: _block_sets(docs, bloom(wanted, "node")))
+    more = unmet(entries, joined, lambda wanted: _block_sets(docs, classes, wanted))
     if not more.isEmpty():
         discard(joined)
         joined = components(links.unionByName(more))
@@ -332,4 +347,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents; nulls, ties and repeats as in passages()."""
     return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

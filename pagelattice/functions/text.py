@@ -21,21 +21,61 @@ PAGE_FIELD = r"(?Ui)^\s*(page\s*)?(\d+)(?:(\s*(?:of|/)\s*)(\d+))?(\s*)$"
 STYLE_SUFFIXES = (
     "-BoldItalic", "-BoldOblique", "-Bold", "-Italic", "-Oblique", ",BoldItalic", ",Bold", ",Italic", "-ExtraBoldItalic",
     "-ExtraBold", "-SemiBoldItalic", "-SemiBold", "-MediumItalic", "-Medium", "-Regular", "-LightItalic", "-Light")
-# Font families by the names that files use for them.
+# The font family of each name that files use for one.
 FONT_FAMILIES = {
-    "Arial": (
-        "ArialMT", "Arial-BoldMT", "Arial-ItalicMT", "Arial-BoldItalicMT", "Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique",
-        "HelveticaNeue", "HelveticaNeue-Light", "HelveticaNeue-UltraLight", "HelveticaNeue-Italic", "HelveticaNeue-LightItalic", "HelveticaNeue-LightItali",
-        "HelveticaNeue-Bold", "HelveticaNeue-BoldItalic", "HelveticaNeue-Medium"),
-    "Calibri": ("Calibri", "Calibri-Bold", "Calibri-Italic", "Calibri-BoldItalic"),
-    "Century Schoolbook": ("CenturySchoolbook", "CenturySchoolbook-Bold", "CenturySchoolbook-Italic", "CenturySchoolbook-BoldItalic"),
-    "Courier New": ("CourierNewPSMT", "CourierNewPS-BoldMT", "CourierNewPS-ItalicMT", "CourierNewPS-BoldItalicMT"),
-    "Times New Roman": (
-        "TimesNewRomanPSMT", "TimesNewRomanPS-BoldMT", "TimesNewRomanPS-ItalicMT", "TimesNewRomanPS-BoldItalicMT", "Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic"),
-    "DM Sans": (
-        "DMSans", "DMSans-Regular", "DMSans-Medium", "DMSans-SemiBold", "DMSans-Bold", "DMSans-ExtraBold", "DMSans-Italic", "DMSans-BoldItalic",
-        "DM Sans", "DM Sans Regular", "DM Sans Medium", "DM Sans Bold"),
-    "Arial Black": ("Repo-ExtraBold", "RepoExtraBold", "Repo")}
+    "ArialMT": "Arial",
+    "Arial-BoldMT": "Arial",
+    "Arial-ItalicMT": "Arial",
+    "Arial-BoldItalicMT": "Arial",
+    "Helvetica": "Arial",
+    "Helvetica-Bold": "Arial",
+    "Helvetica-Oblique": "Arial",
+    "Helvetica-BoldOblique": "Arial",
+    "HelveticaNeue": "Arial",
+    "HelveticaNeue-Light": "Arial",
+    "HelveticaNeue-UltraLight": "Arial",
+    "HelveticaNeue-Italic": "Arial",
+    "HelveticaNeue-LightItalic": "Arial",
+    "HelveticaNeue-LightItali": "Arial",
+    "HelveticaNeue-Bold": "Arial",
+    "HelveticaNeue-BoldItalic": "Arial",
+    "HelveticaNeue-Medium": "Arial",
+    "Calibri": "Calibri",
+    "Calibri-Bold": "Calibri",
+    "Calibri-Italic": "Calibri",
+    "Calibri-BoldItalic": "Calibri",
+    "CenturySchoolbook": "Century Schoolbook",
+    "CenturySchoolbook-Bold": "Century Schoolbook",
+    "CenturySchoolbook-Italic": "Century Schoolbook",
+    "CenturySchoolbook-BoldItalic": "Century Schoolbook",
+    "CourierNewPSMT": "Courier New",
+    "CourierNewPS-BoldMT": "Courier New",
+    "CourierNewPS-ItalicMT": "Courier New",
+    "CourierNewPS-BoldItalicMT": "Courier New",
+    "TimesNewRomanPSMT": "Times New Roman",
+    "TimesNewRomanPS-BoldMT": "Times New Roman",
+    "TimesNewRomanPS-ItalicMT": "Times New Roman",
+    "TimesNewRomanPS-BoldItalicMT": "Times New Roman",
+    "Times-Roman": "Times New Roman",
+    "Times-Bold": "Times New Roman",
+    "Times-Italic": "Times New Roman",
+    "Times-BoldItalic": "Times New Roman",
+    "DMSans": "DM Sans",
+    "DMSans-Regular": "DM Sans",
+    "DMSans-Medium": "DM Sans",
+    "DMSans-SemiBold": "DM Sans",
+    "DMSans-Bold": "DM Sans",
+    "DMSans-ExtraBold": "DM Sans",
+    "DMSans-Italic": "DM Sans",
+    "DMSans-BoldItalic": "DM Sans",
+    "DM Sans": "DM Sans",
+    "DM Sans Regular": "DM Sans",
+    "DM Sans Medium": "DM Sans",
+    "DM Sans Bold": "DM Sans",
+    "Repo-ExtraBold": "Arial Black",
+    "RepoExtraBold": "Arial Black",
+    "Repo": "Arial Black",
+}
 
 
 def _c(c: str | Column) -> Column:
@@ -174,7 +214,7 @@ def signature(c: str | Column) -> Column:
 def font_family(c: str | Column) -> Column:
     """Family of a font name: without subset prefix and style, by alias or made readable."""
     name = F.regexp_replace(F.trim(F.coalesce(_c(c), F.lit(""))), r"^[A-Z]{6}\+", "")
-    alias = F.create_map(*[F.lit(x) for family, names in FONT_FAMILIES.items() for n in names for x in (n, family)])
+    alias = F.create_map(*[F.lit(x) for pair in FONT_FAMILIES.items() for x in pair])
     bare = F.coalesce(*[F.when(name.endswith(s), F.substr(name, F.lit(1), F.char_length(name) - len(s))) for s in STYLE_SUFFIXES], name)
     readable = F.trim(F.regexp_replace(F.replace(bare, F.lit("_"), F.lit(" ")), "(?<=[a-z])(?=[A-Z])", " "))
     return F.when(name == "", "Arial").otherwise(F.coalesce(F.try_element_at(alias, name), F.try_element_at(alias, bare), readable))

@@ -16,11 +16,20 @@ MODES = {
     "simple_text": "editable", "multi_column": "hybrid", "designed_cover": "hybrid", "table_dominant": "hybrid", "chart_dominant": "hybrid", "form": "hybrid",
     "image_dominant": "fixed", "scanned": "ocr", "magazine": "hybrid", "mixed": "hybrid", "unknown": "hybrid"}
 FLAGS = ("text", "lists", "tables", "forms", "images", "vectors", "charts", "run_ocr", "full_page_image", "region_fallback")
-#: Policy of each page type: 1 on, 0 off, or the fact that it hangs on (t text, v vectors, b tables, f forms, c charts, p page image).
+# The outputs of each page type: on, off, or as a fact about the page is.
 POLICIES = {
-    "simple_text": "1 1 1 0 1 v 1 0 0 1", "multi_column": "1 1 1 0 1 v 1 0 0 1", "designed_cover": "t 1 1 0 1 1 1 0 0 1", "table_dominant": "1 1 1 0 1 v 1 0 0 1",
-    "chart_dominant": "1 1 1 0 1 1 1 0 0 1", "form": "1 1 1 1 1 1 1 0 0 1", "image_dominant": "0 0 0 0 1 1 1 0 1 0", "scanned": "1 0 0 0 1 0 0 1 1 0",
-    "magazine": "1 1 1 0 1 1 1 0 0 1", "mixed": "t t b f 1 v c 0 0 1", "unknown": "t t b f 1 v c 0 p n"}
+    "simple_text": {"text": True, "lists": True, "tables": True, "forms": False, "images": True, "vectors": "has_vectors", "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "multi_column": {"text": True, "lists": True, "tables": True, "forms": False, "images": True, "vectors": "has_vectors", "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "designed_cover": {"text": "has_text", "lists": True, "tables": True, "forms": False, "images": True, "vectors": True, "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "table_dominant": {"text": True, "lists": True, "tables": True, "forms": False, "images": True, "vectors": "has_vectors", "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "chart_dominant": {"text": True, "lists": True, "tables": True, "forms": False, "images": True, "vectors": True, "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "form": {"text": True, "lists": True, "tables": True, "forms": True, "images": True, "vectors": True, "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "image_dominant": {"text": False, "lists": False, "tables": False, "forms": False, "images": True, "vectors": True, "charts": True, "run_ocr": False, "full_page_image": True, "region_fallback": False},
+    "scanned": {"text": True, "lists": False, "tables": False, "forms": False, "images": True, "vectors": False, "charts": False, "run_ocr": True, "full_page_image": True, "region_fallback": False},
+    "magazine": {"text": True, "lists": True, "tables": True, "forms": False, "images": True, "vectors": True, "charts": True, "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "mixed": {"text": "has_text", "lists": "has_text", "tables": "has_tables", "forms": "has_forms", "images": True, "vectors": "has_vectors", "charts": "has_charts", "run_ocr": False, "full_page_image": False, "region_fallback": True},
+    "unknown": {"text": "has_text", "lists": "has_text", "tables": "has_tables", "forms": "has_forms", "images": True, "vectors": "has_vectors", "charts": "has_charts", "run_ocr": False, "full_page_image": "only_visual", "region_fallback": "not_only_visual"},
+}
 
 
 def _c(name: str) -> Column:
@@ -88,12 +97,11 @@ def policies(profiles_: DataFrame) -> DataFrame:
     The rule table of page types is joined as a map literal; then flags of absent content go off
     and low confidences move the mode.
     """
-    facts = {"1": F.lit(True), "0": F.lit(False), "t": _c("has_text"), "v": _c("vector_count") > 0, "b": _c("table_count") > 0, "f": _c("form_field_count") > 0, "c": _c("chart_count") > 0}
-    facts["p"] = ~_c("has_text") & ((_c("image_count") > 0) | (_c("vector_count") > 0))
-    facts["n"] = ~facts["p"]
+    facts = {True: F.lit(True), False: F.lit(False), "has_text": _c("has_text"), "has_vectors": _c("vector_count") > 0, "has_tables": _c("table_count") > 0, "has_forms": _c("form_field_count") > 0, "has_charts": _c("chart_count") > 0}
+    facts["only_visual"] = ~_c("has_text") & ((_c("image_count") > 0) | (_c("vector_count") > 0))
+    facts["not_only_visual"] = ~facts["only_visual"]
     p, kind = profiles_, _c("page_type")
-    rules = {k: dict(zip(FLAGS, v.split(), strict=True)) for k, v in POLICIES.items()}
-    on = {f: reduce(lambda acc, k: acc.when(kind == k, facts[rules[k][f]]), rules, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False)) for f in FLAGS}  # noqa: B023
+    on = {f: reduce(lambda acc, k: acc.when(kind == k, facts[POLICIES[k][f]]), POLICIES, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False)) for f in FLAGS}  # noqa: B023
     has = _c("has_text") | on["run_ocr"]
     on["text"], on["lists"] = on["text"] & has, on["lists"] & has
     on["tables"] = on["tables"] & ((_c("table_count") > 0) | (kind == "table_dominant"))

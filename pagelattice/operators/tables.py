@@ -142,12 +142,33 @@ def decision(errors: Column, warnings: Column, confidence: Column, fallback: Col
         .when(confidence >= 0.8, "native_safe").otherwise("native_with_warnings"))
 
 
-def validated(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores and decision per table from ownership, sizes, merges and synthetic cells.
+# Border styles that a native table can have, and features of a source table that it can't.
+BORDER_STYLES = ("none", "single", "double", "dashed", "dotted")
+UNSUPPORTED = ("has_diagonal_borders", "has_non_rectangular_cells", "has_nested_tables", "has_vertical_text")
+#: Points across a page between its margins, where the page doesn't say, and of the narrowest column.
+AVAILABLE, NARROWEST = 468.0, 6.0
 
-    tables: row_count, column_count, width, height, confidence. cells: spans, synthetic, has_content,
-    merge_confidence (null unless inferred).
+
+def validated(tables: DataFrame, cells: DataFrame, rows: DataFrame, columns: DataFrame, borders: DataFrame, keys: list[str], available: float = AVAILABLE) -> DataFrame:
+    """Scores and decision per table from sizes, row and column geometry, ownership, content, merges, borders,
+    synthetic cells and features that native tables lack.
+
+    tables: row_count, column_count, the box, width, height, confidence, and where it has them rotation
+    (degrees) and the flags UNSUPPORTED. cells: spans, synthetic, has_content, merge_confidence (null unless
+    inferred). rows and columns: k, start, end. borders: style and width of each edge of each cell.
     """
+    by_row = axis_issues(tables, rows, keys, "row_count", "top", "bottom")
+    by_column = axis_issues(tables, columns, keys, "column_count", "left", "right").unionByName(narrow_columns(tables, columns, keys, available))
+    score = lambda found, segments, count, name: axis_score(found, tables, segments, keys, count).withColumnRenamed("score", name)
+    axes = score(by_row, rows, "row_count", "row_score").join(score(by_column, columns, "column_count", "column_score"), keys)
+    counted = by_row.unionByName(by_column).groupBy(*keys).agg(F.count_if(F.col("severity") == "error").alias("axis_errors"), F.count_if(F.col("severity") == "warning").alias("gaps"))
+    sound = F.col("style").isin(*BORDER_STYLES) & (F.abs("width") < float("inf")) & (F.col("width") >= 0)
+    edges = borders.groupBy(*keys).agg(F.count("*").alias("edges"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("bad_edges"))
+    turned = F.pmod(F.col("rotation") % 360 + 360, F.lit(360.0)) if "rotation" in tables.columns else F.lit(None)
+    odd = F.when((turned > 1.5) & (turned < 358.5), 1).otherwise(0)
+    for flag in UNSUPPORTED:
+        odd = odd + (F.when(F.col(flag), 1).otherwise(0) if flag in tables.columns else 0)
+    tables = tables.withColumn("unsupported", odd)
     found = ownership(tables, cells, keys)
     codes = found.groupBy(*keys).agg(F.count("*").alias("grid_errors"), F.count_if(F.col("code") == "DUPLICATE_CELL_ANCHOR").alias("dup"), F.count_if(F.col("code") == "CELL_SPAN_OUTSIDE_GRID").alias("outside"), F.count_if(F.col("code").isin("UNCOVERED_GRID_POSITION", "OVERLAPPING_GRID_OWNERSHIP")).alias("not_once"))
     merged = (F.col("row_span") > 1) | (F.col("column_span") > 1)
@@ -155,7 +176,8 @@ def validated(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     per = cells.groupBy(*keys).agg(
         F.count("*").alias("cells"), F.count_if(merged).alias("merged"), F.count_if(weak).alias("weak"), F.count_if(F.col("synthetic") & F.col("has_content")).alias("filled"),
         F.sum(F.when(F.col("synthetic"), F.col("row_span") * F.col("column_span")).otherwise(0)).alias("made"))
-    t = tables.join(codes, keys, "left").join(per, keys, "left").na.fill(0, ["grid_errors", "dup", "outside", "not_once", "cells", "merged", "weak", "filled", "made"])
+    t = tables.join(codes, keys, "left").join(per, keys, "left").join(axes, keys, "left").join(counted, keys, "left").join(edges, keys, "left")
+    t = t.na.fill(0, ["grid_errors", "dup", "outside", "not_once", "cells", "merged", "weak", "filled", "made", "axis_errors", "gaps", "edges", "bad_edges"])
     total = F.greatest(F.col("row_count") * F.col("column_count"), F.lit(1))
     clamp = lambda c: F.least(F.greatest(c, _d(0)), _d(1))
     made = F.least(F.col("made") / total, _d(1))
@@ -163,12 +185,34 @@ def validated(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     structure = clamp((total - F.col("not_once")) / total - F.col("dup") * 0.1 - F.col("outside") * 0.1)
     content = clamp((F.col("cells") - F.col("filled")) / F.greatest(F.col("cells"), F.lit(1)) - F.col("filled") * 0.1)
     merge = F.when(F.col("merged") == 0, _d(1)).otherwise(clamp((F.col("merged") - F.col("weak")) / F.greatest(F.col("merged"), F.lit(1))))
-    t = t.withColumns({"structure_score": structure, "content_score": content, "merge_score": merge, "reconstruction_score": clamp(_d(1) - made)})
-    native = (F.col("structure_score") * 0.35 + _d(0.2) + F.col("content_score") * 0.15 + F.col("merge_score") * 0.1 + _d(0.1) + F.col("reconstruction_score") * 0.1) * 0.85 + clamp(F.col("confidence")) * 0.15
-    errors = F.col("grid_errors") + size_errors + F.col("weak") + F.col("filled") + F.when(made > 0.35, 1).otherwise(0)
-    warnings = F.when((made > 0) & (made <= 0.35), 1).otherwise(0)
+    style = F.when(F.col("edges") == 0, _d(1)).otherwise((F.col("edges") - F.col("bad_edges")) / F.greatest(F.col("edges"), F.lit(1)))
+    t = t.withColumns({"structure_score": structure, "geometry_score": (F.col("row_score") + F.col("column_score")) / 2, "content_score": content, "merge_score": merge, "style_score": style, "reconstruction_score": clamp(_d(1) - made)})
+    native = F.col("structure_score") * 0.35 + F.col("geometry_score") * 0.2 + F.col("content_score") * 0.15 + F.col("merge_score") * 0.1 + F.col("style_score") * 0.1 + F.col("reconstruction_score") * 0.1
+    native = native * 0.85 + clamp(F.col("confidence")) * 0.15
+    errors = F.col("grid_errors") + size_errors + F.col("weak") + F.col("filled") + F.when(made > 0.35, 1).otherwise(0) + F.col("axis_errors") + F.col("bad_edges") + F.col("unsupported")
+    warnings = F.when((made > 0) & (made <= 0.35), 1).otherwise(0) + F.col("gaps")
     t = t.withColumns({"native_confidence": native, "errors": errors.cast("long"), "warnings": warnings.cast("long")})
-    return t.select(*keys, "structure_score", "content_score", "merge_score", "reconstruction_score", "native_confidence", "errors", "warnings", decision(F.col("errors"), F.col("warnings"), F.col("native_confidence"), F.lit(False)).alias("decision"))
+    return t.select(
+        *keys, "structure_score", "geometry_score", "content_score", "merge_score", "style_score", "reconstruction_score", "native_confidence", "errors", "warnings",
+        decision(F.col("errors"), F.col("warnings"), F.col("native_confidence"), F.lit(False)).alias("decision"))
+
+
+def _last_of_each(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The last definition by start of each index."""
+    last = Window.partitionBy(*keys, "k").orderBy(F.col("start").desc(), F.col("end").desc())
+    return segments.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+
+
+def _finite() -> Column:
+    return F.coalesce(~F.isnan("start") & ~F.isnan("end") & (F.abs("start") < float("inf")) & (F.abs("end") < float("inf")), F.lit(False))
+
+
+def narrow_columns(tables_: DataFrame, columns: DataFrame, keys: list[str], available: float = AVAILABLE) -> DataFrame:
+    """Issues of columns that are too narrow once the table is scaled to the available width."""
+    one = _last_of_each(columns.join(tables_.select(*keys, "column_count"), keys).where("k >= 0 and k < column_count").where(_finite()), keys)
+    one = one.withColumn("_w", F.greatest(F.col("end") - F.col("start"), F.lit(0.0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys)))
+    thin = one.where((F.col("_all") > 0) & (F.col("_w") * (F.least(F.col("_all"), F.lit(available)) / F.col("_all")) < NARROWEST))
+    return thin.select(*keys, F.lit("RENDERED_COLUMN_TOO_NARROW").alias("code"), F.lit("error").alias("severity"), "k")
 
 
 def axis_issues(tables_: DataFrame, segments: DataFrame, keys: list[str], count: str, low: str, high: str, tolerance: float = 1.5) -> DataFrame:
@@ -181,8 +225,8 @@ def axis_issues(tables_: DataFrame, segments: DataFrame, keys: list[str], count:
     per = tables_.select(*keys, count).join(segments.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").na.fill(0, ["n"])
     issue = lambda df, code, severity="error", k=None: df.select(*keys, F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(k) if k else F.lit(None).cast("int")).alias("k"))
     twice = segments.groupBy(*keys, "k").count().where("count > 1")
-    one = s.where((F.col("k") >= 0) & (F.col("k") < F.col(count))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "k").orderBy(F.col("start").desc(), F.col("end").desc()))).where("_r = 1")
-    bad = ~F.coalesce(~F.isnan("start") & ~F.isnan("end") & (F.abs("start") < float("inf")) & (F.abs("end") < float("inf")), F.lit(False))
+    one = _last_of_each(s.where((F.col("k") >= 0) & (F.col("k") < F.col(count))), keys)
+    bad = ~_finite()
     flat = one.where(~bad & (F.col("end") - F.col("start") <= 0))
     good = one.where(~bad & (F.col("end") - F.col("start") > 0)).withColumn("_p", F.lag("end").over(Window.partitionBy(*keys).orderBy("k")))
     out = good.where((F.col("start") < F.col(low) - tolerance) | (F.col("end") > F.col(high) + tolerance))
@@ -197,7 +241,7 @@ def axis_issues(tables_: DataFrame, segments: DataFrame, keys: list[str], count:
 
 def axis_score(issues: DataFrame, tables_: DataFrame, segments: DataFrame, keys: list[str], count: str) -> DataFrame:
     """keys, score: the share of usable definitions, less 0.12 for each error."""
-    usable = segments.where("k >= 0 and end > start").join(tables_.select(*keys, count), keys).where(F.col("k") < F.col(count)).groupBy(*keys).agg(F.count_distinct("k").alias("ok"))
+    usable = segments.where("k >= 0 and end > start").where(_finite()).join(tables_.select(*keys, count), keys).where(F.col("k") < F.col(count)).groupBy(*keys).agg(F.count_distinct("k").alias("ok"))
     errors = issues.where("severity = 'error'").groupBy(*keys).agg(F.count("*").alias("e"))
     t = tables_.select(*keys, count).join(usable, keys, "left").join(errors, keys, "left").na.fill(0, ["ok", "e"])
     return t.select(*keys, F.least(F.greatest(F.col("ok") / F.greatest(F.col(count), F.lit(1)) - F.col("e") * 0.12, _d(0)), _d(1)).alias("score"))

@@ -119,13 +119,14 @@ def categories(vectors: DataFrame, keys: list[str], id_col: str, width: float, h
 
 
 def groups(vectors: DataFrame, keys: list[str], id_col: str, width: float, height: float) -> DataFrame:
-    """Greedy groups of drawings of one category: keys, id, group_number, in the order of ids.
+    """Greedy groups of drawings of one category, visited from the top, then from the left, ties by id: keys,
+    id, group_number and the group's envelope (group_left, group_top, group_right, group_bottom).
 
     A drawing joins the nearest group that has its category, lies within 12 points and may grow by
     it, and else begins one. Groups never merge, so the visit order counts.
     """
     names = Box._fields
-    schema = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in keys) + f", `{id_col}` {vectors.schema[id_col].dataType.simpleString()}, group_number int"
+    schema = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in keys) + f", `{id_col}` {vectors.schema[id_col].dataType.simpleString()}, group_number int, group_left double, group_top double, group_right double, group_bottom double"
 
     def gap(a, b):
         return max(b[0] - a[2], a[0] - b[2], 0.0), max(b[1] - a[3], a[1] - b[3], 0.0)
@@ -145,6 +146,7 @@ def groups(vectors: DataFrame, keys: list[str], id_col: str, width: float, heigh
 
     def assign(rows):
         made: list[tuple[set, list]] = []
+        placed = []
         for r in rows:
             box, best = tuple(r[n] for n in names), None
             for k, (kinds, members) in enumerate(made):
@@ -162,9 +164,12 @@ def groups(vectors: DataFrame, keys: list[str], id_col: str, width: float, heigh
             else:
                 made[best[1]][0].add(r["category"])
                 made[best[1]][1].append(box)
-            yield {**{k: r[k] for k in keys}, id_col: r[id_col], "group_number": best[1] + 1}
+            placed.append((r, best[1]))
+        edges = [[float(f(m[k] for m in members)) for k, f in enumerate((min, min, max, max))] for _, members in made]
+        for r, k in placed:
+            yield {**{c: r[c] for c in keys}, id_col: r[id_col], "group_number": k + 1, **dict(zip(("group_left", "group_top", "group_right", "group_bottom"), edges[k], strict=True))}
 
-    return map_groups(vectors.select(*keys, id_col, "category", *names), keys, [id_col], assign, schema)
+    return map_groups(vectors.select(*keys, id_col, "category", *names), keys, [names[1], names[0], id_col], assign, schema)
 
 
 def outside_tables(vectors: DataFrame, tables: DataFrame, keys: list[str], b: Box, t: Box) -> DataFrame:

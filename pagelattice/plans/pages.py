@@ -141,9 +141,9 @@ def page_policy(spark, sf_dir):
 
 
 def _rule(flag: str) -> str:
-    facts = {"1": "true", "0": "false", "t": "has_text", "v": "vector_count > 0", "b": "table_count > 0", "f": "form_field_count > 0", "c": "chart_count > 0", "p": "NOT has_text AND (image_count > 0 OR vector_count > 0)", "n": "NOT (NOT has_text AND (image_count > 0 OR vector_count > 0))"}
-    k = profile.FLAGS.index(flag)
-    return "CASE page_type " + " ".join(f"WHEN '{t}' THEN {facts[r.split()[k]]}" for t, r in profile.POLICIES.items()) + " ELSE false END"
+    visual = "NOT has_text AND (image_count > 0 OR vector_count > 0)"
+    facts = {True: "true", False: "false", "has_text": "has_text", "has_vectors": "vector_count > 0", "has_tables": "table_count > 0", "has_forms": "form_field_count > 0", "has_charts": "chart_count > 0", "only_visual": visual, "not_only_visual": f"NOT ({visual})"}
+    return "CASE page_type " + " ".join(f"WHEN '{t}' THEN {facts[rule[flag]]}" for t, rule in profile.POLICIES.items()) + " ELSE false END"
 
 
 _POLICY = _MEASURES + ", r AS (SELECT *, " + ", ".join(f"{_rule(f)} AS r_{f}" for f in profile.FLAGS) + """, recommended_mode = 'editable' AND editable_confidence < CAST(0.55 AS DOUBLE) AS low FROM q5),

@@ -88,19 +88,42 @@ SELECT table_id, covered, mapped, confidence, CASE WHEN covered = 9 AND source >
 
 def table_validation(spark, sf_dir):
     t, c = _inputs(spark, sf_dir)
-    t = t.withColumns({"width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")})
-    return tables.validated(t, c, _KEY)
+    t = t.withColumns({"width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top"), "rotation": F.expr("CASE WHEN table_id % 13 = 0 THEN 90D WHEN table_id % 17 = 0 THEN -1D END"), "has_nested_tables": F.col("table_id") % 19 == 0})
+    rows, columns, borders = (_table(spark, sf_dir, x) for x in (ROW_SEGMENTS, COLUMN_SEGMENTS, BORDERS))
+    return tables.validated(t, c, rows, columns, borders, _KEY)
+
+
+_ORDERED = "SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem l"
+# Three rows of 30 and three columns of 80 points, which lines of an order bend, shorten or leave out.
+ROW_SEGMENTS = f"SELECT l_orderkey AS table_id, CAST(n AS INT) AS k, CAST(20 + 30 * n + CASE WHEN l_partkey % 50 = 0 THEN 4 ELSE 0 END AS DOUBLE) AS start, CAST(50 + 30 * n - CASE WHEN l_suppkey % 40 = 0 THEN 33 ELSE 0 END AS DOUBLE) AS \"end\" FROM ({_ORDERED}) x WHERE n < 3 AND l_partkey % 30 <> 1 UNION ALL SELECT DISTINCT l_orderkey, 2, CAST(80 AS DOUBLE), CAST(110 AS DOUBLE) FROM lineitem WHERE l_orderkey % 5 < 4"
+COLUMN_SEGMENTS = f"SELECT l_orderkey AS table_id, CAST(n AS INT) AS k, CAST(10 + 80 * n AS DOUBLE) AS start, CAST(CASE WHEN l_partkey % 23 = 0 THEN 15 WHEN l_partkey % 29 = 0 THEN 95 ELSE 90 END + 80 * n AS DOUBLE) AS \"end\" FROM ({_ORDERED}) x WHERE n < 3"
+BORDERS = "SELECT l_orderkey AS table_id, CASE l_partkey % 31 WHEN 0 THEN 'wavy' WHEN 1 THEN NULL WHEN 2 THEN 'none' WHEN 3 THEN 'dashed' ELSE 'single' END AS style, CAST(CASE WHEN l_suppkey % 37 = 0 THEN -1 ELSE 0.5 END AS DOUBLE) AS width FROM lineitem"
+
+
+def _axis(p: str, segments: str, low: str, high: str, narrow: bool) -> str:
+    """CTEs of the issues ({p}i) and the score ({p}f) of an axis of three definitions."""
+    thin = f" UNION ALL SELECT table_id, 'error' FROM (SELECT *, sum(w) OVER (PARTITION BY table_id) AS total FROM (SELECT *, greatest(z - a, CAST(0 AS DOUBLE)) AS w FROM {p}o)) WHERE total > 0 AND w * (least(total, 468) / total) < 6" if narrow else ""
+    return f""", {p}s AS (SELECT table_id, k, start AS a, "end" AS z FROM ({segments})), {p}o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_id, k ORDER BY a DESC, z DESC) AS r FROM {p}s) WHERE r = 1),
+{p}g AS (SELECT *, lag(z) OVER (PARTITION BY table_id ORDER BY k) AS before FROM {p}o WHERE z > a),
+{p}i AS (SELECT table_id, 'error' AS severity FROM (SELECT tb.table_id, count({p}s.k) AS n FROM tb LEFT JOIN {p}s USING (table_id) GROUP BY 1) WHERE n <> 3 UNION ALL SELECT table_id, 'error' FROM {p}s GROUP BY table_id, k HAVING count(*) > 1 UNION ALL SELECT table_id, 'error' FROM {p}o WHERE z <= a
+  UNION ALL SELECT table_id, 'error' FROM {p}g WHERE a < {low} - 1.5 OR z > {high} + 1.5 UNION ALL SELECT table_id, 'error' FROM {p}g WHERE a < before - CAST(1.5 AS DOUBLE) UNION ALL SELECT table_id, 'warning' FROM {p}g WHERE abs(a - before) > CAST(1.5 AS DOUBLE){thin}),
+{p}f AS (SELECT table_id, least(greatest(coalesce(ok, 0) / CAST(3 AS DOUBLE) - coalesce(e, 0) * CAST(0.12 AS DOUBLE), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS score, coalesce(e, 0) AS e, coalesce(w, 0) AS w FROM tb LEFT JOIN (SELECT table_id, count(DISTINCT k) AS ok FROM {p}s WHERE z > a GROUP BY 1) USING (table_id)
+  LEFT JOIN (SELECT table_id, count_if(severity = 'error') AS e, count_if(severity = 'warning') AS w FROM {p}i GROUP BY 1) USING (table_id))"""
 
 
 _CL = lambda x: f"least(greatest({x}, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))"
-TABLE_VALIDATION = _OWN + f""", e AS (SELECT table_id, count(*) AS grid_errors, count_if(code = 'DUPLICATE_CELL_ANCHOR') AS dup, count_if(code = 'CELL_SPAN_OUTSIDE_GRID') AS outside, count_if(code IN ('UNCOVERED_GRID_POSITION', 'OVERLAPPING_GRID_OWNERSHIP')) AS not_once FROM iss GROUP BY table_id),
+_PART = lambda s, w: f"{s} * CAST({w} AS DOUBLE)"
+_WEIGHTS = {"structure_score": 0.35, "geometry_score": 0.2, "content_score": 0.15, "merge_score": 0.1, "style_score": 0.1, "reconstruction_score": 0.1}
+TABLE_VALIDATION = _OWN + _axis("r", ROW_SEGMENTS, "20", "110", False) + _axis("k", COLUMN_SEGMENTS, "10", "250", True) + f""", e AS (SELECT table_id, count(*) AS grid_errors, count_if(code = 'DUPLICATE_CELL_ANCHOR') AS dup, count_if(code = 'CELL_SPAN_OUTSIDE_GRID') AS outside, count_if(code IN ('UNCOVERED_GRID_POSITION', 'OVERLAPPING_GRID_OWNERSHIP')) AS not_once FROM iss GROUP BY table_id),
 p AS (SELECT table_id, count(*) AS cells, count_if(row_span > 1 OR column_span > 1) AS merged, count_if((row_span > 1 OR column_span > 1) AND coalesce(merge_confidence < CAST(0.72 AS DOUBLE), false)) AS weak, count_if(synthetic AND has_content) AS filled, sum(CASE WHEN synthetic THEN row_span * column_span ELSE 0 END) AS made FROM c GROUP BY table_id),
-s AS (SELECT tb.table_id, coalesce(grid_errors, 0) AS grid_errors, weak, filled, confidence, least(made / CAST(9 AS DOUBLE), CAST(1 AS DOUBLE)) AS made, {_CL('(9 - coalesce(not_once, 0)) / CAST(9 AS DOUBLE) - coalesce(dup, 0) * CAST(0.1 AS DOUBLE) - coalesce(outside, 0) * CAST(0.1 AS DOUBLE)')} AS structure_score,
-  {_CL('(cells - filled) / CAST(greatest(cells, 1) AS DOUBLE) - filled * CAST(0.1 AS DOUBLE)')} AS content_score, CASE WHEN merged = 0 THEN CAST(1 AS DOUBLE) ELSE {_CL('(merged - weak) / CAST(greatest(merged, 1) AS DOUBLE)')} END AS merge_score,
-  {_CL('1 - least(made / CAST(9 AS DOUBLE), CAST(1 AS DOUBLE))')} AS reconstruction_score FROM tb LEFT JOIN e USING (table_id) LEFT JOIN p USING (table_id)),
-d AS (SELECT *, (structure_score * CAST(0.35 AS DOUBLE) + CAST(0.2 AS DOUBLE) + content_score * CAST(0.15 AS DOUBLE) + merge_score * CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE) + reconstruction_score * CAST(0.1 AS DOUBLE)) * CAST(0.85 AS DOUBLE) + {_CL('confidence')} * CAST(0.15 AS DOUBLE) AS native_confidence,
-  CAST(grid_errors + weak + filled + CASE WHEN made > CAST(0.35 AS DOUBLE) THEN 1 ELSE 0 END AS BIGINT) AS errors, CAST(CASE WHEN made > 0 AND made <= CAST(0.35 AS DOUBLE) THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM s)
-SELECT table_id, structure_score, content_score, merge_score, reconstruction_score, native_confidence, errors, warnings, CASE WHEN errors > 0 OR native_confidence < CAST(0.65 AS DOUBLE) THEN 'visual_fallback' WHEN warnings > 0 THEN 'native_with_warnings' WHEN native_confidence >= CAST(0.8 AS DOUBLE) THEN 'native_safe' ELSE 'native_with_warnings' END AS decision FROM d"""
+b AS (SELECT table_id, count(*) AS edges, count_if(style IS NULL OR style = 'wavy' OR width < 0) AS bad FROM ({BORDERS}) GROUP BY table_id),
+s AS (SELECT tb.table_id, coalesce(grid_errors, 0) AS grid_errors, weak, filled, confidence, rf.e + kf.e AS axis_errors, rf.w + kf.w AS gaps, bad, CASE WHEN tb.table_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN tb.table_id % 19 = 0 THEN 1 ELSE 0 END AS odd,
+  least(made / CAST(9 AS DOUBLE), CAST(1 AS DOUBLE)) AS made, {_CL('(9 - coalesce(not_once, 0)) / CAST(9 AS DOUBLE) - coalesce(dup, 0) * CAST(0.1 AS DOUBLE) - coalesce(outside, 0) * CAST(0.1 AS DOUBLE)')} AS structure_score, (rf.score + kf.score) / 2 AS geometry_score,
+  {_CL('(cells - filled) / CAST(greatest(cells, 1) AS DOUBLE) - filled * CAST(0.1 AS DOUBLE)')} AS content_score, CASE WHEN merged = 0 THEN CAST(1 AS DOUBLE) ELSE {_CL('(merged - weak) / CAST(greatest(merged, 1) AS DOUBLE)')} END AS merge_score, (edges - bad) / CAST(edges AS DOUBLE) AS style_score,
+  {_CL('1 - least(made / CAST(9 AS DOUBLE), CAST(1 AS DOUBLE))')} AS reconstruction_score FROM tb LEFT JOIN e USING (table_id) LEFT JOIN p USING (table_id) LEFT JOIN rf USING (table_id) LEFT JOIN kf USING (table_id) LEFT JOIN b USING (table_id)),
+d AS (SELECT *, ({' + '.join(_PART(k, w) for k, w in _WEIGHTS.items())}) * CAST(0.85 AS DOUBLE) + {_CL('confidence')} * CAST(0.15 AS DOUBLE) AS native_confidence,
+  CAST(grid_errors + weak + filled + CASE WHEN made > CAST(0.35 AS DOUBLE) THEN 1 ELSE 0 END + axis_errors + bad + odd AS BIGINT) AS errors, CAST(CASE WHEN made > 0 AND made <= CAST(0.35 AS DOUBLE) THEN 1 ELSE 0 END + gaps AS BIGINT) AS warnings FROM s)
+SELECT table_id, {', '.join(_WEIGHTS)}, native_confidence, errors, warnings, CASE WHEN errors > 0 OR native_confidence < CAST(0.65 AS DOUBLE) THEN 'visual_fallback' WHEN warnings > 0 THEN 'native_with_warnings' WHEN native_confidence >= CAST(0.8 AS DOUBLE) THEN 'native_safe' ELSE 'native_with_warnings' END AS decision FROM d"""
 
 
 def merge_proposals(spark, sf_dir):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelattice.functions.numbers import hex_of_unit, rgb
+from pagelattice.operators.grouped import map_groups, worker_path
 from pagelattice.operators.vectors import drawing_type
 
 _BOX = "array<double>"
@@ -18,15 +20,14 @@ PAGE = (
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages from JSON lines files, with a fixed schema; malformed lines are dropped by mode."""
-    return spark.read.schema(PAGE).option("mode", "DROPMALFORMED").json(path)
+    """Pages from JSON lines files, with a fixed schema. A malformed line is a row of nulls with the line in
+    corrupt_record, which is null otherwise, so that lines can be counted and none is lost."""
+    return spark.read.schema(f"{PAGE}, corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_record").json(path)
 
 
 def read_pdfs(spark: SparkSession, path: str, decode) -> DataFrame:
     """Pages of PDF files by a decoder, a function from bytes to rows of PAGE as dicts. No decoder
     library ships with this package; files are read by Spark, a row each."""
-    from pagelattice.operators.grouped import worker_path
-
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -76,22 +77,27 @@ def images(pages: DataFrame) -> DataFrame:
 def vectors(pages: DataFrame) -> DataFrame:
     """Painted drawings with a box, numbered in the order of the page, with the clips that hold for them.
 
-    A clip holds until a row of its level or a lower one follows. That is a window over the page's
-    rows: a clip is active for a drawing if no row between them has a level up to the clip's.
+    A clip holds until a row of its level or a lower one follows: one pass over a page's rows, with a
+    stack of clips whose levels rise. Null levels count as 0; the rows of equal pages run together.
     """
     d = pages.select("doc_id", "page_number", F.posexplode("drawings").alias("seq", "d"))
-    d = d.withColumn("level", F.coalesce(F.expr("try_cast(d.level as int)"), F.lit(0)))
-    page = Window.partitionBy("doc_id", "page_number").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_before", F.collect_list(F.struct("seq", "level", (F.col("d.type") == "clip").alias("clip"), F.col("d.scissor").alias("box"))).over(page))
-    d = d.where(F.col("d.type").isin("f", "s", "fs") & F.col("d.rect").isNotNull())
-    start = F.array().cast("array<struct<level:int,box:array<double>>>")
-
-    def step(acc, r):
-        kept = F.filter(acc, lambda c: c["level"] < r["level"])
-        return F.when(F.coalesce(r["clip"], F.lit(False)), F.concat(kept, F.array(F.struct(r["level"].alias("level"), r["box"].alias("box"))))).otherwise(kept)
-
-    clips = F.filter(F.aggregate("_before", start, step), lambda c: c["level"] < F.col("level"))
-    color = lambda c: hex_of_unit(*[F.try_element_at(F.col(f"d.{c}"), F.lit(k)) for k in (1, 2, 3)])
+    painted = F.coalesce(F.col("d.type").isin("f", "s", "fs") & F.col("d.rect").isNotNull(), F.lit(False))
+    d = d.select("doc_id", "page_number", "seq", F.coalesce(F.expr("try_cast(d.level as int)"), F.lit(0)).alias("level"), F.coalesce(F.col("d.type") == "clip", F.lit(False)).alias("clip"), painted.alias("painted"), F.col("d.scissor").alias("box"), "d.rect", "d.items", "d.fill", "d.color", "d.width", "d.dashes")
+    kept = ("doc_id", "page_number", "seq", "level", "rect", "items", "fill", "color", "width", "dashes")
+
+    def fold(rows):
+        clips: list[dict] = []
+        for r in rows:
+            if r["painted"]:
+                yield {**{c: r[c] for c in kept}, "clips": [c for c in clips if c["level"] < r["level"]]}
+            while clips and clips[-1]["level"] >= r["level"]:
+                clips.pop()
+            if r["clip"]:
+                clips.append({"level": r["level"], "box": r["box"]})
+
+    schema = T.StructType([d.schema[c] for c in kept] + [T.StructField("clips", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("box", T.ArrayType(T.DoubleType()))])))])
+    d = map_groups(d, ["doc_id", "page_number"], ["seq"], fold, schema)
+    color = lambda c: hex_of_unit(*[F.try_element_at(F.col(c), F.lit(k)) for k in (1, 2, 3)])
     return d.select(
-        "doc_id", "page_number", (F.col("seq") + 1).alias("sequence_number"), "level", *_edges(F.col("d.rect")), drawing_type(F.coalesce("d.items", F.array().cast("array<string>"))).alias("drawing_type"),
-        color("fill").alias("fill_color"), color("color").alias("stroke_color"), F.coalesce(F.expr("try_cast(d.width as double)"), F.lit(0.0)).alias("stroke_width"), F.col("d.dashes").alias("dashes"), clips.alias("clips"))
+        "doc_id", "page_number", (F.col("seq") + 1).alias("sequence_number"), "level", *_edges(F.col("rect")), drawing_type(F.coalesce("items", F.array().cast("array<string>"))).alias("drawing_type"),
+        color("fill").alias("fill_color"), color("color").alias("stroke_color"), F.coalesce(F.expr("try_cast(width as double)"), F.lit(0.0)).alias("stroke_width"), "dashes", "clips")

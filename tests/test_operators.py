@@ -131,6 +131,10 @@ def test_sources_and_stream(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps(_page()) + "\n")
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "b.json").write_text(json.dumps(_page()) + "\n{broken\n")
+    odd = pages.read_pages(spark, str(tmp_path / "odd")).cache()
+    assert sorted(str(r.corrupt_record) for r in odd.collect()) == ["None", "{broken"] and pages.spans(odd).count() == 1
     p = pages.read_pages(spark, str(tmp_path / "in"))
     assert [(r.text, r.rgb.blue, r.left) for r in pages.spans(p).collect()] == [("Hi", 255, 1.0)]
     assert [(r.ext, r.xres) for r in pages.images(p).collect()] == [("png", 72)]
@@ -150,3 +154,23 @@ def test_docx_and_json(spark, tmp_path):
     assert "margin-left:1.00pt" in zipfile.ZipFile(BytesIO(docx.documents(fixed, fixed=True).collect()[0].docx)).read("word/document.xml").decode()
     reports.write_report(df.select("doc_id").limit(1), df.select("page_number"), str(tmp_path / "x/r.json"))
     assert '"issues"' in (tmp_path / "x/r.json").read_text()
+
+
+def test_drawing_groups_are_visited_from_the_top(spark):
+    boxes = [(9, 10.0, 10.0, 20.0, 20.0), (1, 200.0, 300.0, 220.0, 310.0), (5, 25.0, 12.0, 40.0, 22.0), (2, 45.0, 14.0, 60.0, 25.0), (3, 11.0, 10.0, 12.0, 11.0)]
+    df = spark.createDataFrame([(1, i, "icon", *b) for i, *b in boxes], "page int, id int, category string, left double, top double, right double, bottom double")
+    got = {r.id: (r.group_number, r.group_left, r.group_bottom) for r in vectors.groups(df, ["page"], "id", 600.0, 800.0).collect()}
+    assert {i: g[0] for i, g in got.items()} == {9: 1, 3: 1, 5: 1, 2: 1, 1: 2} and got[9][1:] == (10.0, 25.0) and got[1][1:] == (200.0, 310.0)
+
+
+def test_table_validation_faults(spark):
+    t = spark.createDataFrame([(k, 1, 2, 0.0, 0.0, 200.0, 20.0, 200.0, 20.0, 0.9, 90.0 if k == 6 else None, k == 7) for k in range(8)], "table_id int, row_count int, column_count int, left double, top double, right double, bottom double, width double, height double, confidence double, rotation double, has_vertical_text boolean")
+    cells = spark.createDataFrame([(k, 0, c, 1, 1, False, True, None) for k in range(8) for c in (0, 1)], "table_id int, row_index int, column_index int, row_span int, column_span int, synthetic boolean, has_content boolean, merge_confidence double")
+    rows = spark.createDataFrame([(k, 0, 0.0, 20.0) for k in range(8) if k != 1], "table_id int, k int, start double, end double")
+    edge = {2: 120.0, 3: 90.0, 4: 198.0}
+    columns = spark.createDataFrame([r for k in range(8) for r in ((k, 0, 0.0, edge.get(k, 100.0)), (k, 1, 198.0 if k == 4 else 100.0, 200.0))], "table_id int, k int, start double, end double")
+    borders = spark.createDataFrame([(k, "wavy" if k == 5 else "single", 0.5) for k in range(8) for _ in range(8)], "table_id int, style string, width double")
+    got = {r.table_id: r for r in tables.validated(t, cells, rows, columns, borders, ["table_id"]).collect()}
+    assert {k: r.decision for k, r in got.items()} == {0: "native_safe", 3: "native_with_warnings"} | dict.fromkeys((1, 2, 4, 5, 6, 7), "visual_fallback")
+    assert (got[0].geometry_score, got[1].geometry_score, got[5].style_score, got[5].errors) == (1.0, 0.5, 0.0, 8)
+    assert abs(got[2].geometry_score - 0.94) < 1e-9 and got[4].errors == 1 and got[3].warnings == 1

@@ -55,9 +55,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this library's place added to the Python workers' path. On a cluster
-    whose nodes don't have it there, ship the package with --py-files."""
+    whose nodes don't have it there, ship the package with --py-files. Batches are bounded by 8 MB
+    unless the session says otherwise, since 10,000 long texts are too many for a worker."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES) == "67108864b":  # Spark's own value
+        conf.set(_BATCH_BYTES, str(8 << 20))
     env = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):

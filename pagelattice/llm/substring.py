@@ -312,20 +312,23 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = "doc_id long, removed boolean, start int, end int, n_words int, cluster_id long, first_doc long"
 
     def merge(batches):
-        for b in batches:
-            out = []
-            for doc, removed, spans in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "removed", "p")), strict=True):
-                open_ = None
-                for s in [*sorted((tuple(s.values()) for s in spans)), None]:
-                    if s and open_ and s[0] <= open_[1]:
-                        open_ = (open_[0], max(open_[1], s[1]), open_[2], max(open_[3], s[3]), min(open_[4], s[4]), min(open_[5], s[5]))
-                        continue
-                    if open_ and open_[1] - open_[0] >= SHORTEST:
-                        out.append((doc, removed, open_[2], open_[3], open_[1] - open_[0], open_[4], open_[5]))
-                    open_ = s
-            if out:
-                types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+        for b in _small(batches):
+            lists = b.column(b.schema.get_field_index("p"))
+            spans, row = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            get = {c: spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sw", "ew", "start", "end", "cluster_id", "first_doc")}
+            order = np.lexsort((get["sw"], row))
+            row, get = row[order], {c: v[order] for c, v in get.items()}
+            # a stretch begins where no span before it in the document reaches; rows rise, so one running maximum serves
+            reach = np.maximum.accumulate((row << 32) + get["ew"])
+            first = np.flatnonzero(np.append(True, ((row << 32) + get["sw"])[1:] > reach[:-1])) if len(row) else np.zeros(0, int)
+            if not len(first):
+                continue
+            out = {c: np.minimum.reduceat(get[c], first) for c in ("sw", "start", "cluster_id", "first_doc")} | {c: np.maximum.reduceat(get[c], first) for c in ("ew", "end")}
+            words = out["ew"] - out["sw"]
+            ok, at = words >= SHORTEST, pa.array(row[first])
+            columns = [b.column(b.schema.get_field_index(c)).take(at) for c in ("doc_id", "removed")]
+            columns += [pa.array(x.astype(t)) for x, t in ((out["start"], np.int32), (out["end"], np.int32), (words, np.int32), (out["cluster_id"], np.int64), (out["first_doc"], np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")]).filter(pa.array(ok))
 
     out = cut(map_arrow(grouped, merge, schema).select("doc_id", "start", "end", "n_words", "removed", "cluster_id", "first_doc"))
     discard(parts, *made)

@@ -102,6 +102,19 @@ def issues(results: DataFrame, expected: Column | None = None) -> DataFrame:
     return results.withColumn("issue_codes", codes)
 
 
+def result_issues(paragraphs: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, code, severity: visible paragraphs without a result or with several, and results of no paragraph.
+
+    keys name a paragraph. A paragraph of several results has one row, and so has one that is listed
+    more than once; null keys are one paragraph. Both sides are counted in one aggregate, without a join.
+    """
+    sides = [d.select(*keys, F.lit(own).alias("_p"), F.lit(1 - own).alias("_r")) for d, own in ((paragraphs, 1), (results, 0))]
+    counted = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
+    cases = ((F.col("_r") > 1, "duplicate_result", "error"), (F.col("_r") == 0, "missing_result", "error"), (F.col("_p") == 0, "extra_result", "warning"))
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for c, code, severity in cases]))
+    return counted.select(*keys, F.inline(found))
+
+
 def report(issued: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by alignment and reference, mean and least confidence and warnings, per key; () for the whole."""
     count = lambda c, v: F.count_if(F.col(c) == v)

@@ -72,6 +72,22 @@ ALIGNMENT_REPORT = _ISSUES + " SELECT doc_id, count(*) AS results, " + ", ".join
   CAST(count_if(confidence < CAST(0.55 AS DOUBLE)) AS BIGINT) AS low_confidence_count, CAST(sum(len(codes)) AS BIGINT) AS warning_count FROM codes GROUP BY doc_id"""
 
 
+def alignment_result_issues(spark, sf_dir):
+    """Results numbered by squares of line pairs against paragraphs of three lines: some lack one, some have two."""
+    line = view(spark, sf_dir, "line").select("doc_id", "page_number", "line_index")
+    numbered = lambda n: F.floor(F.col("line_index") / n).cast("long")
+    paragraphs = line.select("doc_id", "page_number", numbered(3).alias("paragraph_no")).distinct()
+    pair = line.select("doc_id", "page_number", numbered(2).alias("q")).distinct()
+    results = pair.select("doc_id", "page_number", F.floor(F.col("q") * F.col("q") / 3).cast("long").alias("paragraph_no"))
+    return alignment.result_issues(paragraphs, results, _KEYS)
+
+
+ALIGNMENT_RESULT_ISSUES = duckdb("line") + """, p AS (SELECT DISTINCT doc_id, page_number, CAST(line_index // 3 AS BIGINT) AS paragraph_no FROM line),
+s AS (SELECT DISTINCT doc_id, page_number, CAST(line_index // 2 AS BIGINT) AS q FROM line), r AS (SELECT doc_id, page_number, q * q // 3 AS paragraph_no FROM s)
+SELECT *, 'missing_result' AS code, 'error' AS severity FROM (SELECT * FROM p EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'extra_result', 'warning' FROM (SELECT * FROM r EXCEPT SELECT * FROM p)
+UNION ALL SELECT doc_id, page_number, paragraph_no, 'duplicate_result', 'error' FROM r GROUP BY ALL HAVING count(*) > 1"""
+
+
 def container_reference(spark, sf_dir):
     """Reference region of each box: regions are the page's wide boxes, by rank of type and area."""
     b = view(spark, sf_dir, "box")
@@ -87,5 +103,5 @@ p AS (SELECT i.page_number, item, rank, (xr - xl) * (xb - xt) AS size, region_id
 q AS (SELECT page_number, item, min(CASE WHEN ok THEN {'a': rank, 'b': size, 'c': region_id, 'd': region_type} END) AS best FROM p GROUP BY page_number, item)
 SELECT page_number, item, best.c AS region_id, coalesce(best.d, 'page') AS reference_type FROM q"""
 
-QUERIES = {"alignment_class": alignment_class, "alignment_issues": alignment_issues, "alignment_report": alignment_report, "container_reference": container_reference}
-SQL = {"alignment_class": ALIGNMENT_CLASS, "alignment_issues": ALIGNMENT_ISSUES, "alignment_report": ALIGNMENT_REPORT, "container_reference": CONTAINER_REFERENCE}
+QUERIES = {"alignment_class": alignment_class, "alignment_issues": alignment_issues, "alignment_report": alignment_report, "alignment_result_issues": alignment_result_issues, "container_reference": container_reference}
+SQL = {"alignment_class": ALIGNMENT_CLASS, "alignment_issues": ALIGNMENT_ISSUES, "alignment_report": ALIGNMENT_REPORT, "alignment_result_issues": ALIGNMENT_RESULT_ISSUES, "container_reference": CONTAINER_REFERENCE}

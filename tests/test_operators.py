@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import text as X
 from pagelattice.functions.geometry import Box
-from pagelattice.operators import layout, lists, paragraphs, tables, unicode, vectors
+from pagelattice.operators import alignment, layout, lists, paragraphs, tables, unicode, vectors
 from pagelattice.operators.coverage import coverage, union_area
 from pagelattice.sources import docx, pages, reports
 
@@ -174,3 +174,11 @@ def test_table_validation_faults(spark):
     assert {k: r.decision for k, r in got.items()} == {0: "native_safe", 3: "native_with_warnings"} | dict.fromkeys((1, 2, 4, 5, 6, 7), "visual_fallback")
     assert (got[0].geometry_score, got[1].geometry_score, got[5].style_score, got[5].errors) == (1.0, 0.5, 0.0, 8)
     assert abs(got[2].geometry_score - 0.94) < 1e-9 and got[4].errors == 1 and got[3].warnings == 1
+
+
+def test_results_against_paragraphs(spark):
+    p = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, None)], "page int, n int")
+    r = spark.createDataFrame([(1, 2), (1, 3), (1, 3), (1, 9), (2, 9), (2, 9)], "page int, n int")
+    got = sorted((x.page, x.n or 0, x.code, x.severity) for x in alignment.result_issues(p, r, ["page", "n"]).collect())
+    assert got == [(1, 0, "missing_result", "error"), (1, 1, "missing_result", "error"), (1, 3, "duplicate_result", "error"), (1, 9, "extra_result", "warning"), (2, 9, "duplicate_result", "error"), (2, 9, "extra_result", "warning")]
+    assert alignment.result_issues(p.limit(0), r.limit(0), ["page", "n"]).count() == 0

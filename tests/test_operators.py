@@ -3,6 +3,7 @@
 import random
 import zipfile
 from io import BytesIO
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -182,3 +183,15 @@ def test_results_against_paragraphs(spark):
     got = sorted((x.page, x.n or 0, x.code, x.severity) for x in alignment.result_issues(p, r, ["page", "n"]).collect())
     assert got == [(1, 0, "missing_result", "error"), (1, 1, "missing_result", "error"), (1, 3, "duplicate_result", "error"), (1, 9, "extra_result", "warning"), (2, 9, "duplicate_result", "error"), (2, 9, "extra_result", "warning")]
     assert alignment.result_issues(p.limit(0), r.limit(0), ["page", "n"]).count() == 0
+
+
+def test_docx_borders(spark):
+    borders = [("right", "dotted", 0.1, None), ("top", "double", 1.5, "#ff00aa"), ("left", "none", 1.0, None), ("top", "single", 9.0, None), ("bottom", "wavy", None, None)]
+    side = "array<struct<side:string,style:string,width:double,color:string>>"
+    cells = [(0, c, 1, 1, "x", None, borders if c else None) for c in (0, 1)]
+    df = spark.createDataFrame([(1, 1, 1, cells)], f"doc_id int, page_number int, render_order int, cells array<struct<row_index:int,column_index:int,row_span:int,column_span:int,text:string,fill:string,borders:{side}>>")
+    root = ElementTree.fromstring(zipfile.ZipFile(BytesIO(docx.documents(df).collect()[0].docx)).read("word/document.xml"))
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    (found,) = root.iter(f"{w}tcBorders")
+    got = [(e.tag.removeprefix(w), e.get(f"{w}val"), e.get(f"{w}sz"), e.get(f"{w}color")) for e in found]
+    assert got == [("top", "double", "12", "FF00AA"), ("left", "nil", "0", "000000"), ("bottom", "single", "2", "000000"), ("right", "dotted", "2", "000000")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -41,11 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="pagelattice-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+#: Seconds between two collections of the driver's garbage.
+FREE_EVERY = 5
+_freed = 0.0
+
+
+def _free_shuffles(spark) -> None:
+    """Spark deletes a finished shuffle's files only when the driver's JVM collects what refers to it, by
+    default every half an hour; a table that is written needs none of them."""
+    global _freed
+    if time.monotonic() - _freed > FREE_EVERY:
+        spark._jvm.System.gc()
+        _freed = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of cut() that nothing lazy reads any more."""
     for t in tables:

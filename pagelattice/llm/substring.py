@@ -176,7 +176,10 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     partition that may go on in the next one. Such runs leave a summary, kind 2, and these few settle
     the rest.
     """
-    order = ["node", "doc_id", "sw"]
+    # a place goes through the shuffle as two numbers, start << 32 | length
+    pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR((F.col(b) - F.col(a)).cast("long"))
+    order = ["node", "doc_id", "words"]
+    rows = rows.select("node", "doc_id", pair("sw", "ew").alias("words"), pair("start", "end").alias("chars"))
     listed = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
     names = ["node", "doc_id", "sw", "ew", "start", "end"]
     types = [np.int64, np.int64] + [np.int32] * 4
@@ -206,9 +209,10 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
 
         state, begun = None, False
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+            cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("node", "doc_id", "words", "chars")]
             if not len(cols[0]):
                 continue
+            cols = cols[:2] + [x for c in cols[2:] for x in (c >> 32, (c >> 32) + (c & 0xFFFFFFFF))]
             start = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             bounds = np.append(start, len(cols[0]))
             at = 0

@@ -201,7 +201,7 @@ def page_field(c: str | Column) -> Column:
 def signature(c: str | Column) -> Column:
     """Text that repeats on pages but for its numbers, as one signature; null text as empty.
 
-    Compatibility forms (NFKC) have no built-in; see operators.unicode.nfkc for a column that needs it.
+    Compatibility forms (NFKC) have no built-in: the column comes through operators.unicode.nfkc where they count.
     """
     t = F.lower(collapse(F.coalesce(_c(c), F.lit(""))))
     number = r"(?:\d+|[ivxlcdm]+)"

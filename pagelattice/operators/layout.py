@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions.text import signature
 from pagelattice.operators.grouped import map_groups
+from pagelattice.operators.unicode import nfkc
 
 BAND_RATIO, BAND_HEIGHT, BAND_TEXT = 0.14, (48.0, 110.0), 180
 REPEATED, SPREAD, BUCKET = 0.5, 0.035, 0.08
@@ -27,9 +28,10 @@ def repeated_bands(paragraphs: DataFrame, doc_key: str, page_key: str, id_col: s
     differ by 0.035 of the height. A paragraph keeps its best confidence.
     """
     cx, cy = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    p = paragraphs.withColumns({"band": band(cy, height), "signature": signature("text"), "bucket": F.rint(cx / F.lit(max(width, 1.0)) / BUCKET).cast("int"), "y": cy / F.lit(max(height, 1.0))})
+    p = paragraphs.withColumns({"band": band(cy, height), "bucket": F.rint(cx / F.lit(max(width, 1.0)) / BUCKET).cast("int"), "y": cy / F.lit(max(height, 1.0))})
     pages = paragraphs.groupBy(doc_key).agg(F.count_distinct(page_key).alias("pages"))
-    c = p.where(F.col("band").isNotNull() & (F.col("signature") != "") & (F.char_length("text") <= BAND_TEXT))
+    # only the short texts of the bands go through Python, for their normal form
+    c = p.where(F.col("band").isNotNull() & (F.char_length("text") <= BAND_TEXT)).withColumn("signature", signature(nfkc(F.col("text")))).where("signature <> ''")
     groups = c.groupBy(doc_key, "band", "signature", "bucket").agg(F.count_distinct(page_key).alias("on_pages"), (F.max("y") - F.min("y")).alias("spread")).join(pages, doc_key)
     groups = groups.where((F.col("pages") >= 2) & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * REPEATED))) & (F.col("spread") <= SPREAD))
     score = F.lit(0.55) + F.col("on_pages") / F.col("pages") * 0.3 + F.greatest(F.lit(0.0), F.lit(1.0) - F.col("spread") / SPREAD) * 0.15

@@ -149,35 +149,89 @@ UNSUPPORTED = ("has_diagonal_borders", "has_non_rectangular_cells", "has_nested_
 AVAILABLE, NARROWEST = 468.0, 6.0
 
 
+def _count(array: Column, test) -> Column:
+    return F.size(F.filter(array, test))
+
+
+def _axis_counts(d: DataFrame, name: str, count: str, low: str, high: str, tolerance: float, available: float | None) -> DataFrame:
+    """d with {name}_errors, {name}_gaps and {name}_score, from the array in the column {name}."""
+    raw, c = F.coalesce(F.col(name), F.array().cast("array<struct<k:int,start:double,end:double>>")), F.col(count)
+    finite = lambda s: F.coalesce(~F.isnan(s["start"]) & ~F.isnan(s["end"]) & (F.abs(s["start"]) < float("inf")) & (F.abs(s["end"]) < float("inf")), F.lit(False))
+    by, one, fin, good = (f"_{name}_{x}" for x in ("by", "one", "finite", "good"))
+    # by index, start and end downwards, so that the last definition of an index comes first
+    d = d.withColumn(by, F.sort_array(raw, asc=False))
+    new = lambda s, i: (i == 0) | ~F.get(F.col(by), i - 1)["k"].eqNullSafe(s["k"])
+    d = d.withColumn(one, F.reverse(F.filter(by, lambda s, i: F.coalesce((s["k"] >= 0) & (s["k"] < c), F.lit(False)) & new(s, i))))
+    d = d.withColumn(fin, F.filter(one, finite))
+    d = d.withColumn(good, F.filter(fin, lambda s: s["end"] - s["start"] > 0))
+    twice = F.size(F.filter(F.transform(by, lambda s, i: (i > 0) & F.get(F.col(by), i - 1)["k"].eqNullSafe(s["k"]) & ((i == 1) | ~F.get(F.col(by), i - 2)["k"].eqNullSafe(s["k"]))), lambda x: F.coalesce(x, F.lit(False))))
+    out = _count(F.col(good), lambda s: (s["start"] < F.col(low) - tolerance) | (s["end"] > F.col(high) + tolerance))
+    before = F.transform(good, lambda s, i: F.when(i > 0, s["start"] - F.get(F.col(good), i - 1)["end"]))
+    steps = f"_{name}_steps"
+    d = d.withColumn(steps, before)
+    errors = F.when(F.size(by) != c, 1).otherwise(0) + twice + (F.size(one) - F.size(fin)) + (F.size(fin) - F.size(good)) + out
+    errors = errors + _count(F.transform(good, lambda s, i: (i > 0) & (s["start"] < F.get(F.col(good), i - 1)["end"] - tolerance)), lambda x: x)
+    if available is not None:
+        widths = F.transform(fin, lambda s: F.greatest(s["end"] - s["start"], F.lit(0.0)))
+        total = F.aggregate(widths, F.lit(0.0), lambda acc, x: acc + x)
+        errors = errors + F.when(total > 0, _count(widths, lambda x: x * (F.least(total, F.lit(available)) / total) < NARROWEST)).otherwise(0)
+    usable = F.size(F.array_distinct(F.transform(F.filter(by, lambda s: F.coalesce((s["k"] >= 0) & (s["end"] > s["start"]) & (s["k"] < c), F.lit(False)) & finite(s)), lambda s: s["k"])))
+    d = d.withColumns({f"{name}_errors": errors.cast("long"), f"{name}_gaps": _count(F.col(steps), lambda x: F.abs(x) > tolerance).cast("long"), f"{name}_usable": usable})
+    score = F.least(F.greatest(F.col(f"{name}_usable") / F.greatest(c, F.lit(1)) - F.col(f"{name}_errors") * 0.12, _d(0)), _d(1))
+    return d.withColumn(f"{name}_score", score).drop(by, one, fin, good, steps, f"{name}_usable", name)
+
+
+def _grid_counts(d: DataFrame, cells: str) -> DataFrame:
+    """d with the numbers of ownership()'s issues, from the table's cells as one array: dup, outside, gaps, overlaps."""
+    rows, cols = F.col("row_count"), F.col("column_count")
+    fits = lambda c: F.coalesce((c["r"] >= 0) & (c["c"] >= 0) & (c["h"] >= 1) & (c["w"] >= 1) & (c["r"] + c["h"] <= rows) & (c["c"] + c["w"] <= cols), F.lit(False))
+    raw = F.coalesce(F.col(cells), F.array().cast("array<struct<r:int,c:int,h:int,w:int>>"))
+    d = d.withColumn("_own", F.filter(raw, fits))
+    at = lambda c: F.flatten(F.transform(F.sequence(c["r"], c["r"] + c["h"] - 1), lambda i: F.transform(F.sequence(c["c"], c["c"] + c["w"] - 1), lambda j: i.cast("long") * cols + j)))
+    d = d.withColumns({"_held": F.array_sort(F.flatten(F.transform("_own", at))), "_anchors": F.sort_array(F.transform(raw, lambda c: F.struct(c["r"], c["c"])))})
+
+    def repeated(name):
+        a = F.col(name)
+        return F.size(F.filter(F.transform(a, lambda x, i: (i > 0) & x.eqNullSafe(F.get(a, i - 1)) & ((i == 1) | ~x.eqNullSafe(F.get(a, i - 2)))), lambda x: F.coalesce(x, F.lit(False))))
+
+    total = F.greatest(rows, F.lit(0)).cast("long") * F.greatest(cols, F.lit(0))
+    d = d.withColumns({"dup": repeated("_anchors"), "outside": F.size(raw) - F.size("_own"), "gaps": total - F.size(F.array_distinct("_held")), "overlaps": repeated("_held")})
+    return d.drop("_own", "_held", "_anchors", cells)
+
+
 def validated(tables: DataFrame, cells: DataFrame, rows: DataFrame, columns: DataFrame, borders: DataFrame, keys: list[str], available: float = AVAILABLE) -> DataFrame:
     """Scores and decision per table from sizes, row and column geometry, ownership, content, merges, borders,
     synthetic cells and features that native tables lack.
 
     tables: row_count, column_count, the box, width, height, confidence, and where it has them rotation
-    (degrees) and the flags UNSUPPORTED. cells: spans, synthetic, has_content, merge_confidence (null unless
-    inferred). rows and columns: k, start, end. borders: style and width of each edge of each cell.
+    (degrees), the flags UNSUPPORTED and disposition, of which skip decides at once and visual_fallback stays. cells: spans, synthetic,
+    has_content, merge_confidence (null unless inferred). rows and columns: k, start, end. borders: style and
+    width of each edge of each cell. Each input is read once and meets the others by table, as one row with
+    arrays; the issues one by one are those of axis_issues(), narrow_columns() and ownership().
     """
-    by_row = axis_issues(tables, rows, keys, "row_count", "top", "bottom")
-    by_column = axis_issues(tables, columns, keys, "column_count", "left", "right").unionByName(narrow_columns(tables, columns, keys, available))
-    score = lambda found, segments, count, name: axis_score(found, tables, segments, keys, count).withColumnRenamed("score", name)
-    axes = score(by_row, rows, "row_count", "row_score").join(score(by_column, columns, "column_count", "column_score"), keys)
-    counted = by_row.unionByName(by_column).groupBy(*keys).agg(F.count_if(F.col("severity") == "error").alias("axis_errors"), F.count_if(F.col("severity") == "warning").alias("gaps"))
+    merged = (F.col("row_span") > 1) | (F.col("column_span") > 1)
+    weak = merged & (F.col("merge_confidence") < 0.72)
+    place = F.struct(F.col("row_index").cast("int").alias("r"), F.col("column_index").cast("int").alias("c"), F.col("row_span").cast("int").alias("h"), F.col("column_span").cast("int").alias("w"))
+    per = cells.groupBy(*keys).agg(
+        F.collect_list(place).alias("_cells"), F.count("*").alias("cells"), F.count_if(merged).alias("merged"), F.count_if(weak).alias("weak"), F.count_if(F.col("synthetic") & F.col("has_content")).alias("filled"),
+        F.sum(F.when(F.col("synthetic"), F.col("row_span") * F.col("column_span")).otherwise(0)).alias("made"))
+    segment = F.struct(F.col("k").cast("int").alias("k"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    along = lambda df, name: df.groupBy(*keys).agg(F.collect_list(segment).alias(name))
     sound = F.col("style").isin(*BORDER_STYLES) & (F.abs("width") < float("inf")) & (F.col("width") >= 0)
     edges = borders.groupBy(*keys).agg(F.count("*").alias("edges"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("bad_edges"))
     turned = F.pmod(F.col("rotation") % 360 + 360, F.lit(360.0)) if "rotation" in tables.columns else F.lit(None)
     odd = F.when((turned > 1.5) & (turned < 358.5), 1).otherwise(0)
     for flag in UNSUPPORTED:
         odd = odd + (F.when(F.col(flag), 1).otherwise(0) if flag in tables.columns else 0)
-    tables = tables.withColumn("unsupported", odd)
-    found = ownership(tables, cells, keys)
-    codes = found.groupBy(*keys).agg(F.count("*").alias("grid_errors"), F.count_if(F.col("code") == "DUPLICATE_CELL_ANCHOR").alias("dup"), F.count_if(F.col("code") == "CELL_SPAN_OUTSIDE_GRID").alias("outside"), F.count_if(F.col("code").isin("UNCOVERED_GRID_POSITION", "OVERLAPPING_GRID_OWNERSHIP")).alias("not_once"))
-    merged = (F.col("row_span") > 1) | (F.col("column_span") > 1)
-    weak = merged & (F.col("merge_confidence") < 0.72)
-    per = cells.groupBy(*keys).agg(
-        F.count("*").alias("cells"), F.count_if(merged).alias("merged"), F.count_if(weak).alias("weak"), F.count_if(F.col("synthetic") & F.col("has_content")).alias("filled"),
-        F.sum(F.when(F.col("synthetic"), F.col("row_span") * F.col("column_span")).otherwise(0)).alias("made"))
-    t = tables.join(codes, keys, "left").join(per, keys, "left").join(axes, keys, "left").join(counted, keys, "left").join(edges, keys, "left")
-    t = t.na.fill(0, ["grid_errors", "dup", "outside", "not_once", "cells", "merged", "weak", "filled", "made", "axis_errors", "gaps", "edges", "bad_edges"])
+    upstream = F.col("disposition") if "disposition" in tables.columns else F.lit(None).cast("string")
+    t = tables.withColumns({"unsupported": odd, "_upstream": upstream})
+    for part in (per, along(rows, "row"), along(columns, "column"), edges):
+        t = t.join(part, keys, "left")
+    t = _grid_counts(t, "_cells")
+    t = _axis_counts(t, "row", "row_count", "top", "bottom", 1.5, None)
+    t = _axis_counts(t, "column", "column_count", "left", "right", 1.5, available)
+    t = t.na.fill(0, ["cells", "merged", "weak", "filled", "made", "edges", "bad_edges"])
+    t = t.withColumns({"not_once": F.col("gaps") + F.col("overlaps"), "grid_errors": F.col("dup") + F.col("outside") + F.col("gaps") + F.col("overlaps"), "axis_errors": F.col("row_errors") + F.col("column_errors")})
     total = F.greatest(F.col("row_count") * F.col("column_count"), F.lit(1))
     clamp = lambda c: F.least(F.greatest(c, _d(0)), _d(1))
     made = F.least(F.col("made") / total, _d(1))
@@ -190,11 +244,14 @@ def validated(tables: DataFrame, cells: DataFrame, rows: DataFrame, columns: Dat
     native = F.col("structure_score") * 0.35 + F.col("geometry_score") * 0.2 + F.col("content_score") * 0.15 + F.col("merge_score") * 0.1 + F.col("style_score") * 0.1 + F.col("reconstruction_score") * 0.1
     native = native * 0.85 + clamp(F.col("confidence")) * 0.15
     errors = F.col("grid_errors") + size_errors + F.col("weak") + F.col("filled") + F.when(made > 0.35, 1).otherwise(0) + F.col("axis_errors") + F.col("bad_edges") + F.col("unsupported")
-    warnings = F.when((made > 0) & (made <= 0.35), 1).otherwise(0) + F.col("gaps")
+    warnings = F.when((made > 0) & (made <= 0.35), 1).otherwise(0) + F.col("row_gaps") + F.col("column_gaps")
     t = t.withColumns({"native_confidence": native, "errors": errors.cast("long"), "warnings": warnings.cast("long")})
+    kept_back = F.coalesce(F.col("_upstream") == "visual_fallback", F.lit(False))
+    chosen = decision(F.col("errors"), F.col("warnings"), F.col("native_confidence"), kept_back)
+    skip = F.coalesce(F.col("_upstream") == "skip", F.lit(False))
     return t.select(
-        *keys, "structure_score", "geometry_score", "content_score", "merge_score", "style_score", "reconstruction_score", "native_confidence", "errors", "warnings",
-        decision(F.col("errors"), F.col("warnings"), F.col("native_confidence"), F.lit(False)).alias("decision"))
+        *keys, "structure_score", "geometry_score", "content_score", "merge_score", "style_score", "reconstruction_score", F.when(skip, 0.0).otherwise(F.col("native_confidence")).alias("native_confidence"),
+        *(F.when(skip, 0).otherwise(F.col(c)).alias(c) for c in ("errors", "warnings")), F.when(skip, "skip").otherwise(chosen).alias("decision"))
 
 
 def _last_of_each(segments: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,17 +16,6 @@ W = f"{{{word._NAMES['w']}}}"
 R = f"{{{word._NAMES['r']}}}"
 
 
-def clustered(values, tolerance):
-    out, last, group = {}, None, []
-    for v in sorted(values):
-        if last is not None and v - last > tolerance:
-            out |= dict.fromkeys(group, sum(group) / len(group))
-            group = []
-        group.append(v)
-        last = v
-    return out | dict.fromkeys(group, sum(group) / len(group) if group else 0)
-
-
 def brute_lines(segments):
     """(at, start, end) of one direction, snapped and joined."""
     at, by, out = {}, {}, []
@@ -63,6 +52,11 @@ def brute_cells(flat, upright):
     return {(x, y, r, b) for (x, y), (b, r) in cells.items()}, set(points.values())
 
 
+def near(corner):
+    """Means of positions may differ in their last digits."""
+    return tuple(round(x, 6) for x in corner)
+
+
 def drawings(spark, rows):
     return spark.createDataFrame(rows, f"page int, {BOX}, stroke_color string, stroke_width double, fill_color string")
 
@@ -85,12 +79,12 @@ def test_cells_of_random_rulings(spark):
     points = ruling.corners(lines, ["page"])
     got = {}
     for r in points.collect():
-        got.setdefault(r.page, set()).add((r.x, r.y))
-    assert got == {p: c for p, (_, c) in want.items() if c}
+        got.setdefault(r.page, set()).add(near((r.x, r.y)))
+    assert got == {p: set(map(near, c)) for p, (_, c) in want.items() if c}
     got = {}
     for r in ruling.cells(points, ["page"]).collect():
-        got.setdefault(r.page, set()).add((r.left, r.top, r.right, r.bottom))
-    assert got == {p: c for p, (c, _) in want.items() if c} and sum(map(len, got.values())) > 100
+        got.setdefault(r.page, set()).add(near((r.left, r.top, r.right, r.bottom)))
+    assert got == {p: set(map(near, c)) for p, (c, _) in want.items() if c} and sum(map(len, got.values())) > 50
 
 
 def test_a_line_that_ends_early_does_not_hide_a_cell(spark):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -42,26 +41,11 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="pagelattice-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
-#: Seconds between two collections of the driver's garbage.
-FREE_EVERY = 5
-_freed = 0.0
-
-
-def _free_shuffles(spark) -> None:
-    """Spark deletes a finished shuffle's files only when the driver's JVM collects what refers to it, by
-    default every half an hour; a table that is written needs none of them."""
-    global _freed
-    if time.monotonic() - _freed > FREE_EVERY:
-        spark._jvm.System.gc()
-        _freed = time.monotonic()
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of cut() that nothing lazy reads any more."""
     for t in tables:
@@ -71,21 +55,26 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that a function gets at a time: 10,000 long texts are too many for a worker.
+BATCH = 8 << 20
+
+
+def _pieces(batches):
+    for b in batches:
+        rows = max(1, b.num_rows * BATCH // max(b.nbytes, 1))
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this library's place added to the Python workers' path. On a cluster
-    whose nodes don't have it there, ship the package with --py-files. Batches are bounded by 8 MB
-    unless the session says otherwise, since 10,000 long texts are too many for a worker."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_BYTES) == "67108864b":  # Spark's own value
-        conf.set(_BATCH_BYTES, str(8 << 20))
+    whose nodes don't have it there, ship the package with --py-files. run gets batches in pieces of
+    about BATCH bytes, whatever size the session gives them."""
     env = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(_pieces(batches)), schema)
 
 
 def partitions(df: DataFrame) -> int:

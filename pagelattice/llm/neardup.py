@@ -65,6 +65,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_arrow(docs.select(id_col, text_col), run, f"doc_id {kind}, n_shingles long, print binary, sketch array<bigint>")
 
 
+def _filled(batches, rows: int):
+    """The batches, put together so that each but the last has at least so many rows, as small ones would hide
+    how long a list is."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else b
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
     """Pairs (a, b), a < b, that meet in a list, and in how many (overlaps), written.
 
@@ -97,7 +111,7 @@ def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> Data
 
     def run(batches):
         held, fresh, begun = [np.zeros(0, np.int64)] * 3, 0, False
-        for batch in batches:
+        for batch in _filled(batches, 8 * SHORT):
             cols = [np.concatenate([h, batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("v", "node", "n"), strict=True)]
             v = cols[0]
             if not len(v):

@@ -114,7 +114,7 @@ def _small(batches, rows: int = 1000):
 
 def _parts(docs: DataFrame) -> DataFrame:
     """One row per document: its windows and its blocks with their bands, as arrays."""
-    schema = f"doc_id long, windows array<struct<node: long, {_PLACE.replace(' int', ': int')}>>, blocks array<struct<node: long, n: int, bands: array<bigint>, {_PLACE.replace(' int', ': int')}>>"
+    schema = f"doc_id long, version long, windows array<struct<node: long, {_PLACE.replace(' int', ': int')}>>, blocks array<struct<node: long, n: int, bands: array<bigint>, {_PLACE.replace(' int', ': int')}>>"
 
     def lists(counts, columns, names):
         ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -151,12 +151,12 @@ def _parts(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros((0, BANDS), np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
             blocks = lists(nb, [cat(blk, 0, np.int64), cat(blk, 1, np.int32), bands, *(cat(blk, k, np.int32) for k in (2, 3, 4, 5))], ["node", "n", "bands", *places])
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), windows, blocks], names=["doc_id", "windows", "blocks"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "version")), windows, blocks], names=["doc_id", "version", "windows", "blocks"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    return map_arrow(docs.select("doc_id", "version", "text"), run, schema)
 
 
-_REPEAT = f"kind int, node long, doc_id long, {_PLACE}, first_doc long, last_doc long"
+_REPEAT = f"kind int, node long, doc_id long, {_PLACE}, version long, first_doc long, last_doc long"
 
 
 class _Run:
@@ -168,7 +168,7 @@ class _Run:
 
 
 def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
-    """Rows (node, doc_id, place) whose node more than one document has, with first_doc. made gets the
+    """Rows (node, doc_id, version, place) whose node more than one document has, with first_doc. made gets the
     tables that the result reads.
 
     rows are range-sorted by (node, doc_id), so a node's first document is at the head of its run
@@ -179,10 +179,10 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     # a place goes through the shuffle as two numbers, start << 32 | length
     pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR((F.col(b) - F.col(a)).cast("long"))
     order = ["node", "doc_id", "words"]
-    rows = rows.select("node", "doc_id", pair("sw", "ew").alias("words"), pair("start", "end").alias("chars"))
+    rows = rows.select("node", "doc_id", pair("sw", "ew").alias("words"), pair("start", "end").alias("chars"), "version")
     listed = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
-    names = ["node", "doc_id", "sw", "ew", "start", "end"]
-    types = [np.int64, np.int64] + [np.int32] * 4
+    names = ["node", "doc_id", "sw", "ew", "start", "end", "version"]
+    types = [np.int64, np.int64] + [np.int32] * 4 + [np.int64]
 
     def run(batches):
         def out(kind, cols, first, last):
@@ -205,14 +205,14 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
         def close(state, trailing=False):
             if state.leading or trailing:
                 yield from (out(1, h, state.first, state.first) for h in state.held)
-                yield out(2, [np.array([x]) for x in (state.node, state.first, 0, 0, 0, 0)], state.first, state.last)
+                yield out(2, [np.array([x]) for x in (state.node, state.first, 0, 0, 0, 0, 0)], state.first, state.last)
 
         state, begun = None, False
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("node", "doc_id", "words", "chars")]
+            cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("node", "doc_id", "words", "chars", "version")]
             if not len(cols[0]):
                 continue
-            cols = cols[:2] + [x for c in cols[2:] for x in (c >> 32, (c >> 32) + (c & 0xFFFFFFFF))]
+            cols = cols[:2] + [x for c in cols[2:4] for x in (c >> 32, (c >> 32) + (c & 0xFFFFFFFF))] + cols[4:]
             start = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
             bounds = np.append(start, len(cols[0]))
             at = 0
@@ -245,7 +245,7 @@ def _repeated(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     made.append(found)
     ends = found.where("kind = 2").groupBy("node").agg(F.min("first_doc").alias("f"), F.max("last_doc").alias("l")).where("f < l")
     rows = found.where("kind < 2").join(ends.select("node", "f"), "node", "left").where("kind = 0 or f is not null")
-    return rows.select("doc_id", "sw", "ew", "start", "end", F.col("node").alias("cluster_id"), F.least("first_doc", "f").alias("first_doc"))
+    return rows.select("doc_id", "version", "sw", "ew", "start", "end", F.col("node").alias("cluster_id"), F.least("first_doc", "f").alias("first_doc"))
 
 
 def _block_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def _block_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
 
 
 def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> DataFrame:
-    """Rows of blocks (doc_id, node, place) in clusters of more than one document, with first_doc. made
+    """Rows of blocks (doc_id, version, node, place) in clusters of more than one document, with first_doc. made
     gets the tables that the result reads."""
     classes = cut(blocks.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     names = F.inline(F.arrays_zip(F.col("bands").alias("v"), F.concat(F.slice("bands", 2, BANDS), F.slice("bands", 1, 1)).alias("c1")))
@@ -294,26 +294,36 @@ def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> D
     member = classes.select("node", "low", "high").join(joined, "node", "left").withColumn("cluster_id", F.coalesce("component", "node"))
     cluster = member.groupBy("cluster_id").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
     member = member.select("node", "cluster_id").join(cluster.select("cluster_id", "first_doc"), "cluster_id")
-    return blocks.select("doc_id", "sw", "ew", "start", "end", "node").join(member, "node").select("doc_id", "sw", "ew", "start", "end", "cluster_id", "first_doc")
+    return blocks.select("doc_id", "version", "sw", "ew", "start", "end", "node").join(member, "node").select("doc_id", "version", "sw", "ew", "start", "end", "cluster_id", "first_doc")
+
+
+def _told_apart(docs: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """docs (doc_id, text) with version: 0, or a hash of the text where an id has several texts, so that places in one
+    text are never taken for places in another. made gets the table of these ids, mostly empty."""
+    prints = docs.select("doc_id", F.xxhash64("text").alias("print")).groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high"))
+    several = cut(prints.where("low <> high").select("doc_id", F.lit(True).alias("several")))
+    made.append(several)
+    version = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.join(several, "doc_id", "left").select("doc_id", version.alias("version"), "text")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeated passages: doc_id, start, end (characters of the text), n_words, removed, cluster_id, first_doc.
+    """Repeated passages: doc_id, start, end (characters of the text), n_words, removed, cluster_id, first_doc, version.
 
     One row per stretch of clustered paragraphs of a document: removed where another document with
     a smaller id keeps the passage, and not where this one does. A stretch of several clusters
     bears the smallest cluster id and first document. Null ids and null, empty or short texts have no
-    rows; rows that share an id are one document, and repeats within a document are left alone.
-    Other columns are ignored.
+    rows; rows that share an id are one document, and repeats within a document are left alone. Where
+    their texts differ, version is the xxhash64 of the text that the place is in, and 0 elsewhere. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    parts = cut(_parts(docs))
     made: list[DataFrame] = []
-    windows = _repeated(parts.select("doc_id", F.inline("windows")), made)
-    blocks = _near_blocks(docs, parts.select("doc_id", F.inline("blocks")), made)
+    parts = cut(_parts(_told_apart(docs, made)))
+    windows = _repeated(parts.select("doc_id", "version", F.inline("windows")), made)
+    blocks = _near_blocks(docs, parts.select("doc_id", "version", F.inline("blocks")), made)
     spans = windows.unionByName(blocks).withColumn("removed", F.col("doc_id") != F.col("first_doc"))
-    grouped = spans.groupBy("doc_id", "removed").agg(F.collect_list(F.struct("sw", "ew", "start", "end", "cluster_id", "first_doc")).alias("p"))
-    schema = "doc_id long, removed boolean, start int, end int, n_words int, cluster_id long, first_doc long"
+    grouped = spans.groupBy("doc_id", "version", "removed").agg(F.collect_list(F.struct("sw", "ew", "start", "end", "cluster_id", "first_doc")).alias("p"))
+    schema = "doc_id long, version long, removed boolean, start int, end int, n_words int, cluster_id long, first_doc long"
 
     def merge(batches):
         for b in _small(batches):
@@ -330,20 +340,22 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = {c: np.minimum.reduceat(get[c], first) for c in ("sw", "start", "cluster_id", "first_doc")} | {c: np.maximum.reduceat(get[c], first) for c in ("ew", "end")}
             words = out["ew"] - out["sw"]
             ok, at = words >= SHORTEST, pa.array(row[first])
-            columns = [b.column(b.schema.get_field_index(c)).take(at) for c in ("doc_id", "removed")]
+            columns = [b.column(b.schema.get_field_index(c)).take(at) for c in ("doc_id", "version", "removed")]
             columns += [pa.array(x.astype(t)) for x, t in ((out["start"], np.int32), (out["end"], np.int32), (words, np.int32), (out["cluster_id"], np.int64), (out["first_doc"], np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")]).filter(pa.array(ok))
 
-    out = cut(map_arrow(grouped, merge, schema).select("doc_id", "start", "end", "n_words", "removed", "cluster_id", "first_doc"))
+    out = cut(map_arrow(grouped, merge, schema).select("doc_id", "start", "end", "n_words", "removed", "cluster_id", "first_doc", "version"))
     discard(parts, *made)
     return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the removed passages cut out of their texts, and length_col set anew where a text
-    changed. All rows and columns stay; a text may become empty."""
-    gone = passages(docs, id_col, text_col).where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col(id_col) == F.col("_id"), "left")
+    changed. All rows and columns stay; a text may become empty. Rows that share an id lose what is
+    repeated in their own text."""
+    gone = passages(docs, id_col, text_col).where("removed").groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
+    mine = (F.col(id_col) == F.col("_id")) & ((F.col("_version") == 0) | (F.col("_version") == F.xxhash64(text_col)))
+    joined = docs.join(gone.withColumnsRenamed({"doc_id": "_id", "version": "_version"}), mine, "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     part = lambda a, b: F.substring(F.col(text_col), a + 1, b - a)
     kept = F.aggregate("_gone", start, lambda acc, g: F.struct(F.concat(acc["text"], part(acc["at"], g["start"])).alias("text"), g["end"].alias("at")), lambda acc: F.concat(acc["text"], part(acc["at"], F.lit(2**31 - 1))))

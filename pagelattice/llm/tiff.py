@@ -25,6 +25,9 @@ ROWS_PER_STRIP = 128
 _TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d")}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _CLEAR, _END = 256, 257
+#: Bytes that one of a file may stand for: deflate packs up to 1,032 into one and LZW about 2,700, so pages that
+#: declare more than this are damaged.
+MOST_PACKED = 4096
 
 
 class TiffError(ValueError):
@@ -50,9 +53,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -106,8 +109,8 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    out, acc, bits, width, last = [], 0, 0, 9, b""
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
+    out, acc, bits, width, last, size = [], 0, 0, 9, b"", 0
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     table = list(first)
     for byte in data:
@@ -132,7 +135,9 @@ def unpack_lzw(data: bytes) -> bytes:
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(word)
-        last = word
+        last, size = word, size + len(word)
+        if most is not None and size >= most:
+            break
     return b"".join(out)
 
 
@@ -146,15 +151,16 @@ def _compress(data: bytes, scheme: int, row: int) -> bytes:
     return zlib.compress(data, 1)
 
 
-def _expand(data: bytes, scheme: int) -> bytes:
+def _expand(data: bytes, scheme: int, most: int) -> bytes:
+    """A strip or tile, of which no more than about `most` bytes are made."""
     if scheme == NONE:
         return data
     if scheme == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, most)
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise TiffError(f"compression {scheme}")
 
 
@@ -222,30 +228,43 @@ def _undo(block: np.ndarray, predictor: int) -> np.ndarray:
 
 
 def read_pages(data: bytes):
-    """Yields (array (rows, columns, samples), scheme, predictor) for each directory in the chain."""
+    """Yields (array (rows, columns, samples), scheme, predictor) for each directory in the chain.
+
+    Files that aren't whole, that declare no or impossible sizes, or more samples than their bytes can
+    stand for, in one page or all, end in an error before anything of that size is made.
+    """
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
     (at,) = struct.unpack_from(order + "I", data, 4)
-    seen = set()
+    seen, declared = set(), 0
     while at and at not in seen:
         seen.add(at)
         tags, at = _directory(data, at, order)
         one = lambda tag, other=None, tags=tags: tags.get(tag, (other,))[0]
         width, height, samples, scheme, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
         bits, form, planes = one(258, 1), one(339, 1), one(284, 1)
+        if predictor not in (1, 2, 3):
+            raise TiffError(f"predictor {predictor}")
         if bits not in (8, 16, 32, 64) or planes != 1 and samples > 1:
             raise TiffError(f"{bits} bits in planes of kind {planes}")
         kind = np.dtype(f"{order}{'f' if form == 3 else 'i' if form == 2 else 'u'}{bits // 8}")
         tiled = 322 in tags
         tw, th = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+        if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, tw, th)):
+            raise TiffError(f"size {width} by {height} by {samples} in parts of {tw} by {th}")
+        declared += max(width * height, tw * th) * samples * kind.itemsize
+        if declared > MOST_PACKED * len(data):
+            raise TiffError(f"{declared} bytes of samples in a file of {len(data)}")
         offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+        across = -(-width // tw)
+        if len(offsets) != across * -(-height // th):
+            raise TiffError(f"{len(offsets)} parts")
         page = np.zeros((height, width, samples), kind.newbyteorder("="))
-        across = -(-width // tw) if width else 1
         for k, (start, size) in enumerate(zip(offsets, sizes, strict=True)):
             top, left = k // across * th, k % across * tw
             rows = th if tiled else min(th, height - top)
-            raw = _expand(data[start : start + size], scheme)
+            raw = _expand(data[start : start + size], scheme, rows * tw * samples * kind.itemsize)
             if predictor == 3:  # per row: differences of bytes, with the bytes of equal weight together
                 raw = np.frombuffer(raw, np.uint8)[: rows * tw * samples * kind.itemsize].reshape(rows, -1, samples)
                 raw = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, tw * samples)
@@ -278,12 +297,15 @@ def pages(media: DataFrame, id_col: str = "id", media_col: str = "media") -> Dat
     """One row per page of each TIFF: id, page, width, height, samples, bits, compression, predictor,
     data (rows of samples, native order), error.
 
-    Null media give no row; bytes that aren't a readable TIFF give one row with page -1 and the
-    error. Repeated rows and ids each give their pages; other columns are dropped.
+    Null media give no row; bytes that aren't a readable TIFF, or only up to some page, give one row with
+    page -1 and the error. Repeated rows and ids each give their pages; other columns are dropped. id_col
+    may not have the name of one of the new columns.
     """
     kind = media.schema[id_col].dataType.simpleString()
     names = ["page", "width", "height", "samples", "bits", "compression", "predictor", "data", "error"]
     types = [pa.int32()] * 7 + [pa.binary(), pa.string()]
+    if id_col in names:
+        raise ValueError(f"id_col {id_col} is the name of a new column")
 
     def run(batches):
         for b in batches:
@@ -295,7 +317,7 @@ def pages(media: DataFrame, id_col: str = "id", media_col: str = "media") -> Dat
                 try:
                     for k, (a, scheme, predictor) in enumerate(read_pages(blob.as_py())):
                         rows.append((k, a.shape[1], a.shape[0], a.shape[2], a.dtype.itemsize * 8, scheme, predictor, a.tobytes(), None))
-                except (TiffError, struct.error, zlib.error, ValueError, IndexError, KeyError, TypeError) as e:
+                except (struct.error, zlib.error, ValueError, LookupError, TypeError, ArithmeticError, MemoryError) as e:
                     error = f"{type(e).__name__}: {e}"
                 if error:
                     rows.append((-1, *[None] * 7, error))
@@ -335,4 +357,5 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def op2_tiff(spark, sf_dir: str) -> DataFrame:
+    """All documents as TIFF files and read back; nulls, ties, repeats and other columns as in documents()."""
     return documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -342,14 +342,14 @@ def test_winnowing_chooses_by_content():
 def test_repeated_runs_over_many_partitions(spark):
     rng = random.Random(3)
     rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5 + k]), rng.randint(1, 40), k, k + 1, k, k + 1) for k in range(800)]
-    df = spark.createDataFrame(rows, "node long, doc_id long, sw int, ew int, start int, end int").coalesce(1)
+    df = spark.createDataFrame(rows, "node long, doc_id long, sw int, ew int, start int, end int").withColumn("version", F.col("doc_id") % 3).coalesce(1)
     by = {}
     for r in rows:
         by.setdefault(r[0], set()).add(r[1])
-    want = sorted((r[1], r[2], r[0], min(by[r[0]])) for r in rows if len(by[r[0]]) > 1)
+    want = sorted((r[1], r[1] % 3, r[2], r[0], min(by[r[0]])) for r in rows if len(by[r[0]]) > 1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        got = sorted((r.doc_id, r.sw, r.cluster_id, r.first_doc) for r in substring._repeated(df, []).collect())
+        got = sorted((r.doc_id, r.version, r.sw, r.cluster_id, r.first_doc) for r in substring._repeated(df, []).collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want

@@ -6,8 +6,8 @@ that share their first k words form an interval; its length is the shard's count
 adds up the shards' counts by phrase, which are few rows even for the commonest phrase.
 
 Three passes keep rare phrases out of the shuffle, and lose nothing: a phrase that occurs `least` times has only
-words and pairs of words that do. The first pass counts words, the second pairs of frequent words, the
-third the longer phrases in which every pair is frequent; filters of the frequent words and pairs,
+words and pairs of words that do. The first pass counts words, the second pairs of frequent words by a hash,
+the third all phrases in which every pair is frequent; filters of the frequent words and pairs,
 of a bounded size, cut the pieces of text where a phrase cannot go on.
 """
 
@@ -24,6 +24,8 @@ from pagelattice.llm.common import cut, discard, map_arrow, mix64, partitions
 from pagelattice.llm.filters import key_filter, may_hold
 
 SHARD = 1 << 20
+#: Pairs that a task holds before it sends them on; buckets of pairs for each shuffle partition.
+HELD, BUCKETS = 2_000_000, 4
 _BREAK = b"\xff"  # no byte of UTF-8 text
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + _MARKS + b"\t", bytes(range(97, 123)) + _BREAK * len(_MARKS) + b" ")
@@ -107,56 +109,133 @@ def _squeezed(x: np.ndarray, least: int) -> np.ndarray:
     return np.append(x, 0)[keep]
 
 
-def _counts(docs: DataFrame, sizes: range, frequent=None, pairs=None) -> DataFrame:
+def _shards(batches):
+    """(language, words, their hashes, ids) of each shard: ids of all its words in order, 0 between pieces, which
+    are places in words and hashes."""
+
+    def made(held):
+        for lang, (ids, parts) in held.items():
+            words = [None, *(w.decode() for w in ids if w != _BREAK)]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) if w != _BREAK else 0 for w in ids), np.uint64, len(ids))
+            yield lang, words, hashes, np.concatenate(parts)
+
+    held: dict[str, tuple[_Ids, list[np.ndarray]]] = {}
+    size = 0
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids, parts = held.setdefault(lang, (_Ids(), []))
+            found = tokens(text.as_py())
+            parts += [np.fromiter(map(ids.__getitem__, found), np.int64, len(found)), np.zeros(1, np.int64)]
+            size += len(found)
+            if size >= SHARD:
+                yield from made(held)
+                held, size = {}, 0
+    yield from made(held)
+
+
+def _counts(docs: DataFrame, sizes: range, pairs=None, buckets: int = 0) -> DataFrame:
     """Counts of phrases of some sizes by shard, summed: lang, words, phrase, f. Sizes of 1 come with
-    a row of no words, which counts all of them. frequent and pairs are broadcast filters."""
-
-    def shard(lang, ids, parts):
-        x = np.concatenate(parts)
-        words = [w for w in ids if w != _BREAK]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        hashes = np.append(np.zeros(1, np.uint64), hashes)
-        if frequent is not None:
-            known = may_hold(frequent.value, _phrase_hashes(lang, [hashes]))
-            known[0] = False
-            x = _squeezed(np.where(known[x], x, 0), sizes[0])
-        if pairs is not None and len(x) > 1:
-            ok = may_hold(pairs.value, _phrase_hashes(lang, [hashes[x[:-1]], hashes[x[1:]]]))
-            cut_at = np.flatnonzero(~ok & (x[:-1] > 0) & (x[1:] > 0)) + 1
-            x = _squeezed(np.insert(x, cut_at, 0), sizes[0])
-        names = pa.array([None, *(w.decode() for w in words)], pa.string())
-        for k, start, count in interval_counts(x, sizes):
-            for s in range(0, len(start), 1 << 16):
-                some = start[s : s + (1 << 16)]
-                flat = names.take(pa.array(x[some[:, None] + np.arange(k)].ravel()))
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(some) + 1, k, dtype=np.int32)), flat), " ")
-                yield row(lang, k, joined, count[s : s + (1 << 16)])
-        if sizes[0] == 1:
-            yield row(lang, 0, pa.array([""]), np.array([np.count_nonzero(x)]))
+    a row of no words, which counts all of them. Phrases hold only pairs of words that the broadcast filter may hold."""
 
     def row(lang, words, phrases, counts):
         n = len(phrases)
         return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, words, np.int32)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "words", "phrase", "f"])
 
     def run(batches):
-        held: dict[str, tuple[_Ids, list[np.ndarray]]] = {}
-        size = 0
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids, parts = held.setdefault(lang, (_Ids(), []))
-                found = tokens(text.as_py())
-                parts += [np.fromiter(map(ids.__getitem__, found), np.int64, len(found)), np.zeros(1, np.int64)]
-                size += len(found)
-                if size >= SHARD:
-                    for lang, (ids, parts) in held.items():
-                        yield from shard(lang, ids, parts)
-                    held, size = {}, 0
-        for lang, (ids, parts) in held.items():
-            yield from shard(lang, ids, parts)
+        for lang, words, hashes, x in _shards(batches):
+            if sizes[0] == 1:
+                yield row(lang, 0, pa.array([""]), np.array([np.count_nonzero(x)]))
+            if pairs is not None and len(x) > 1:
+                ok = may_hold(pairs.value, _pair_ids(_phrase_hashes(lang, [hashes[x[:-1]], hashes[x[1:]]]), buckets))
+                x = _squeezed(np.insert(x, np.flatnonzero(~ok & (x[:-1] > 0) & (x[1:] > 0)) + 1, 0), sizes[0])
+            names = pa.array(words, pa.string())
+            for k, start, count in interval_counts(x, sizes):
+                for s in range(0, len(start), 1 << 16):
+                    some = start[s : s + (1 << 16)]
+                    flat = names.take(pa.array(x[some[:, None] + np.arange(k)].ravel()))
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(some) + 1, k, dtype=np.int32)), flat), " ")
+                    yield row(lang, k, joined, count[s : s + (1 << 16)])
 
     return map_arrow(docs, run, _COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _pair_ids(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 bits more of each hash, in one number."""
+    return ((((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+def _summed(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids and the sums of their counts."""
+    i, c = np.concatenate(ids), np.concatenate(counts)
+    order = np.argsort(i)
+    i, c = i[order], c[order]
+    start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))[: len(i)]
+    return i[start], np.add.reduceat(c, start) if len(start) else c
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers below 2**32, mostly small, byte by byte of equal weight, so that they pack well."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
+
+
+def _frequent_pairs(docs: DataFrame, least: int, frequent, buckets: int) -> DataFrame:
+    """Ids of the pairs of words that occur at least `least` times, and by chance of a few others: id.
+
+    Most pairs are rare, so they are counted by a hash, and tasks send sorted lists of hashes and counts
+    by bucket, of three bytes or so each, instead of rows. frequent is a broadcast filter of words.
+    """
+
+    def listed(ids, counts):
+        edges = np.append(np.flatnonzero(np.append(True, ids[1:] >> np.uint64(32) != ids[:-1] >> np.uint64(32)))[: len(ids)], len(ids))
+        low = ids & np.uint64(0xFFFFFFFF)
+        rows = [(int(ids[a]) >> 32, _planes(np.diff(low[a:z], prepend=np.uint64(0))), _planes(counts[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        for s in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 64], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "counts"])
+
+    def count(batches):
+        held, size = ([], []), 0
+        for lang, _, hashes, x in _shards(batches):
+            known = may_hold(frequent.value, _phrase_hashes(lang, [hashes]))
+            known[0] = False
+            x = _squeezed(np.where(known[x], x, 0), 2)
+            for _, start, n in interval_counts(x, range(2, 3)):
+                held[0].append(_pair_ids(_phrase_hashes(lang, [hashes[x[start]], hashes[x[start + 1]]]), buckets))
+                held[1].append(n.astype(np.uint64))
+                size += len(n)
+            if size > HELD:
+                ids, counts = _summed(*held)
+                held, size = ([ids], [counts]), len(ids)
+                if size > HELD:
+                    yield from listed(ids, counts)
+                    held, size = ([], []), 0
+        if size:
+            yield from listed(*_summed(*held))
+
+    def add(batches):
+        def enough(held):
+            ids, counts = _summed(*held)
+            return pa.RecordBatch.from_arrays([pa.array((ids[counts >= least]).view(np.int64))], names=["id"])
+
+        bucket, held = None, ([], [])
+        for b in batches:
+            for k, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held[0] and k != bucket:
+                    yield enough(held)
+                    held = ([], [])
+                bucket = k
+                held[0].append(np.cumsum(_numbers(ids)) | np.uint64(k << 32))
+                held[1].append(_numbers(counts))
+        if held[0]:
+            yield enough(held)
+
+    lists = map_arrow(docs, count, "bucket int, ids binary, counts binary").repartition(partitions(docs), "bucket").sortWithinPartitions("bucket")
+    return map_arrow(lists, add, "id long")
+
+
 def phrases(docs: DataFrame, longest: int = 5, least: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Counts of all phrases of 1 to `longest` words that occur at least `least` times within pieces, overlaps
     included, for each language: lang, words, phrase, f. A row of no words counts the language's words.
@@ -172,12 +251,12 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100, lang_col: str =
     enough = lambda t: t.where((F.col("f") >= least) | (F.col("words") == 0))
     one = cut(enough(_counts(docs, range(1, 2))))
     frequent = broadcast(key_filter(one.where("words = 1").select("lang", "phrase"), _row_hashes))
-    found = [one, cut(enough(_counts(docs, range(2, 3), frequent)))]
-    if longest > 2:
-        pairs = broadcast(key_filter(found[1].select("lang", "phrase"), _row_hashes))
-        found.append(cut(enough(_counts(docs, range(3, longest + 1), frequent, pairs))))
-    out = cut(found[0].unionByName(found[1]) if len(found) == 2 else found[0].unionByName(found[1]).unionByName(found[2]))
-    discard(*found)
+    buckets = BUCKETS * partitions(docs)
+    pairs = cut(_frequent_pairs(docs, least, frequent, buckets))
+    may = broadcast(key_filter(pairs, lambda b: b.column(0).to_numpy().view(np.uint64)))
+    more = cut(enough(_counts(docs, range(2, longest + 1), may, buckets)))
+    out = cut(one.unionByName(more))
+    discard(one, pairs, more)
     return out
 
 

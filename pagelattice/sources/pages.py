@@ -16,7 +16,7 @@ PAGE = (
     "doc_id long, page_number int, width double, height double, rotation int, blocks array<struct<"
     f"type: int, number: int, bbox: {_BOX}, lines: array<struct<spans: array<struct<text: string, font: string, size: double, color: int, flags: int, bbox: {_BOX}, origin: {_BOX}>>>>,"
     "image: binary, ext: string, width: int, height: int, xres: int, yres: int, bpc: int, colorspace: int>>, "
-    f"drawings array<struct<type: string, level: string, rect: {_BOX}, scissor: {_BOX}, fill: {_BOX}, color: {_BOX}, width: string, dashes: string, items: array<string>>>")
+    f"drawings array<struct<type: string, level: string, rect: {_BOX}, scissor: {_BOX}, fill: {_BOX}, color: {_BOX}, width: string, dashes: string, items: array<string>, path: array<struct<op: string, points: {_BOX}>>, even_odd: boolean>>")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -75,15 +75,15 @@ def images(pages: DataFrame) -> DataFrame:
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """Painted drawings with a box, numbered in the order of the page, with the clips that hold for them.
+    """Painted drawings with a box, numbered in the order of the page, with their paths and the clips that hold for them.
 
     A clip holds until a row of its level or a lower one follows: one pass over a page's rows, with a
     stack of clips whose levels rise. Null levels count as 0; the rows of equal pages run together.
     """
     d = pages.select("doc_id", "page_number", F.posexplode("drawings").alias("seq", "d"))
     painted = F.coalesce(F.col("d.type").isin("f", "s", "fs") & F.col("d.rect").isNotNull(), F.lit(False))
-    d = d.select("doc_id", "page_number", "seq", F.coalesce(F.expr("try_cast(d.level as int)"), F.lit(0)).alias("level"), F.coalesce(F.col("d.type") == "clip", F.lit(False)).alias("clip"), painted.alias("painted"), F.col("d.scissor").alias("box"), "d.rect", "d.items", "d.fill", "d.color", "d.width", "d.dashes")
-    kept = ("doc_id", "page_number", "seq", "level", "rect", "items", "fill", "color", "width", "dashes")
+    d = d.select("doc_id", "page_number", "seq", F.coalesce(F.expr("try_cast(d.level as int)"), F.lit(0)).alias("level"), F.coalesce(F.col("d.type") == "clip", F.lit(False)).alias("clip"), painted.alias("painted"), F.col("d.scissor").alias("box"), "d.rect", "d.items", "d.fill", "d.color", "d.width", "d.dashes", "d.path", "d.even_odd")
+    kept = ("doc_id", "page_number", "seq", "level", "rect", "items", "fill", "color", "width", "dashes", "path", "even_odd")
 
     def fold(rows):
         clips: list[dict] = []
@@ -93,11 +93,11 @@ def vectors(pages: DataFrame) -> DataFrame:
             while clips and clips[-1]["level"] >= r["level"]:
                 clips.pop()
             if r["clip"]:
-                clips.append({"level": r["level"], "box": r["box"]})
+                clips.append({"level": r["level"], "box": r["box"], "path": r["path"], "even_odd": r["even_odd"]})
 
-    schema = T.StructType([d.schema[c] for c in kept] + [T.StructField("clips", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("box", T.ArrayType(T.DoubleType()))])))])
+    schema = T.StructType([d.schema[c] for c in kept] + [T.StructField("clips", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("box", T.ArrayType(T.DoubleType())), d.schema["path"], d.schema["even_odd"]])))])
     d = map_groups(d, ["doc_id", "page_number"], ["seq"], fold, schema)
     color = lambda c: hex_of_unit(*[F.try_element_at(F.col(c), F.lit(k)) for k in (1, 2, 3)])
     return d.select(
         "doc_id", "page_number", (F.col("seq") + 1).alias("sequence_number"), "level", *_edges(F.col("rect")), drawing_type(F.coalesce("items", F.array().cast("array<string>"))).alias("drawing_type"),
-        color("fill").alias("fill_color"), color("color").alias("stroke_color"), F.coalesce(F.expr("try_cast(width as double)"), F.lit(0.0)).alias("stroke_width"), "dashes", "clips")
+        color("fill").alias("fill_color"), color("color").alias("stroke_color"), F.coalesce(F.expr("try_cast(width as double)"), F.lit(0.0)).alias("stroke_width"), "dashes", "clips", "path", "even_odd")

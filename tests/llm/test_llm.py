@@ -517,7 +517,7 @@ def test_near_blocks_of_a_large_varied_group_are_all_found(spark):
             w[at] = f"edit{rng.random()}"
         texts.append((k, " ".join(w)))
     df = docs(spark, texts).select("doc_id", "text")
-    rows = substring._near_blocks(df, substring._parts(df).select("doc_id", F.inline("blocks")), []).collect()
+    rows = substring._near_blocks(df, substring._parts(substring._told_apart(df, [])).select("doc_id", "version", F.inline("blocks")), []).collect()
     want = {i: c for i, (_, c, _) in brute_groups(texts).items()}
     many = {i: c for i, c in want.items() if sum(x == c for x in want.values()) > 1}
     assert {r.doc_id: r.first_doc for r in rows} == many

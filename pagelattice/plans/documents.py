@@ -315,7 +315,7 @@ im AS ({_IMAGES}), pic AS (SELECT doc_id, count_if(data <> '') AS pictures, coun
 sd AS (SELECT doc_id, count(*) AS sections, count_if(h > 0) + CASE WHEN sum(h + f) > 0 AND count_if(h = 0) > 0 THEN 1 ELSE 0 END AS headers, count_if(f > 0) + CASE WHEN sum(h + f) > 0 AND count_if(f = 0) > 0 THEN 1 ELSE 0 END AS footers, sum(fields) AS fields FROM st GROUP BY 1),
 flow AS (SELECT doc_id, page_number, line_index AS ord, 1 AS shown, 0 AS cut FROM line UNION ALL SELECT doc_id, 1, 100000 + image, CASE WHEN data <> '' THEN 1 ELSE 0 END, 0 FROM im UNION ALL SELECT doc_id, last, NULL, 0, 1 FROM sc),
 step AS (SELECT *, row_number() OVER w AS n, lag(cut) OVER w AS after, last_value(CASE WHEN cut = 0 THEN page_number END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, ord NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_page FROM flow WINDOW w AS (PARTITION BY doc_id ORDER BY page_number, ord NULLS LAST)),
-got AS (SELECT doc_id, sum(shown) AS paragraphs, count_if(cut = 0 AND coalesce(after, 0) = 0 AND last_page <> page_number) AS page_breaks, max(CASE WHEN cut = 0 THEN n END) AS last_item, max(CASE WHEN cut = 1 THEN n END) AS last_cut FROM step GROUP BY 1 HAVING count_if(cut = 0) > 0)
+got AS (SELECT doc_id, sum(shown) AS paragraphs, count(CASE WHEN cut = 0 AND coalesce(after, 0) = 0 AND last_page <> page_number THEN 1 END) AS page_breaks, max(CASE WHEN cut = 0 THEN n END) AS last_item, max(CASE WHEN cut = 1 THEN n END) AS last_cut FROM step GROUP BY 1 HAVING count(CASE WHEN cut = 0 THEN 1 END) > 0)
 SELECT doc_id, CAST(paragraphs AS BIGINT) AS paragraphs, coalesce(numbered, 0) AS numbered, CAST(page_breaks AS BIGINT) AS page_breaks, CAST(coalesce(sections, 0) + CASE WHEN last_cut IS NULL OR last_item > last_cut THEN 1 ELSE 0 END AS BIGINT) AS sections,
   CAST(coalesce(headers, 0) + CASE WHEN coalesce(headers, 0) + coalesce(footers, 0) > 0 AND last_item > last_cut AND NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = got.doc_id AND h = 0) THEN 1 ELSE 0 END AS BIGINT) AS headers,
   CAST(coalesce(footers, 0) + CASE WHEN coalesce(headers, 0) + coalesce(footers, 0) > 0 AND last_item > last_cut AND NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = got.doc_id AND f = 0) THEN 1 ELSE 0 END AS BIGINT) AS footers, CAST(coalesce(fields, 0) AS BIGINT) AS fields, CAST(coalesce(pictures, 0) AS BIGINT) AS pictures, coalesce(media_parts, 0) AS media_parts, coalesce(numbers, 0) AS numbers

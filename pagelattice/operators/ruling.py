@@ -168,24 +168,25 @@ def _squares(df: DataFrame, b: Box, tolerance: float) -> DataFrame:
     return df.withColumn("_sy", F.explode(F.sequence(to(b.top - tolerance), to(b.bottom + tolerance))))
 
 
-def holders(boxes: DataFrame, items: DataFrame, keys: list[str], box_id: list[str], item_id: list[str], tolerance: float = 0.0) -> DataFrame:
-    """keys, item_id and box_id: for each item (box) the one of boxes that holds its centre; of several the one with the
-    smallest box_id. Items meet boxes in squares of the page. Items without a box are in none."""
+def holders(boxes: DataFrame, items: DataFrame, keys: list[str], box_id: list[str], item_id: list[str], tolerance: float = 0.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """keys, item_id, box_id and also: for each item (box) the one of boxes that holds its centre; of several the one with the
+    smallest box_id. Items meet boxes in squares of the page. Items without a box are in none. Of items with one item_id
+    that in the smallest box_id counts, and in one box the smallest by the further columns in also."""
     b, i = Box.of(), Box.of()
     on = Box(*(F.col(f"b.{n}") for n in ("left", "top", "right", "bottom")))
     spread = _squares(boxes.select(*keys, F.struct(*box_id).alias("_id"), b.struct().alias("b")).where((on.right >= on.left) & (on.bottom >= on.top)), on, tolerance)
-    at = items.select(*keys, *item_id, i.center_x.alias("_x"), i.center_y.alias("_y")).where(F.coalesce(F.abs(F.col("_x")) + F.abs(F.col("_y")) < float("inf"), F.lit(False)))
+    at = items.select(*keys, *item_id, *also, i.center_x.alias("_x"), i.center_y.alias("_y")).where(F.coalesce(F.abs(F.col("_x")) + F.abs(F.col("_y")) < float("inf"), F.lit(False)))
     at = at.withColumns({"_sx": F.floor(F.col("_x") / SQUARE).cast("int"), "_sy": F.floor(F.col("_y") / SQUARE).cast("int")})
     inside = F.col("_x").between(on.left - tolerance, on.right + tolerance) & F.col("_y").between(on.top - tolerance, on.bottom + tolerance)
     hits = at.join(spread, [*keys, "_sx", "_sy"]).where(inside)
-    return hits.groupBy(*keys, *item_id).agg(F.min("_id").alias("_id")).select(*keys, *item_id, "_id.*")
+    return hits.groupBy(*keys, *item_id).agg(F.min(F.struct("_id", *also)).alias("_of")).select(*keys, *item_id, "_of._id.*", *(f"_of.{c}" for c in also))
 
 
 def with_text(table_cells: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """table_cells with text: the spans whose centre a cell holds, in lines by block and line, '' where there are
     none. spans: block_number, line_index, span_index, text and a box."""
     own, of = ["table_index", "row_index", "column_index"], ["block_number", "line_index", "span_index"]
-    held = holders(table_cells, spans, keys, own, of).join(spans.select(*keys, *of, "text", "left"), [*keys, *of])
+    held = holders(table_cells, spans, keys, own, of, also=("left", "text"))
     lines = held.groupBy(*keys, *own, "block_number", "line_index").agg(F.array_sort(F.collect_list(F.struct("left", "span_index", "text"))).alias("s"))
     lines = lines.select(*keys, *own, "block_number", "line_index", F.array_join(F.col("s.text"), "").alias("line"))
     texts = lines.groupBy(*keys, *own).agg(F.array_sort(F.collect_list(F.struct("block_number", "line_index", "line"))).alias("l"))

@@ -119,6 +119,14 @@ def test_tables_text_and_what_is_outside(spark):
     assert ruling.page_tables(drawings(spark, []), s, ["page"]).count() == 0
 
 
+def test_spans_with_equal_numbers(spark):
+    """Two spans of equal numbers, one in a cell and one outside, or in two cells: each goes by its own box."""
+    spans = [(1, 0, 0, 0, "in", 60.0, 12.0, 70.0, 20.0), (1, 0, 0, 0, "out", 200.0, 100.0, 220.0, 110.0), (1, 0, 0, 1, "second", 62.0, 32.0, 70.0, 40.0), (1, 0, 0, 1, "first", 72.0, 12.0, 80.0, 20.0), (1, None, 0, 2, "unnumbered", 12.0, 12.0, 20.0, 20.0)]
+    s = spark.createDataFrame(spans, f"page int, block_number int, line_index int, span_index int, text string, {BOX}")
+    cells = ruling.page_tables(drawings(spark, grid(1, 10.0, 10.0, 3, 3)), s, ["page"])
+    assert {(r.row_index, r.column_index): r.text for r in cells.collect() if r.text and r.column_index} == {(0, 1): "infirst"}
+
+
 def test_strict_rulings_leave_out_fills(spark):
     df = drawings(spark, [(1, 0.0, 0.0, 50.0, 50.0, None, None, "#FF0000"), (1, 0.0, 0.0, 50.0, 50.0, "#000000", 1.0, None)])
     assert ruling.segments(df, ["page"]).count() == 8 and ruling.segments(df, ["page"], strict=True).count() == 4

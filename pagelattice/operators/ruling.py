@@ -184,7 +184,7 @@ def holders(boxes: DataFrame, items: DataFrame, keys: list[str], box_id: list[st
 
 def with_text(table_cells: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """table_cells with text: the spans whose centre a cell holds, in lines by block and line, '' where there are
-    none. spans: block_number, line_index, span_index, text and a box."""
+    none. spans: block_number, line_index, span_index, text and a box; one of equal numbers counts (see holders)."""
     own, of = ["table_index", "row_index", "column_index"], ["block_number", "line_index", "span_index"]
     held = holders(table_cells, spans, keys, own, of, also=("left", "text"))
     lines = held.groupBy(*keys, *own, "block_number", "line_index").agg(F.array_sort(F.collect_list(F.struct("left", "span_index", "text"))).alias("s"))
@@ -196,9 +196,12 @@ def with_text(table_cells: DataFrame, spans: DataFrame, keys: list[str]) -> Data
 
 def outside(boxes: DataFrame, items: DataFrame, keys: list[str], box_id: list[str], item_id: list[str], tolerance: float = 1.5) -> DataFrame:
     """The items whose centre no box holds: paragraph building and the export of text boxes leave out
-    what stands in tables. Items without a box stay."""
-    held = holders(boxes, items, keys, box_id, item_id, tolerance)
-    return items.join(held.select(*keys, *item_id), [*keys, *item_id], "left_anti")
+    what stands in tables. Items without a box stay. Each row goes by its own centre, whatever its item_id, which several
+    may have."""
+    i, at = Box.of(), ["_cx", "_cy"]
+    placed = items.withColumns({"_cx": i.center_x, "_cy": i.center_y})
+    held = holders(boxes, placed, keys, box_id, at, tolerance)
+    return placed.join(held.select(*keys, *at), [*keys, *at], "left_anti").drop(*at)
 
 
 def page_tables(drawings: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

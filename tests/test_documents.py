@@ -125,6 +125,8 @@ def test_spans_with_equal_numbers(spark):
     s = spark.createDataFrame(spans, f"page int, block_number int, line_index int, span_index int, text string, {BOX}")
     cells = ruling.page_tables(drawings(spark, grid(1, 10.0, 10.0, 3, 3)), s, ["page"])
     assert {(r.row_index, r.column_index): r.text for r in cells.collect() if r.text and r.column_index} == {(0, 1): "infirst"}
+    out = ruling.outside(ruling.summary(cells, ["page"]), s, ["page"], ["table_index"], ["block_number", "line_index", "span_index"])
+    assert [r.text for r in out.collect()] == ["out"]
 
 
 def test_strict_rulings_leave_out_fills(spark):

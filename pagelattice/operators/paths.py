@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from pagelattice.operators.grouped import worker_path
 
 #: Points that the chords of a curve may be off it, and below which heights and widths are none.
 FLATNESS, NOTHING = 0.05, 1e-9
+#: Edges and paths up to which drawings are worked on together, and pairs of edges at a time.
+SMALL, FEW, WORK = 48, 8, 1 << 17
+#: Operators of paths and the numbers each needs.
+_NEED = {"l": 4, "c": 8, "re": 4, "qu": 8}
 PATH = "array<struct<op: string, points: array<double>>>"
 PIECE = "struct<top: double, bottom: double, left_top: double, right_top: double, left_bottom: double, right_bottom: double>"
 
@@ -40,7 +45,7 @@ def edges(path: list[dict] | None, flatness: float = FLATNESS) -> np.ndarray:
     open_ = False
     for item in path or []:
         p = np.asarray(item.get("points") or [], float)
-        need = {"l": 4, "c": 8, "re": 4, "qu": 8}.get(item.get("op"))
+        need = _NEED.get(item.get("op"))
         if need is None or len(p) != need or not np.isfinite(p).all():
             open_ = False
             continue
@@ -61,14 +66,21 @@ def edges(path: list[dict] | None, flatness: float = FLATNESS) -> np.ndarray:
     return np.concatenate(made) if made else np.zeros((0, 4))
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Heights at which edges a cross edges b, pair by pair, between their ends."""
+def _heights(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heights at which the lines of edges a cross those of edges b, pair by pair, and whether that is between their ends."""
     d, f, gap = a[..., 2:] - a[..., :2], b[..., 2:] - b[..., :2], b[..., :2] - a[..., :2]
     across = d[..., 0] * f[..., 1] - d[..., 1] * f[..., 0]
     with np.errstate(divide="ignore", invalid="ignore"):
         t, u = (gap[..., 0] * f[..., 1] - gap[..., 1] * f[..., 0]) / across, (gap[..., 0] * d[..., 1] - gap[..., 1] * d[..., 0]) / across
     ok = (across != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-    return (a[..., 1] + t * d[..., 1])[ok]
+    with np.errstate(invalid="ignore"):
+        return a[..., 1] + t * d[..., 1], ok
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Heights at which edges a cross edges b, pair by pair, between their ends."""
+    at, ok = _heights(a, b)
+    return at[ok]
 
 
 def _crossings(e: np.ndarray) -> np.ndarray:
@@ -129,16 +141,179 @@ def pieces(paths: list[tuple[np.ndarray, bool]]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 6))
 
 
+def _areas(found: np.ndarray) -> np.ndarray:
+    return (found[:, 3] - found[:, 2] + found[:, 5] - found[:, 4]) / 2 * (found[:, 1] - found[:, 0])
+
+
 def area(found: np.ndarray) -> float:
-    return float(((found[:, 3] - found[:, 2] + found[:, 5] - found[:, 4]) / 2 * (found[:, 1] - found[:, 0])).sum())
+    return float(_areas(found).sum())
+
+
+def _flat(c: pa.Array, inner: str | None = None) -> tuple[np.ndarray, pa.Array]:
+    """Lengths (null: 0) and values of a list column, of a field of its structs where one is named."""
+    lengths = pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lengths, pc.struct_field(c.flatten(), inner) if inner else c.flatten()
+
+
+def _commands(c: pa.Array, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a column of paths, whose numbers are given: each command's path, operator (-1: unknown), number of points and their
+    values."""
+    count, items = _flat(c)
+    n, values = _flat(pc.struct_field(items, "points"))
+    op = pc.fill_null(pc.index_in(pc.struct_field(items, "op"), value_set=pa.array(list(_NEED))), -1)
+    return np.repeat(of, count), op.to_numpy(zero_copy_only=False).astype(np.int64), n, values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _gathered(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Commands in the order of their paths: path, operator, and eight numbers, with the operator -1 where they are too few,
+    too many or not finite."""
+    of, op, n, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at, need = np.cumsum(n) - n, np.append(list(_NEED.values()), 0)[op]
+    k = np.arange(8)
+    p = np.append(values, 0.0)[np.where(k < need[:, None], np.minimum(at[:, None] + k, len(values)), len(values))]
+    op = np.where((n == need) & np.isfinite(p).all(axis=1), op, -1)
+    order = np.argsort(of, kind="stable")
+    return of[order], op[order], p[order]
 
 
-def _clip(clip: dict) -> tuple[np.ndarray, bool] | None:
-    """A clip by its path, or by its box where it has none; null if it has neither."""
-    if clip.get("path"):
-        return edges(clip["path"]), bool(clip.get("even_odd"))
-    box = clip.get("box")
-    return (edges([{"op": "re", "points": box}]), False) if box else None
+def _all_edges(of: np.ndarray, op: np.ndarray, p: np.ndarray, flatness: float = FLATNESS) -> tuple[np.ndarray, np.ndarray]:
+    """Path and edges of all commands at once, as edges() has them of one path."""
+    drawn = (op == 0) | (op == 1)
+    last = np.where((op == 1)[:, None], p[:, 6:8], p[:, 2:4])
+    goes_on = np.zeros(len(op), bool)
+    goes_on[1:] = drawn[1:] & drawn[:-1] & (of[1:] == of[:-1]) & (last[:-1] == p[1:, :2]).all(axis=1)
+    closes = drawn & ~np.append(goes_on[1:], False)
+    first = np.maximum.accumulate(np.where(drawn & ~goes_on, np.arange(len(op)), 0))
+    c = p.reshape(-1, 4, 2)
+    bend = np.maximum(np.hypot(*(c[:, 0] - 2 * c[:, 1] + c[:, 2]).T), np.hypot(*(c[:, 1] - 2 * c[:, 2] + c[:, 3]).T))
+    steps = np.where(op == 1, np.maximum(1, np.ceil(np.sqrt(0.75 * bend / flatness))), 1).astype(np.int64)
+    n = np.where(op >= 2, 4, np.where(drawn, steps + closes, 0))
+    to = np.cumsum(n) - n
+    e = np.zeros((int(n.sum()), 4))
+    lines = np.flatnonzero(op == 0)
+    e[to[lines]] = p[lines, :4]
+    curves = np.flatnonzero(op == 1)
+    k = np.repeat(curves, steps[curves])
+    j = np.arange(len(k)) - np.repeat(np.cumsum(steps[curves]) - steps[curves], steps[curves])
+    for ends, step in ((slice(0, 2), j), (slice(2, 4), j + 1)):
+        t = np.where(step == steps[k], 1.0, step * (1 / steps[k]))[:, None]  # as linspace has it
+        e[to[k] + j, ends] = (1 - t) ** 3 * c[k, 0] + 3 * (1 - t) ** 2 * t * c[k, 1] + 3 * (1 - t) * t**2 * c[k, 2] + t**3 * c[k, 3]
+    k = np.flatnonzero(closes)
+    e[to[k] + steps[k]] = np.concatenate([last[k], p[first[k], :2]], axis=1)
+    for code, corners in ((2, [0, 1, 2, 1, 2, 3, 0, 3]), (3, [0, 1, 2, 3, 6, 7, 4, 5])):
+        k = np.flatnonzero(op == code)
+        for side in range(4):
+            e[to[k] + side] = p[k][:, [corners[(2 * side + x) % 8] for x in range(4)]]
+    return np.repeat(of, n), e
+
+
+def _ranges(n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k its number n[k] times, and beside it start[k], start[k] + 1 and so on."""
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + start[k]
+
+
+def _all_pieces(every: np.ndarray, of: np.ndarray, drawing: np.ndarray, even_odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Drawing and trapezoids, as pieces() has them of one drawing. of: the path of each edge, ascending; drawing: that of each path, ascending."""
+    none = np.zeros(0, np.int64), np.zeros((0, 6))
+    level = every[:, 1] == every[:, 3]
+    count = int(drawing[-1]) + 1 if len(drawing) else 0
+    enclosing = np.bincount(of[~level], minlength=len(drawing)) > 0
+    whole = np.bincount(drawing[~enclosing], minlength=count) == 0
+    use = whole[drawing[of]]
+    every, of, level = every[use], of[use], level[use]
+    if not len(every):
+        return none
+    heights, at_ = np.concatenate([every[:, 1], every[:, 3]]), np.tile(drawing[of], 2)
+    every, of = every[~level], of[~level]
+    d = drawing[of]
+    m = np.bincount(d, minlength=count)
+    end = np.cumsum(m)
+    slanted = np.bincount(d[every[:, 0] != every[:, 2]], minlength=count) > 0
+    i = np.flatnonzero(slanted[d])
+    a, b = _ranges(end[d[i]] - i - 1, i + 1)
+    a = i[a]
+    met, ok = _heights(every[a], every[b])
+    heights, at_ = np.append(heights, met[ok]), np.append(at_, d[a[ok]])
+    order = np.lexsort((heights, at_))
+    heights, at_ = heights[order], at_[order]
+    slab = np.flatnonzero((at_[1:] == at_[:-1]) & (heights[1:] - heights[:-1] > NOTHING))
+    if not len(slab):
+        return none
+    # equal heights are neighbours, so a slab goes from the last of some to the first of the next
+    top, bottom, sd = heights[slab], heights[slab + 1], at_[slab]
+    middle = (top + bottom) / 2
+    turn = np.where(every[:, 3] > every[:, 1], 1, -1)
+    low, high = np.minimum(every[:, 1], every[:, 3]), np.maximum(every[:, 1], every[:, 3])
+    slope = (every[:, 2] - every[:, 0]) / (every[:, 3] - every[:, 1])
+    at = lambda k, y: every[k, 0] + (y - every[k, 1]) * slope[k]
+    s, k = _ranges(m[sd], (end - m)[sd])
+    spans = (low[k] <= middle[s]) & (high[k] >= middle[s])
+    s, k = s[spans], k[spans]
+    order = np.lexsort((at(k, middle[s]), s))
+    s, k = s[order], k[order]
+    if not len(s):
+        return none
+    head = np.append(True, s[1:] != s[:-1])
+    start = np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))
+    first = np.searchsorted(drawing, np.arange(count))
+    paths_of = np.bincount(drawing, minlength=count)
+    inside = np.ones(len(s), bool)
+    for n in range(int(paths_of.max())):
+        here = (first + n)[sd[s]]  # that path of the slab's drawing
+        own = np.where(of[k] == here, turn[k], 0)
+        wind = np.cumsum(own)
+        wind = wind - (wind - own)[start]
+        rule = np.where(even_odd[np.minimum(here, len(even_odd) - 1)], wind % 2 != 0, wind != 0)
+        inside &= rule | (paths_of[sd[s]] <= n)
+    before = np.append(False, inside[:-1]) & ~head
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(~inside & before)
+    starts = starts[np.searchsorted(starts, ends) - 1]
+    a, b, s = k[starts], k[ends], s[ends]
+    wide = at(b, middle[s]) - at(a, middle[s]) > NOTHING
+    a, b, s = a[wide], b[wide], s[wide]
+    return sd[s], np.stack([top[s], bottom[s], at(a, top[s]), at(b, top[s]), at(a, bottom[s]), at(b, bottom[s])], axis=1)
+
+
+def _batch(path: pa.Array, even_odd: pa.Array, clips: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of pieces of each drawing of a batch, and all pieces in order.
+
+    A clip counts by its path, or by its box where it has none; one with neither lets all through. Drawings of up to SMALL
+    edges and FEW paths are worked on together, about WORK pairs of edges at a time, others one by one.
+    """
+    size = len(path)
+    flag = lambda c: pc.fill_null(c, False).to_numpy(zero_copy_only=False).astype(bool)
+    held, clip = _flat(clips)
+    owner = np.repeat(np.arange(size), held)
+    shape, box = pc.struct_field(clip, "path"), pc.struct_field(clip, "box")
+    by_path = _flat(shape)[0] > 0
+    by_box = ~by_path & (_flat(box)[0] > 0)
+    kept = by_path | by_box
+    number = np.cumsum(kept) - 1 + owner + 1  # paths are numbered by drawing: its own, then its clips
+    own = np.arange(size) + np.searchsorted(owner[kept], np.arange(size))
+    drawing, odd = np.zeros(size + int(kept.sum()), np.int64), np.zeros(size + int(kept.sum()), bool)
+    drawing[own], odd[own] = np.arange(size), flag(even_odd)
+    drawing[number[kept]], odd[number[kept]] = owner[kept], flag(pc.struct_field(clip, "even_odd"))[kept] & by_path[kept]
+    boxes = box.filter(pa.array(by_box))
+    n, values = _flat(boxes)
+    frames = number[by_box], np.full(len(boxes), list(_NEED).index("re")), n, values.to_numpy(zero_copy_only=False).astype(float)
+    of, e = _all_edges(*_gathered([_commands(path, own), _commands(shape.filter(pa.array(by_path)), number[by_path]), frames]))
+    edge_ends, path_ends = np.searchsorted(drawing[of], np.arange(size + 1)), np.searchsorted(drawing, np.arange(size + 1))
+    m = np.diff(edge_ends)
+    small = (m <= SMALL) & (np.diff(path_ends) <= FEW)
+    part = np.cumsum(m.astype(np.int64) ** 2) // WORK
+    cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | ~small[1:] | ~small[:-1], [True]])) if size else [0]
+    counts, out = np.zeros(size, np.int64), []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        edges_, paths_ = slice(edge_ends[a], edge_ends[z]), slice(path_ends[a], path_ends[z])
+        if small[a]:
+            d, found = _all_pieces(e[edges_], of[edges_] - path_ends[a], drawing[paths_] - a, odd[paths_])
+            counts[a:z] = np.bincount(d, minlength=z - a)
+        else:
+            found = pieces([(e[edges_][of[edges_] == k], bool(odd[k])) for k in range(path_ends[a], path_ends[z])])
+            counts[a] = len(found)
+        out.append(found)
+    return counts, np.concatenate(out) if out else np.zeros((0, 6))
 
 
 def painted(drawings: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,17 +333,12 @@ def painted(drawings: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists, areas = [], []
-            column = lambda c, b=b: b.column(b.schema.get_field_index(c)).to_pylist()
-            for path, even_odd, held in zip(column("path"), column("even_odd"), column("clips"), strict=True):
-                bounds = [c for c in map(_clip, held or []) if c is not None]
-                found = pieces([(edges(path), bool(even_odd)), *bounds])
-                lists.append(found)
-                areas.append(area(found))
-            flat = np.concatenate(lists) if lists else np.zeros((0, 6))
-            ends = pa.array(np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32))
+            column = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            counts, flat = _batch(column("path"), column("even_odd"), column("clips"))
+            ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            areas = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=_areas(flat), minlength=len(counts))
             struct = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(6)], names=names)
-            columns = [*(b.column(b.schema.get_field_index(k)) for k in keys), pa.ListArray.from_arrays(ends, struct), pa.array(areas, pa.float64())]
+            columns = [*(column(k) for k in keys), pa.ListArray.from_arrays(ends, struct), pa.array(areas, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pieces", "area"])
 
     return d.mapInArrow(run, schema)

@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelattice.operators import edges, lookups, paths, regions, tables
@@ -166,6 +168,29 @@ def test_pieces_against_winding_numbers():
             assert want == got
 
 
+def test_drawings_of_a_batch_at_once(monkeypatch):
+    """Small drawings of a batch are worked on together, without a call for each, and have the pieces that they have alone."""
+    rng, one = random.Random(2), paths.pieces
+    point = lambda n: [float(rng.choice([rng.randint(0, 8), rng.uniform(0, 8)])) for _ in range(2 * n)]
+    op = lambda: (lambda o: {"op": o, "points": point({"l": 2, "c": 4, "re": 2, "qu": 4, "x": 1}[o])[: rng.choice([8, 8, 8, 3])]})(rng.choice(["l", "l", "l", "c", "re", "qu", "x"]))
+    path = lambda most: rng.choice([None, *([[op() for _ in range(rng.randint(0, most))]] * 9)])
+    clip = lambda: {"box": rng.choice([None, [], point(2), [0.0, 0.0, 9.0, 9.0]]), "path": rng.choice([None, None, [], path(3)]), "even_odd": rng.choice([None, True, False])}
+    row = lambda most, clips: {"path": path(most), "even_odd": rng.choice([None, True, False]), "clips": rng.choice([None, [clip() for _ in range(clips)]])}
+    lines = pa.list_(pa.struct([("op", pa.string()), ("points", pa.list_(pa.float64()))]))
+    kind = pa.struct([("path", lines), ("even_odd", pa.bool_()), ("clips", pa.list_(pa.struct([("box", pa.list_(pa.float64())), ("path", lines), ("even_odd", pa.bool_())])))])
+    calls = []
+    monkeypatch.setattr(paths, "pieces", lambda every: calls.append(1) or one(every))
+    for rows, few in (([row(4, 2) for _ in range(300)], True), ([row(30, rng.randint(0, 12)) for _ in range(60)], False), ([], True)):
+        calls.clear()
+        counts, found = paths._batch(*pa.array(rows, kind).flatten())
+        many = [sum(len(paths.edges(p)) for p in (r["path"], *(c["path"] or [{"op": "re", "points": c["box"]}] for c in r["clips"] or []))) for r in rows]
+        assert len(calls) == 0 if few and max(many, default=0) <= paths.SMALL else len(calls) <= len(rows)
+        ends = np.append(0, np.cumsum(counts))
+        for k, r in enumerate(rows):
+            want = one([(paths.edges(r["path"]), bool(r["even_odd"])), *((paths.edges(c["path"]), bool(c["even_odd"])) if c["path"] else (paths.edges([{"op": "re", "points": c["box"]}]), False) for c in r["clips"] or [] if c["path"] or c["box"])])
+            assert found[ends[k] : ends[k + 1]].shape == want.shape and np.allclose(found[ends[k] : ends[k + 1]], want, atol=1e-9)
+
+
 def test_painted_drawings(spark):
     c = 0.5522847498
     circle = [("c", [1.0, 0.0, 1.0, c, c, 1.0, 0.0, 1.0]), ("c", [0.0, 1.0, -c, 1.0, -1.0, c, -1.0, 0.0]), ("c", [-1.0, 0.0, -1.0, -c, -c, -1.0, 0.0, -1.0]), ("c", [0.0, -1.0, c, -1.0, 1.0, -c, 1.0, 0.0])]

@@ -1,4 +1,4 @@
-"""Styled runs: spans of a line to runs, lines of a paragraph to flowing text, ordered folds in the JVM."""
+"""Styled runs: spans of a line to runs, lines of a paragraph to flowing text, folded in order in the JVM."""
 
 from __future__ import annotations
 
@@ -22,33 +22,40 @@ def _run(text: Column, s: Column) -> Column:
     return F.struct(text.alias("text"), *_style(s)).cast(RUN)
 
 
-def append(runs: Column, run: Column, size_tolerance: float = 0.0) -> Column:
-    """runs with one more; it joins the last if both have the same style."""
-    last = F.try_element_at(runs, F.lit(-1))
-    size = F.abs(last["size"] - run["size"]) <= F.lit(float(size_tolerance))
-    same = (F.size(runs) > 0) & size & last["font"].eqNullSafe(run["font"]) & (last["bold"] == run["bold"]) & (last["italic"] == run["italic"]) & last["color"].eqNullSafe(run["color"])
-    joined = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(_run(F.concat(last["text"], run["text"]), last)))
-    return F.when(F.coalesce(same, F.lit(False)), joined).otherwise(F.concat(runs, F.array(run)))
-
-
 def line_runs(spans: DataFrame, keys: list[str], size_tolerance: float = 0.01) -> DataFrame:
     """keys, runs of each line: its spans from left to right, with a blank where one belongs.
 
-    spans: left, right, text, font, font_size, bold, italic, color. Blank spans are passed over.
+    spans: left, right, text, font, font_size, bold, italic, color. Blank spans are passed over. A span joins the
+    run before it if it has the style of the span before and the size of the run's head; one without a finite size, bold or italic
+    stands alone. Blanks go to the run before them. Only heads are folded in order, so that a line costs its length.
     """
     s = spans.withColumn("_t", inline_text("text")).where(strip("_t") != "")
     row = F.struct("left", "right", F.col("_t").alias("raw"), strip("_t").alias("text"), "font", F.col("font_size").alias("size"), "bold", "italic", "color")
     lines = s.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    none = F.array().cast(f"array<{RUN}>")
-    start = F.struct(none.alias("runs"), F.lit(None).cast("double").alias("right"), F.lit("").alias("raw"), F.lit(1.0).alias("size"), F.lit(None).cast(RUN).alias("style"))
+    size_of = lambda x, y: F.abs(x["size"] - y["size"]) <= F.lit(float(size_tolerance))
+    clean = lambda x: F.coalesce(x["bold"].isNotNull() & x["italic"].isNotNull() & size_of(x, x), F.lit(False))
 
-    def step(acc, x):
-        blank = acc["right"].isNotNull() & needs_blank(acc["raw"], x["raw"], x["left"] - acc["right"], F.least(acc["size"], x["size"]))
-        spaced = F.when(blank, append(acc["runs"], _run(F.lit(" "), acc["style"]), size_tolerance)).otherwise(acc["runs"])
-        now = _run(x["text"], x)
-        return F.struct(append(spaced, now, size_tolerance).alias("runs"), x["right"].alias("right"), x["raw"].alias("raw"), x["size"].alias("size"), now.alias("style"))
+    def told(x, k):
+        p, n = F.get("s", k - 1), F.get("s", k + 1)
+        same = x["font"].eqNullSafe(p["font"]) & (x["bold"] == p["bold"]) & (x["italic"] == p["italic"]) & x["color"].eqNullSafe(p["color"])
+        blank = n.isNotNull() & needs_blank(x["raw"], n["raw"], n["left"] - x["right"], F.least(x["size"], n["size"]))
+        return F.struct(x["text"].alias("text"), *_style(x), clean(x).alias("clean"), F.coalesce(same & clean(x) & clean(p), F.lit(False)).alias("same"), F.coalesce(blank, F.lit(False)).alias("blank"))
 
-    return lines.select(*keys, F.aggregate("s", start, step)["runs"].alias("runs"))
+    def step(acc, x):
+        near = F.coalesce(x["same"] & size_of(acc, x), F.lit(False))
+        heads = F.when(near, acc["heads"]).otherwise(F.concat(acc["heads"], F.array(acc["k"])))
+        return F.struct(F.when(near, acc["size"]).otherwise(x["size"]).alias("size"), (acc["k"] + 1).alias("k"), heads.alias("heads"))
+
+    def made(head, j):
+        x, end = F.get("t", head), F.coalesce(F.get("heads", j + 1), F.size("t"))
+        words = F.transform(F.slice("t", head + 1, end - head), lambda y: F.concat(y["text"], F.when(y["blank"] & y["clean"], " ").otherwise("")))
+        run = _run(F.array_join(words, ""), x)
+        return F.when(x["blank"] & ~x["clean"], F.array(run, _run(F.lit(" "), x))).otherwise(F.array(run))
+
+    start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("heads"))
+    lines = lines.select(*keys, F.transform("s", told).alias("t"))
+    lines = lines.select(*keys, "t", F.aggregate("t", start, step, lambda acc: acc["heads"]).alias("heads"))
+    return lines.select(*keys, F.flatten(F.transform("heads", made)).alias("runs"))
 
 
 def flow(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

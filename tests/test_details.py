@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagelattice.operators import edges, lookups, paths, regions, tables
+from pagelattice.operators import edges, lookups, paths, regions, runs, tables
 from pagelattice.sources import info, pages
 
 BOX = "left double, top double, right double, bottom double"
@@ -133,6 +135,41 @@ def test_regions_and_lines(spark):
     assert sorted((r.line, r.place, r.t) for r in regions.baseline_lines(spans, ["cell"]).collect()) == [(0, 0, "b"), (0, 1, "a"), (1, 0, "d"), (1, 1, "c"), (2, 0, "e")]
 
 
+def test_runs_of_lines_against_a_fold(spark):
+    """Random lines, with missing styles and sizes that drift, against one run after another; a long line in time of its length."""
+    rng, tolerance = random.Random(4), 0.6
+    words = ["a", "b,", "(", ")", " c", "d ", "e\u00a0", "", "  ", "f-"]
+    rows = [(k, float(n * 10), n * 10 + rng.choice([9.0, 10.0, 9.99, 12.0]), rng.choice(words), rng.choice(["A", "A", "A", None]), rng.choice([9.0, 9.5, 10.0, 10.0, float("nan"), float("inf")]), rng.choice([True, True, True, None]), False, 0) for k in range(80) for n in range(rng.randint(1, 12))]
+    long = [(999, n * 10.0, n * 10.0 + 8, "w", "A", 10.0, n // 4 % 2 == 1, False, 0) for n in range(4000)]
+    df = spark.createDataFrame(rows + long, "k int, left double, right double, text string, font string, font_size double, bold boolean, italic boolean, color int")
+    began = time.time()
+    got = {r.k: [tuple(x) for x in r.runs] for r in runs.line_runs(df, ["k"], tolerance).collect()}
+    assert time.time() - began < 60 and len(got[999]) == 1000 and got[999][0][0] == "w w w w "
+    inline = lambda t: re.sub(" {2,}", " ", t.replace("\u00a0", " "))
+
+    def append(out, text, style):
+        font, size, bold, italic, color = style
+        head = out[-1] if out else None
+        near = head and abs(head[2] - size) <= tolerance and head[1] == font and None not in (head[3], bold) and head[3] == bold
+        out[-1:] = [(head[0] + text, *head[1:])] if near else ([head] if head else []) + [(text, font, size, bold, italic, color)]
+
+    for key in {r[0] for r in rows}:
+        want, prior = [], None
+        for _, left, right, text, *style in sorted(r for r in rows if r[0] == key):
+            raw = inline(text)
+            if not raw.strip():
+                continue
+            if prior:
+                p, c, low = prior[1].rstrip(), raw.lstrip(), min((s for s in (prior[2][1], style[1]) if s == s), default=float("nan"))
+                least = max(0.5, low * 0.04) if low == low else float("inf")
+                blank = True if prior[1] != p or raw != c else False if c[0] in ".,;:!?%)]}" or p[-1] in "([{/\\–—" else left - prior[0] > 0 and left - prior[0] >= least
+                if blank:
+                    append(want, " ", prior[2])
+            append(want, raw.strip(), style)
+            prior = (right, raw, style)
+        assert repr(got.get(key, [])) == repr(want)
+
+
 def test_documents_tell_of_themselves(spark, tmp_path):
     rows = ['{"doc_id": 1, "is_pdf": true, "permissions": -4, "metadata": {"title": " A ", "author": "", "creationDate": "D:20240131235959+01\'30\'", "modDate": "2024"}}', '{"doc_id": 2}', "{broken"]
     (tmp_path / "d.json").write_text("\n".join(rows))

@@ -8,7 +8,7 @@ from pagelattice.functions import text as X
 from pagelattice.functions.geometry import Box
 from pagelattice.operators import lists, numbering, runs, styles
 from pagelattice.plans import lines as L
-from pagelattice.sources.bridge import duckdb, view
+from pagelattice.sources.bridge import dealt, duckdb, view
 
 
 
@@ -115,7 +115,7 @@ SELECT table_id, "column", width, CASE WHEN sum(x) OVER v > 200 THEN greatest(x
 def merged_segments(spark, sf_dir):
     """Horizontal edges of a page's boxes, on a raster of 40 points, joined where they meet."""
     s = view(spark, sf_dir, "box").select("page_number", F.col("l").alias("start"), F.col("r").alias("end"), (F.floor(F.col("t") / 40) * 40).cast("double").alias("at"))
-    return styles.merged_segments(s, ["page_number"]).select("page_number", "start", "end", "at")
+    return styles.merged_segments(dealt(spark, sf_dir, s, "page_number"), ["page_number"]).select("page_number", "start", "end", "at")
 
 
 MERGED_SEGMENTS = duckdb("box") + """, s AS (SELECT page_number, l AS a, r AS z, CAST(floor(t / 40) * 40 AS DOUBLE) AS p FROM box), g AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY page_number, p ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + CAST(0.5 AS DOUBLE) THEN 0 ELSE 1 END AS nw FROM s),

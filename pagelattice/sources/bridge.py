@@ -6,6 +6,8 @@ Each view is one SQL text; only the line split differs between the two dialects.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
@@ -43,6 +45,23 @@ FROM box
 """
 
 
+#: Rows of a table, times the weight of the work on one, for each task of dealt().
+ROWS = 150_000
+
+
+def parts(spark: SparkSession, sf_dir: str, weight: float = 1.0, table: str = "lineitem") -> int:
+    """Partitions for work by key on rows made of a table: in proportion to its rows, which the files tell without being
+    read, and no fewer than the session has for shuffles."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * weight / ROWS))
+
+
+def dealt(spark: SparkSession, sf_dir: str, df: DataFrame, *keys: str, weight: float = 1.0) -> DataFrame:
+    """df dealt by its keys over parts(). Windows and groups by them, and more columns, need no other shuffle, and what a task
+    holds stays as it is when the input grows."""
+    return df.repartition(parts(spark, sf_dir, weight), *keys)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The DataFrame of a layout view: box, line or vector, or a table of sf_dir."""
     if name == "box":

@@ -8,7 +8,7 @@ from pagelattice.operators import edges, lookups, paths
 from pagelattice.plans import folds
 from pagelattice.plans import tables as T
 from pagelattice.sources import info
-from pagelattice.sources.bridge import duckdb, view
+from pagelattice.sources.bridge import dealt, duckdb, view
 
 _PAGE, _KEY = ["page_number"], ["table_id"]
 # Cells of a page on a raster, and drawings on or near their edges.
@@ -34,7 +34,7 @@ SELECT page_number, cell, "left", top, edge, width, style, color FROM k QUALIFY
 
 def grid_line_boxes(spark, sf_dir):
     cells = T._table(spark, sf_dir, _CELLS).withColumn("thickness", (F.col("page_number") % 7).cast("double") / 4)
-    return edges.grid_lines(cells, _PAGE, F.col("thickness"))
+    return edges.grid_lines(dealt(spark, sf_dir, cells, "page_number", weight=4), _PAGE, F.col("thickness"))
 
 
 GRID_LINE_BOXES = f"""WITH c AS ({_CELLS}), s AS (SELECT page_number, true AS lev, unnest([top, bottom]) AS p, "left" AS a, "right" AS z FROM c UNION ALL SELECT page_number, false, unnest(["left", "right"]), top, bottom FROM c),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagelattice.functions import geometry as G
 from pagelattice.functions.geometry import Box
 from pagelattice.operators.coverage import merged_length, union_area
-from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, duckdb, view
+from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, dealt, duckdb, view
 
 LTRB = "ltrb"
 
@@ -66,7 +66,7 @@ FROM q"""
 
 
 def page_union_area(spark, sf_dir):
-    return union_area(view(spark, sf_dir, "box"), ["page_number"], Box.of(names=LTRB))
+    return union_area(dealt(spark, sf_dir, view(spark, sf_dir, "box"), "page_number"), ["page_number"], Box.of(names=LTRB))
 
 
 _AREA = """xs AS (SELECT page_number, l AS x FROM {b} UNION SELECT page_number, r FROM {b}),
@@ -79,7 +79,7 @@ UNION_AREA = duckdb("box") + ", " + _AREA.format(b="box") + " SELECT page_number
 
 def page_coverage(spark, sf_dir):
     """Flagship: coverage of each page by its boxes, clipped to the page, and what kind of page that makes."""
-    area = union_area(view(spark, sf_dir, "box"), ["page_number"], Box.of(names=LTRB), page_box())
+    area = union_area(dealt(spark, sf_dir, view(spark, sf_dir, "box"), "page_number"), ["page_number"], Box.of(names=LTRB), page_box())
     share = G.clamp_ratio(F.col("union_area") / F.lit(PAGE_WIDTH * PAGE_HEIGHT))
     kind = F.when(F.col("coverage") >= 0.12, "dense").when(F.col("coverage") >= 0.05, "medium").otherwise("sparse")
     return area.select("page_number", "union_area", share.alias("coverage")).withColumn("density", kind)

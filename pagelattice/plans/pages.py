@@ -8,7 +8,7 @@ from pagelattice.functions.geometry import Box, clamp_ratio
 from pagelattice.operators import profile, vectors
 from pagelattice.operators.coverage import union_area
 from pagelattice.plans.geometry import page_box
-from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, duckdb, view
+from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, dealt, duckdb, view
 
 _PAGE = ["page_number"]
 _W, _H = PAGE_WIDTH, PAGE_HEIGHT
@@ -77,7 +77,7 @@ _KINDS = ("text", "image", "vector", "table", "chart")
 def page_measures(spark, sf_dir):
     """Measures of each page: the box view's ids deal its boxes out to kinds of content."""
     kind = F.element_at(F.array(*map(F.lit, (*_KINDS, "text", "image"))), F.col("box_id"))
-    boxes = view(spark, sf_dir, "box").withColumn("kind", kind)
+    boxes = dealt(spark, sf_dir, view(spark, sf_dir, "box"), "page_number").withColumn("kind", kind)
     area = union_area(boxes, ["page_number", "kind"], Box.of(names="ltrb"), page_box())
     wide = area.groupBy("page_number").pivot("kind", list(_KINDS)).agg(F.first(clamp_ratio(F.col("union_area") / F.lit(_W * _H) * 4)))
     count = lambda k: F.count_if(F.col("kind") == k).alias(f"{k}_count")
@@ -157,7 +157,7 @@ PAGE_POLICY = _POLICY + """ SELECT page_number, page_type, r_text AND (has_text
 
 def document_profile(spark, sf_dir):
     p = profile.policies(profile.profiles(page_measures(spark, sf_dir))).withColumn("doc", F.floor(F.col("page_number") / 40))
-    return profile.documents(p, "doc")
+    return profile.documents(dealt(spark, sf_dir, p, "doc"), "doc")
 
 
 DOCUMENT_PROFILE = _POLICY + """, t AS (SELECT page_number // 40 AS doc, page_type, count(*) AS n FROM pol GROUP BY ALL),

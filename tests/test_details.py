@@ -4,13 +4,18 @@ import json
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.operators import edges, lookups, paths, regions, runs, tables
-from pagelattice.sources import info, pages
+from pagelattice.plans.queries import QUERIES
+from pagelattice.sources import bridge, info, pages
+
+DATA = "/root/testdata/sf0.001"
 
 BOX = "left double, top double, right double, bottom double"
 
@@ -170,6 +175,14 @@ def test_runs_of_lines_against_a_fold(spark):
         assert repr(got.get(key, [])) == repr(want)
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name, weight", [("merged_segments", 1), ("document_profile", 1), ("page_policy", 1), ("page_profile", 1), ("grid_line_boxes", 4), ("page_coverage", 1), ("union_area", 1)])
+def test_partitions_grow_with_the_input(spark, monkeypatch, name, weight):
+    """6,000 rows in tasks of 500, of fewer where a row makes several: as many partitions to the end, whatever the session has."""
+    monkeypatch.setattr(bridge, "ROWS", 500)
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == 12 * weight
+
+
 def test_documents_tell_of_themselves(spark, tmp_path):
     rows = ['{"doc_id": 1, "is_pdf": true, "permissions": -4, "metadata": {"title": " A ", "author": "", "creationDate": "D:20240131235959+01\'30\'", "modDate": "2024"}}', '{"doc_id": 2}', "{broken"]
     (tmp_path / "d.json").write_text("\n".join(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.operators.tables import SNAP, UNIFORM, boundaries, missing, ownership
+from pagelattice.operators.tables import SNAP, UNIFORM, axis_boundaries, missing, owned, with_cells
 
 #: Confidence of a blank cell made to fill a gap; bounds of an editable table.
 BLANK, MOST_BLANK, LEAST_CONFIDENCE = 0.45, 0.35, 0.55
@@ -16,16 +16,21 @@ def _clamp(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
+_AXES = {"row": ("row_index", "row_span", "top", "bottom", "row_count", ("top", "bottom")), "column": ("column_index", "column_span", "left", "right", "column_count", ("left", "right"))}
+
+
 def edges(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """One row per table: keys, row_edges and column_edges (sorted positions) and grid_confidence, the mean of
-    all boundaries' confidences. A table has at most some thousands of them."""
-    axes = []
-    for name, *of in (("row", "row_index", "row_span", "top", "bottom", "row_count", ("top", "bottom")), ("column", "column_index", "column_span", "left", "right", "column_count", ("left", "right"))):
-        found = boundaries(cells, tables, keys, *of)
-        axes.append(found.select(*keys, F.lit(name).alias("axis"), "k", "position", "confidence"))
-    both = axes[0].unionByName(axes[1])
-    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == name, F.struct("k", "position")))), lambda s: s["position"])
-    return both.groupBy(*keys).agg(of("row").alias("row_edges"), of("column").alias("column_edges"), (F.sum("confidence") / F.count("*")).alias("grid_confidence"))
+    all boundaries' confidences. A table has at most some thousands of them, and meets its cells once, as one row with an array."""
+    t = tables.select(*keys, "row_count", "column_count", *SIDES)
+    t = with_cells(t.where("row_count is not null or column_count is not null"), cells, keys, ["row_index", "column_index", "row_span", "column_span", *SIDES])
+    for name, of in _AXES.items():
+        t = axis_boundaries(t, f"_{name}", "_cells", *of)
+    none = F.array().cast("array<double>")
+    of = lambda name, what: F.coalesce(F.transform(name, lambda s: s[what]), none)
+    t = t.select(*keys, of("_row", "position").alias("row_edges"), of("_column", "position").alias("column_edges"), F.concat(of("_row", "confidence"), of("_column", "confidence")).alias("_c"))
+    total = F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + x)
+    return t.select(*keys, "row_edges", "column_edges", (total / F.size("_c")).alias("grid_confidence"))
 
 
 def _expected(row, column, row_span, column_span) -> list[Column]:
@@ -87,10 +92,11 @@ def finalized(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     or more; one without cells is a picture, of confidence 0.4 at most.
     """
     grid = edges(tables, cells, keys)
-    found = ownership(tables, cells, keys).groupBy(*keys).agg(
-        F.count_if(F.col("code") == "UNCOVERED_GRID_POSITION").alias("_gaps"), F.count_if(F.col("code") != "UNCOVERED_GRID_POSITION").alias("_errors"))
+    t = owned(tables, cells, keys)
+    gaps = F.aggregate("_gaps", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"] + 1)
+    t = t.withColumns({"_gaps": gaps, "_errors": (F.size("_twice") + F.size("_out") + F.size("_over")).cast("long")}).drop("_twice", "_out", "_over")
     old = cells.groupBy(*keys).agg(F.count("*").alias("_cells"), F.count_if("synthetic").alias("_old"))
-    t = tables.join(grid.select(*keys, "grid_confidence"), keys, "left").join(found, keys, "left").join(old, keys, "left").na.fill(0, ["_gaps", "_errors", "_cells", "_old"])
+    t = t.join(grid.select(*keys, "grid_confidence"), keys, "left").join(old, keys, "left").na.fill(0, ["_cells", "_old"])
     none = F.col("_cells") == 0
     synthetic = F.when(none, F.lit(0).cast("long")).otherwise(F.col("_old") + F.col("_gaps"))
     share = F.least(synthetic / F.greatest(F.col("row_count") * F.col("column_count"), F.lit(1)), F.lit(1.0))

@@ -16,32 +16,69 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def axis_boundaries(d: DataFrame, name: str, cells: str, index: str, span: str, start: str, end: str, count: str, outer: tuple[str, str]) -> DataFrame:
+    """d, a row per table with its cells as an array of structs, with the column name: the boundaries of one axis as an
+    array of structs of k (0..count), position, confidence and uniform; see boundaries()."""
+    votes, heads, known, full = (f"_{name}_{x}" for x in ("votes", "heads", "known", "full"))
+    low, high, n = F.col(outer[0]), F.col(outer[1]), F.col(count).cast("int")
+    vote = lambda k, v: F.struct(k.cast("int").alias("k"), v.cast("double").alias("v"))
+    none = F.array().cast("array<struct<k:int,v:double>>")
+    fits = lambda c: F.coalesce((c[index] >= 0) & (c[span] >= 1) & (c[index] + c[span] <= F.col(count)), F.lit(False))
+    given = F.flatten(F.transform(F.filter(cells, fits), lambda c: F.array(vote(c[index], c[start]), vote(c[index] + c[span], c[end]))))
+    given = F.concat(F.coalesce(given, none), F.array(vote(F.lit(0), low), vote(n, high)))
+    d = d.withColumn(votes, F.sort_array(F.filter(given, lambda x: x["v"].isNotNull())))
+    # where each boundary's votes begin, so that their median and spread stand at known places
+    at = lambda i: F.get(F.col(votes), i)
+    d = d.withColumn(heads, F.filter(F.transform(votes, lambda x, i: F.when((i == 0) | (at(i - 1)["k"] != x["k"]), i)), lambda i: i.isNotNull()))
+
+    def boundary(i, j):
+        to = F.coalesce(F.get(F.col(heads), j + 1), F.size(votes))
+        k, total = at(i)["k"], i + to
+        middle = at(F.floor((total - 1) / 2).cast("int"))["v"] * 0.5 + at(F.floor(total / 2).cast("int"))["v"] * 0.5
+        m = F.when(k == 0, low).when(k == n, high).otherwise(middle)
+        sure = (k == 0) | (k == n) | (at(to - 1)["v"] - at(i)["v"] <= CONFLICT)
+        return F.struct(k.alias("k"), m.cast("double").alias("m"), F.when(sure, DIRECT).otherwise(CONFLICTED).alias("c"))
+
+    d = d.withColumn(known, F.filter(F.transform(heads, boundary), lambda x: x["m"].isNotNull()))
+    row = lambda k, p, c: F.struct(k.alias("k"), p.alias("p"), c.alias("c"))
+
+    def stretch(x, j):
+        z = F.get(F.col(known), j + 1)
+        step = (z["m"] - x["m"]) / F.greatest(z["k"] - x["k"], F.lit(1))
+        between = F.transform(F.sequence(x["k"], z["k"] - 1), lambda k: row(k, F.when(k == x["k"], x["m"]).otherwise(x["m"] + step * (k - x["k"])), F.when(k == x["k"], x["c"]).otherwise(F.lit(INTERPOLATED))))
+        return F.when(z.isNull(), F.array(row(x["k"], x["m"], x["c"]))).otherwise(between)
+
+    missing_ = low.isNull() | high.isNull()
+    d = d.withColumn(full, F.when(missing_, F.transform(F.sequence(F.lit(0), n), lambda k: row(k, F.lit(None).cast("double"), F.lit(UNIFORM)))).when(n.isNotNull(), F.flatten(F.transform(known, stretch))))
+    close = F.filter(full, lambda x, i: (i > 0) & ~F.coalesce(x["p"] - F.get(F.col(full), i - 1)["p"] >= SMALLEST, F.lit(False)))
+    d = d.withColumn(f"_{name}_uniform", F.size(close) > 0)
+    uniform = F.col(f"_{name}_uniform")
+    even = lambda k: low + (high - low) / F.greatest(n, F.lit(1)) * k
+    made = F.transform(full, lambda x: F.struct(x["k"].alias("k"), F.when(uniform, even(x["k"])).otherwise(x["p"]).alias("position"), F.when(uniform, UNIFORM).otherwise(x["c"]).alias("confidence"), uniform.alias("uniform")))
+    return d.withColumn(name, made).drop(votes, heads, known, full, f"_{name}_uniform")
+
+
+def _each(structs: Column | str) -> Column:
+    """A row for each struct of an array, and one of nulls where there is none. Without that, Spark would filter by the array's
+    size before, and for that work the array out a second time."""
+    return F.inline_outer(structs)
+
+
+def with_cells(tables: DataFrame, cells: DataFrame, keys: list[str], columns: list[str], how: str = "left") -> DataFrame:
+    """tables with _cells, the columns of each table's cells as an array of structs; null for tables without any."""
+    return tables.join(cells.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_cells")), keys, how)
+
+
 def boundaries(cells: DataFrame, tables: DataFrame, keys: list[str], index: str, span: str, start: str, end: str, count: str, outer: tuple[str, str]) -> DataFrame:
     """Boundaries of one axis: keys, k (0..count), position, confidence, uniform.
 
     The starts and ends of cells vote for a boundary by their median, with less confidence if they
     are more than 3 apart; the outer ones are the table's. Missing ones are interpolated between
-    their known neighbours. Where steps are below half a point, the axis is split evenly.
+    their known neighbours. Where steps are below half a point, the axis is split evenly. Cells meet their table
+    as one row with an array, so that they are shuffled once.
     """
-    inside = cells.join(tables.select(*keys, count), keys).where((F.col(index) >= 0) & (F.col(span) >= 1) & (F.col(index) + F.col(span) <= F.col(count)))
-    votes = inside.select(*keys, F.inline(F.array(F.struct(F.col(index).alias("k"), F.col(start).alias("v")), F.struct((F.col(index) + F.col(span)).alias("k"), F.col(end).alias("v")))))
-    ends = tables.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("k"), F.col(outer[0]).alias("v")), F.struct(F.col(count).alias("k"), F.col(outer[1]).alias("v")))))
-    known = votes.unionByName(ends).groupBy(*keys, "k").agg(F.median("v").alias("m"), (F.max("v") - F.min("v")).alias("spread"))
-    every = tables.select(*keys, count, *outer, F.explode(F.sequence(F.lit(0), F.col(count))).alias("k"))
-    rows = every.join(known, [*keys, "k"], "left")
-    edge = (F.col("k") == 0) | (F.col("k") == F.col(count))
-    direct = F.when(F.col("k") == 0, F.col(outer[0])).when(F.col("k") == F.col(count), F.col(outer[1])).otherwise(F.col("m"))
-    rows = rows.withColumns({"m": direct, "c": F.when(edge, DIRECT).when(F.col("m").isNotNull(), F.when(F.col("spread") <= CONFLICT, DIRECT).otherwise(CONFLICTED))})
-    w = Window.partitionBy(*keys).orderBy("k")
-    at = F.when(F.col("m").isNotNull(), F.struct("k", "m"))
-    low, high = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    filled = low["m"] + (high["m"] - low["m"]) / F.greatest(high["k"] - low["k"], F.lit(1)) * (F.col("k") - low["k"])
-    rows = rows.withColumns({"position": F.coalesce("m", filled), "confidence": F.coalesce("c", F.lit(INTERPOLATED))})
-    step = F.col("position") - F.lag("position").over(w)
-    rows = rows.withColumn("ok", F.coalesce(step >= SMALLEST, F.col("k") == 0))
-    rows = rows.withColumn("uniform", ~F.min("ok").over(Window.partitionBy(*keys)))
-    even = F.col(outer[0]) + (F.col(outer[1]) - F.col(outer[0])) / F.greatest(F.col(count), F.lit(1)) * F.col("k")
-    return rows.select(*keys, "k", F.when(F.col("uniform"), even).otherwise(F.col("position")).alias("position"), F.when(F.col("uniform"), UNIFORM).otherwise(F.col("confidence")).alias("confidence"), "uniform")
+    t = with_cells(tables.select(*keys, count, *outer), cells, keys, [index, span, start, end])
+    return axis_boundaries(t, "_axis", "_cells", index, span, start, end, count, outer).select(*keys, _each("_axis")).where("k is not null")
 
 
 def positions(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,22 +93,85 @@ def grid(tables: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "row", F.explode(F.sequence(F.lit(0), F.col("column_count") - 1)).alias("col"))
 
 
+def _held(d: DataFrame, name: str, clip: bool) -> DataFrame:
+    """d, a row per table with its cells as the array _cells, with the column name: the grid positions, row * column_count +
+    column, that its cells hold, sorted and repeated where several do. Cells that reach out of the grid hold none, or with clip what is in it."""
+    rows, cols = F.col("row_count"), F.col("column_count")
+    if clip:
+        first = lambda c, at: F.greatest(c[at], F.lit(0))
+        last = lambda c, at, by, n: F.least(c[at] + c[by], n) - 1
+        has = lambda c: (last(c, "row_index", "row_span", rows) >= first(c, "row_index")) & (last(c, "column_index", "column_span", cols) >= first(c, "column_index"))
+    else:
+        first = lambda c, at: c[at]
+        last = lambda c, at, by, n: c[at] + c[by] - 1
+        has = _fits
+    at = lambda c: F.flatten(F.transform(
+        F.sequence(first(c, "row_index"), last(c, "row_index", "row_span", rows)),
+        lambda i: F.transform(F.sequence(first(c, "column_index"), last(c, "column_index", "column_span", cols)), lambda j: i.cast("long") * cols + j)))
+    found = F.flatten(F.transform(F.filter("_cells", lambda c: F.coalesce(has(c), F.lit(False))), at))
+    return d.withColumn(name, F.sort_array(F.coalesce(found, F.array().cast("array<long>"))))
+
+
+_PLACE = ["row_index", "column_index", "row_span", "column_span"]
+
+
+def _fits(c: Column) -> Column:
+    return (c["row_index"] >= 0) & (c["column_index"] >= 0) & (c["row_span"] >= 1) & (c["column_span"] >= 1) & (c["row_index"] + c["row_span"] <= F.col("row_count")) & (c["column_index"] + c["column_span"] <= F.col("column_count"))
+
+
+def _repeated(name: str) -> Column:
+    """Each value that a sorted array holds more than once."""
+    a = F.col(name)
+    return F.filter(a, lambda x, i: F.coalesce((i > 0) & x.eqNullSafe(F.get(a, i - 1)) & ((i == 1) | ~x.eqNullSafe(F.get(a, i - 2))), F.lit(False)))
+
+
+def _stretches(name: str) -> Column:
+    """Positions of the grid, from lo to hi, between those in a sorted array."""
+    total = F.greatest(F.col("row_count"), F.lit(0)).cast("long") * F.greatest(F.col("column_count"), F.lit(0))
+    a = F.col(name)
+    ends = F.transform(F.concat(a, F.array(total)), lambda x, i: F.struct((F.coalesce(F.get(a, i - 1), F.lit(-1)) + 1).alias("lo"), (x - 1).alias("hi")))
+    return F.filter(ends, lambda s: F.coalesce(s["lo"] <= s["hi"], F.lit(False)))
+
+
+def _spread(d: DataFrame, row: str, col: str) -> DataFrame:
+    """d, with positions from lo to hi, once for each of them, as row and col; a row of the grid at a time."""
+    cols, lo, hi = F.greatest(F.coalesce(F.col("column_count"), F.lit(1)), F.lit(1)).cast("long"), F.col("lo"), F.col("hi")
+    row_of = lambda x: F.floor(x / cols)
+    d = d.withColumns({"_first": F.expr("lo") - F.pmod(lo, cols), "_last": F.expr("hi") - F.pmod(hi, cols)})
+    d = d.withColumn("_at", F.explode_outer(F.sequence(F.col("_first"), F.col("_last"), cols)))
+    d = d.withColumn(col, F.explode_outer(F.sequence(F.when(F.col("_at") == F.col("_first"), lo - F.col("_at")).otherwise(F.lit(0)), F.when(F.col("_at") == F.col("_last"), hi - F.col("_at")).otherwise(cols - 1))))
+    return d.withColumn(row, row_of(F.col("_at"))).drop("_first", "_last", "_at")
+
+
 def missing(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Grid positions that no cell covers."""
-    return grid(tables, keys).join(positions(cells, keys).select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
+    """Grid positions that no cell covers: keys, row, col. Tables meet their cells once, as one row each."""
+    d = _held(with_cells(tables.select(*keys, "row_count", "column_count"), cells, keys, _PLACE), "_of", True)
+    d = d.select(*keys, "column_count", _each(_stretches("_of"))).where("lo is not null")
+    return _spread(d, "row", "col").select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+
+
+def owned(tables: DataFrame, cells: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """tables, once each, with what ownership() tells of them as arrays: _twice and _out (anchors), _over (positions) and _gaps (stretches)."""
+    d = with_cells(tables, cells, keys, _PLACE, how)
+    anchor = lambda c: F.struct(c["row_index"].alias("row"), c["column_index"].alias("col"))
+    none = F.array().cast(f"array<struct<row:{cells.schema['row_index'].dataType.simpleString()},col:{cells.schema['column_index'].dataType.simpleString()}>>")
+    d = _held(d, "_of", False).withColumn("_anchors", F.coalesce(F.sort_array(F.transform("_cells", anchor)), none))
+    out = F.coalesce(F.transform(F.filter("_cells", lambda c: F.coalesce(~_fits(c), F.lit(False))), anchor), none)
+    return d.withColumns({"_twice": _repeated("_anchors"), "_out": out, "_over": _repeated("_of"), "_gaps": _stretches("_of")}).drop("_cells", "_anchors", "_of")
 
 
 def ownership(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Issues of grid ownership: keys, code, row, col; one row for each."""
-    sized = cells.join(tables.select(*keys, "row_count", "column_count"), keys)
-    valid = (F.col("row_index") >= 0) & (F.col("column_index") >= 0) & (F.col("row_span") >= 1) & (F.col("column_span") >= 1) & (F.col("row_index") + F.col("row_span") <= F.col("row_count")) & (F.col("column_index") + F.col("column_span") <= F.col("column_count"))
-    issue = lambda df, code: df.select(*keys, F.lit(code).alias("code"), "row", "col")
-    anchor = [F.col("row_index").alias("row"), F.col("column_index").alias("col")]
-    bad = issue(sized.where(~valid).select(*keys, *anchor), "CELL_SPAN_OUTSIDE_GRID")
-    twice = cells.select(*keys, *anchor).groupBy(*keys, "row", "col").count().where("count > 1")
-    owned = positions(sized.where(valid), keys).groupBy(*keys, "row", "col").count()
-    gaps = grid(tables, keys).join(owned, [*keys, "row", "col"], "left_anti")
-    return issue(twice, "DUPLICATE_CELL_ANCHOR").unionByName(bad).unionByName(issue(gaps, "UNCOVERED_GRID_POSITION")).unionByName(issue(owned.where("count > 1"), "OVERLAPPING_GRID_OWNERSHIP"))
+    d = owned(tables.select(*keys, "row_count", "column_count"), cells, keys, "full")
+    issue = lambda code, row, col, lo, hi: F.struct(F.lit(code).alias("code"), row.cast("int").alias("_row"), col.cast("int").alias("_col"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    zero, null = F.lit(0), F.lit(None)
+    places = lambda name, code: F.transform(name, lambda x: issue(code, x["row"], x["col"], zero, zero))
+    found = F.concat(
+        places("_twice", "DUPLICATE_CELL_ANCHOR"), places("_out", "CELL_SPAN_OUTSIDE_GRID"), F.transform("_over", lambda x: issue("OVERLAPPING_GRID_OWNERSHIP", null, null, x, x)),
+        F.transform("_gaps", lambda x: issue("UNCOVERED_GRID_POSITION", null, null, x["lo"], x["hi"])))
+    d = _spread(d.select(*keys, "column_count", _each(found)).where("code is not null"), "_r", "_c")
+    anchors = F.col("code").isin("DUPLICATE_CELL_ANCHOR", "CELL_SPAN_OUTSIDE_GRID")
+    return d.select(*keys, "code", F.when(anchors, F.col("_row")).otherwise(F.col("_r").cast("int")).alias("row"), F.when(anchors, F.col("_col")).otherwise(F.col("_c").cast("int")).alias("col"))
 
 
 def normalized(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -276,24 +376,26 @@ def axis_issues(tables_: DataFrame, segments: DataFrame, keys: list[str], count:
     """Issues of the row or column definitions of each table: keys, code, severity, k (null for the table).
 
     segments: k, start, end. Duplicates keep the last by start; order and gaps are judged against the
-    definition before among those with a positive extent.
+    definition before among those with a positive extent. Tables meet their definitions once, as one row with an array.
     """
-    s = segments.join(tables_.select(*keys, count, low, high), keys)
-    per = tables_.select(*keys, count).join(segments.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").na.fill(0, ["n"])
-    issue = lambda df, code, severity="error", k=None: df.select(*keys, F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(k) if k else F.lit(None).cast("int")).alias("k"))
-    twice = segments.groupBy(*keys, "k").count().where("count > 1")
-    one = _last_of_each(s.where((F.col("k") >= 0) & (F.col("k") < F.col(count))), keys)
-    bad = ~_finite()
-    flat = one.where(~bad & (F.col("end") - F.col("start") <= 0))
-    good = one.where(~bad & (F.col("end") - F.col("start") > 0)).withColumn("_p", F.lag("end").over(Window.partitionBy(*keys).orderBy("k")))
-    out = good.where((F.col("start") < F.col(low) - tolerance) | (F.col("end") > F.col(high) + tolerance))
-    parts = [
-        issue(per.where(F.col("n") != F.col(count)), "INCOMPLETE_DEFINITIONS"), issue(twice, "DUPLICATE_INDEX", k="k"), issue(one.where(bad), "NON_FINITE_GEOMETRY", k="k"), issue(flat, "NON_POSITIVE_EXTENT", k="k"), issue(out, "OUTSIDE_TABLE_BOUNDS", k="k"),
-        issue(good.where(F.col("start") < F.col("_p") - tolerance), "NON_MONOTONIC_GEOMETRY", k="k"), issue(good.where(F.abs(F.col("start") - F.col("_p")) > tolerance), "BOUNDARY_GAP", "warning", "k")]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    of = segments.groupBy(*keys).agg(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("_all"))
+    d = tables_.select(*keys, count, low, high).join(of, keys, "full")
+    # by index, start and end downwards, so that the last definition of an index comes first
+    d = d.withColumn("_all", F.sort_array(F.coalesce("_all", F.array().cast("array<struct<k:int,start:double,end:double>>")), asc=False))
+    d = d.withColumns({"_ks": F.transform("_all", lambda s: s["k"])})
+    new = lambda s, i: (i == 0) | ~F.get(F.col("_ks"), i - 1).eqNullSafe(s["k"])
+    finite = lambda s: F.coalesce(~F.isnan(s["start"]) & ~F.isnan(s["end"]) & (F.abs(s["start"]) < float("inf")) & (F.abs(s["end"]) < float("inf")), F.lit(False))
+    d = d.withColumn("_one", F.reverse(F.filter("_all", lambda s, i: F.coalesce((s["k"] >= 0) & (s["k"] < F.col(count)), F.lit(False)) & new(s, i))))
+    d = d.withColumn("_good", F.filter("_one", lambda s: finite(s) & (s["end"] - s["start"] > 0)))
+    d = d.withColumn("_steps", F.transform("_good", lambda s, i: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), F.when(i > 0, F.get(F.col("_good"), i - 1)["end"]).alias("before"))))
+    issue = lambda code, k, severity="error": F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), k.cast("int").alias("k"))
+    each = lambda name, code, test, severity="error": F.transform(F.filter(name, lambda s: F.coalesce(test(s), F.lit(False))), lambda s: issue(code, s["k"], severity))
+    short = F.filter(F.array(issue("INCOMPLETE_DEFINITIONS", F.lit(None))), lambda _: F.coalesce(F.size("_all") != F.col(count), F.lit(False)))
+    found = F.concat(
+        short, F.transform(_repeated("_ks"), lambda k: issue("DUPLICATE_INDEX", k)), each("_one", "NON_FINITE_GEOMETRY", lambda s: ~finite(s)), each("_one", "NON_POSITIVE_EXTENT", lambda s: finite(s) & (s["end"] - s["start"] <= 0)),
+        each("_steps", "OUTSIDE_TABLE_BOUNDS", lambda s: (s["start"] < F.col(low) - tolerance) | (s["end"] > F.col(high) + tolerance)), each("_steps", "NON_MONOTONIC_GEOMETRY", lambda s: s["start"] < s["before"] - tolerance),
+        each("_steps", "BOUNDARY_GAP", lambda s: F.abs(s["start"] - s["before"]) > tolerance, "warning"))
+    return d.select(*keys, _each(found)).where("code is not null")
 
 
 def axis_score(issues: DataFrame, tables_: DataFrame, segments: DataFrame, keys: list[str], count: str) -> DataFrame:

@@ -101,7 +101,7 @@ SELECT page_number, block_number, line_index, span_index, text FROM span s WHERE
 
 
 def _grid(spark, sf_dir):
-    t, c = T._inputs(spark, sf_dir)
+    t, c = T._inputs(spark, sf_dir, "l_orderkey")
     c = c.withColumns({"confidence": F.lit(0.9), "borders": F.col("cell").cast("string"), "text": F.lit("x")})
     return t, c
 

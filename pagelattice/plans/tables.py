@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions.geometry import Box
 from pagelattice.operators import tables
-from pagelattice.sources.bridge import duckdb, view
+from pagelattice.sources.bridge import dealt, duckdb, view
 
 _KEY = ["table_id"]
 # A table per order that has lines: 3 x 3 cells of 80 x 30 points at (10, 20); line numbers pick cells.
@@ -18,12 +18,16 @@ GRID_CELLS = """SELECT l_orderkey AS table_id, l_partkey AS cell, CAST((l_linenu
   l_returnflag = 'R' AS synthetic, l_linestatus = 'O' AS has_content, CASE WHEN l_partkey % 6 = 0 THEN l_discount * 10 END AS merge_confidence FROM lineitem"""
 
 
-def _table(spark, sf_dir, text):
-    return spark.sql(text.replace('"', "`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=view(spark, sf_dir, "lineitem"))
+def _table(spark, sf_dir, text, key=None):
+    """Rows made of lines by SQL; lines are dealt by a key, if one is given, over partitions in proportion to them."""
+    lines = view(spark, sf_dir, "lineitem")
+    if key:
+        lines = dealt(spark, sf_dir, lines, key)
+    return spark.sql(text.replace('"', "`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
 
 
-def _inputs(spark, sf_dir):
-    return _table(spark, sf_dir, GRID_TABLES), _table(spark, sf_dir, GRID_CELLS)
+def _inputs(spark, sf_dir, key=None):
+    return _table(spark, sf_dir, GRID_TABLES, key), _table(spark, sf_dir, GRID_CELLS, key)
 
 
 _WITH = f"WITH tb AS ({GRID_TABLES}), c AS ({GRID_CELLS})"
@@ -34,7 +38,7 @@ owned AS (SELECT table_id, row, col, count(*) AS n FROM pos GROUP BY ALL)"""
 
 
 def grid_boundaries(spark, sf_dir):
-    t, c = _inputs(spark, sf_dir)
+    t, c = _inputs(spark, sf_dir, "l_orderkey")
     rows = tables.boundaries(c, t, _KEY, "row_index", "row_span", "top", "bottom", "row_count", ("top", "bottom"))
     cols = tables.boundaries(c, t, _KEY, "column_index", "column_span", "left", "right", "column_count", ("left", "right"))
     return rows.withColumn("axis", F.lit("row")).unionByName(cols.withColumn("axis", F.lit("column"))).select("table_id", "axis", F.col("k").cast("int").alias("k"), "position", "confidence", "uniform")
@@ -56,7 +60,7 @@ GRID_BOUNDARIES = _WITH + ", " + _axis("row", "row_index", "row_span", "top", "b
 
 
 def grid_missing(spark, sf_dir):
-    t, c = _inputs(spark, sf_dir)
+    t, c = _inputs(spark, sf_dir, "l_orderkey")
     return tables.missing(t, c.where("row_index + row_span <= 3 and column_index + column_span <= 3"), _KEY).select("table_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
@@ -64,7 +68,7 @@ GRID_MISSING = _WITH + _POS + " SELECT table_id, CAST(row AS INT) AS row, CAST(c
 
 
 def grid_ownership_issues(spark, sf_dir):
-    t, c = _inputs(spark, sf_dir)
+    t, c = _inputs(spark, sf_dir, "l_orderkey")
     return tables.ownership(t, c, _KEY).select("table_id", "code", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
@@ -168,9 +172,9 @@ SELECT c.page_number, cell, span, cl, l FROM c JOIN s ON c.page_number = s.page_
   OR greatest(least(r, cr) - greatest(l, cl), CAST(0 AS DOUBLE)) * greatest(least(b, cb) - greatest(t, ct), CAST(0 AS DOUBLE)) / greatest((r - l) * (b - t), CAST(1 AS DOUBLE)) >= CAST(0.55 AS DOUBLE))"""
 
 def _segments(spark, sf_dir):
-    t = _table(spark, sf_dir, GRID_TABLES)
+    t = _table(spark, sf_dir, GRID_TABLES, "l_orderkey")
     seg = "SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS INT) AS k, CAST(20 + 30 * (l_linenumber - 1) + l_partkey % 4 AS DOUBLE) AS start, CAST(20 + 30 * l_linenumber - l_suppkey % 33 AS DOUBLE) AS \"end\" FROM lineitem"
-    return t, _table(spark, sf_dir, seg)
+    return t, _table(spark, sf_dir, seg, "l_orderkey")
 
 
 def row_issues(spark, sf_dir):

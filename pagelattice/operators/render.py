@@ -42,15 +42,23 @@ def strategy(kind: Column, category: Column, role: Column, confidence: Column, r
 def suppress(items: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """items whose paragraphs are at least 0.85 inside a table, image or chart become skip, with covered_by.
 
-    Headers and footers are exempt. covered_by is the first such item by id.
+    Headers and footers are exempt. covered_by is the first such item by id. Each item meets its page's covers as
+    an array, so that items dealt by page aren't shuffled again.
     """
-    cover = items.where(F.col("kind").isin("table", "image", "chart") & (F.col("disposition") != "skip")).select(*keys, F.col(id_col).alias("_c"), *(F.col(n).alias(f"c_{n}") for n in Box._fields))
-    text = items.where((F.col("kind") == "paragraph") & (F.col("disposition") != "skip") & ~F.col("role").isin("header", "footer"))
-    p, c = Box.of(), Box.of("c_")
+    known = F.lit(True)
+    for k in (*keys, id_col):
+        known = known & F.col(k).isNotNull()
+    whole = known & (F.col("disposition") != "skip")
+    cover = F.when(whole & F.col("kind").isin("table", "image", "chart"), F.struct(F.col(id_col).alias("_c"), *Box._fields))
+    p = Box.of()
     size = p.width * p.height
-    hits = text.join(cover, keys).where((size > 0) & (intersection_area(p, c) / F.nullif(size, F.lit(0.0)) >= COVERED)).groupBy(*keys, id_col).agg(F.min("_c").alias("covered_by"))
-    joined = items.join(hits, [*keys, id_col], "left")
-    return joined.withColumn("disposition", F.when(F.col("covered_by").isNotNull(), "skip").otherwise(F.col("disposition")))
+    inside = lambda c: F.coalesce((size > 0) & (intersection_area(p, Box(*(c[n] for n in Box._fields))) / F.nullif(size, F.lit(0.0)) >= COVERED), F.lit(False))
+    text = whole & (F.col("kind") == "paragraph") & ~F.col("role").isin("header", "footer")
+    d = items.withColumn("_covers", F.collect_list(cover).over(Window.partitionBy(*keys)))
+    d = d.withColumn("_by", F.when(text, F.array_min(F.transform(F.filter("_covers", inside), lambda c: c["_c"])))).drop("_covers")
+    # of rows with one id all go with one that is covered
+    d = d.withColumn("covered_by", F.when(known, F.min("_by").over(Window.partitionBy(*keys, id_col)))).drop("_by")
+    return d.withColumn("disposition", F.when(F.col("covered_by").isNotNull(), "skip").otherwise(F.col("disposition")))
 
 
 def compatible(a: str, b: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions.geometry import Box
 from pagelattice.operators import layout, paragraphs, render
-from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, duckdb, view
+from pagelattice.sources.bridge import PAGE_HEIGHT, PAGE_WIDTH, dealt, duckdb, view
 
 _DP = ["doc_id", "page_number"]
 
@@ -119,7 +119,7 @@ def page_size_groups(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    v = view(spark, sf_dir, "vector")
+    v = dealt(spark, sf_dir, view(spark, sf_dir, "vector"), "page_number")
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "paragraph", "table", "image", "paragraph", "chart", "vector"))), ((F.col("box_id") - 1) % 7 + 1).cast("int"))
     role = F.when(F.col("t") < 40, "header").when(F.col("t") > 660, "footer").when(F.col("l") > 300, "column").otherwise("body")
     v = v.select("page_number", "box_id", kind.alias("kind"), role.alias("role"), F.col("l").alias("left"), F.col("t").alias("top"), F.when(kind == "paragraph", F.col("r")).otherwise(F.col("r") + 150).alias("right"), F.when(kind == "paragraph", F.col("b")).otherwise(F.col("b") + 150).alias("bottom"), F.col("drawing_type").alias("category"))

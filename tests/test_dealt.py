@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.operators import tables
 from pagelattice.plans import documents
@@ -15,7 +16,7 @@ given = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's t
 
 
 @given
-@pytest.mark.parametrize("name", ["reconstructed_tables", "reconstructed_cells", "snapped_cells", "grid_ownership_issues", "row_issues"])
+@pytest.mark.parametrize("name", ["reconstructed_tables", "reconstructed_cells", "snapped_cells", "grid_ownership_issues", "row_issues", "render_actions", "list_marker_styles"])
 def test_partitions_grow_with_rows(spark, monkeypatch, name):
     monkeypatch.setattr(bridge, "ROWS", 500)
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
@@ -47,3 +48,13 @@ def test_boundaries_of_an_axis(spark):
     got = sorted(map(tuple, tables.boundaries(c, t, ["t"], "i", "s", "a", "z", "n", ("lo", "hi")).collect()))
     one = [(1, 0, 0.0, 0.95, False), (1, 1, 11.5, 0.7, False), (1, 2, 20.0, 0.95, False), (1, 3, 30.0, 0.6, False), (1, 4, 40.0, 0.95, False)]
     assert got == one + [(2, k, None, 0.4, True) for k in range(3)] + [(3, 0, 1.0, 0.95, False)] + [(4, 0, 0.0, 0.4, True), (4, 1, 0.25, 0.4, True), (4, 2, 0.5, 0.4, True)]
+
+
+def test_suppressed_by_id(spark):
+    from pagelattice.operators import render
+
+    rows = [(1, 5, "table", "body", "editable", 0.0, 0.0, 9.0, 9.0), (1, 2, "image", "body", "visual", 0.0, 0.0, 9.0, 9.0), (1, 7, "paragraph", "body", "editable", 1.0, 1.0, 2.0, 2.0), (1, 7, "paragraph", "header", "editable", 1.0, 1.0, 2.0, 2.0),
+            (None, 8, "image", "body", "visual", 0.0, 0.0, 9.0, 9.0), (None, 9, "paragraph", "body", "editable", 1.0, 1.0, 2.0, 2.0)]
+    items = spark.createDataFrame(rows, "page int, id int, kind string, role string, disposition string, left double, top double, right double, bottom double")
+    got = render.suppress(items, ["page"], "id")
+    assert sorted((r.id, r.role, r.covered_by, r.disposition) for r in got.where(F.col("kind") == "paragraph").collect()) == [(7, "body", 2, "skip"), (7, "header", 2, "skip"), (9, "body", None, "editable")]

@@ -68,11 +68,11 @@ def marker_styles(spans: DataFrame, keys: list[str], marker: str = "marker") ->
     text = strip(F.coalesce("text", F.lit("")))
     own = (F.coalesce(strip(marker), F.lit("")) != "") & (text == strip(marker))
     at = F.struct("line_index", "left", "span_index")
-    style = F.struct(font_family("font").alias("font"), word_font_size(F.col("font_size")).alias("size"))
+    style = F.struct("font", "font_size")  # named and rounded once a list item, not once a span
     s = spans.withColumns({"_seen": text != "", "_own": F.coalesce(own, F.lit(False)), "_at": at, "_style": style})
     g = s.groupBy(*keys).agg(
         F.min_by("_style", F.when(F.col("_seen") & ~F.col("_own"), F.col("_at"))).alias("first"), F.count_if(F.col("_seen") & ~F.col("_own")).alias("n"), F.max_by("_style", F.when(F.col("_seen"), F.col("_at"))).alias("last"), F.count_if("_seen").alias("seen"))
-    return g.select(*keys, F.when(F.col("n") > 0, F.col("first.font")).otherwise("Arial").alias("font"), F.when(F.col("n") > 0, F.col("first.size")).when(F.col("seen") > 0, F.col("last.size")).otherwise(11.0).alias("font_size"))
+    return g.select(*keys, F.when(F.col("n") > 0, font_family(F.col("first.font"))).otherwise("Arial").alias("font"), F.when(F.col("n") > 0, word_font_size(F.col("first.font_size"))).when(F.col("seen") > 0, word_font_size(F.col("last.font_size"))).otherwise(11.0).alias("font_size"))
 
 
 def merge_attempts(cells: DataFrame, keys: list[str]) -> DataFrame:

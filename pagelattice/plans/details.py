@@ -81,7 +81,7 @@ _MARKED = """SELECT l_orderkey AS page_number, row_number() OVER (PARTITION BY l
 
 
 def list_marker_styles(spark, sf_dir):
-    return lookups.marker_styles(T._table(spark, sf_dir, _MARKED), _PAGE).withColumn("font_size", F.round("font_size", 6))
+    return lookups.marker_styles(T._table(spark, sf_dir, _MARKED, "l_orderkey"), _PAGE).withColumn("font_size", F.round("font_size", 6))
 
 
 LIST_MARKER_STYLES = f"""WITH s AS (SELECT *, trim(text) <> '' AS seen, trim(text) = coalesce(marker, '') AS own, CASE font WHEN 'Symbol' THEN 'Symbol' ELSE 'plain Face' END AS fam, floor(greatest(font_size, CAST(0.5 AS DOUBLE)) * 2 + CAST(0.5 AS DOUBLE)) / 2 AS size FROM ({_MARKED})),

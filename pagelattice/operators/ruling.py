@@ -1,9 +1,10 @@
 """Tables from ruling lines: segments, corners, lattice cells, tables with indices, text and outside items.
 
 Everything is keyed by page. Crossings come from a sorted sweep that gives each horizontal line the
-stretch of vertical positions it spans, and an equi-join on position; cells from the next corner to
-the right and below, which an equi-join closes; items meet cells by squares of the page. None of them
-compares all pairs of a page.
+stretch of vertical ones it spans; cells from the next corner to the right and below and the place where
+these would close. What meets at a rank or a place does so as a group of it, not by joins, so that lines dealt
+by page are dealt once, over as many partitions as the caller chooses. Items meet cells by squares of the page.
+None of them compares all pairs of a page.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ def rulings(lines: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*side).orderBy("at")
     s = lines.where("end >= start").withColumn("_new", F.when(F.col("at") - F.lag("at").over(w) <= SNAP, 0).otherwise(1))
     s = s.withColumn("line", F.sum("_new").over(w))  # equal positions are peers, so they are on one line
-    s = s.withColumn("at", F.avg("at").over(Window.partitionBy(*side, "line")))
     v = Window.partitionBy(*side, "line").orderBy("start", "end")
     reach = F.max("end").over(v.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("_new", F.when(F.col("start") <= reach + JOIN, 0).otherwise(1))
+    mean = F.avg("at").over(v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    s = s.withColumns({"at": mean, "_new": F.when(F.col("start") <= reach + JOIN, 0).otherwise(1)})
     s = s.withColumn("_part", F.sum("_new").over(v))
     joined = s.groupBy(*side, "line", "_part").agg(F.min("at").alias("at"), F.min("start").alias("start"), F.max("end").alias("end"))
     seg = F.shiftleft(F.col("line").cast("long"), 32) + F.col("_part")
@@ -64,22 +65,22 @@ def rulings(lines: DataFrame, keys: list[str]) -> DataFrame:
 def corners(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Crossings of rulings(): keys, h, v (the segments), x, y.
 
-    One sorted pass over the positions of vertical lines and the ends of horizontal ones tells each
-    of the latter the ranks of the positions between its ends.
+    One sorted pass over the vertical segments and the ends of horizontal ones tells each of the latter the
+    ranks of the segments between its ends, and both meet as the group of a rank.
     """
-    across, down = lines.where("horizontal"), lines.where("not horizontal")
-    place = down.select(*keys, "line", "at").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("line")))
-    blank = F.lit(None)
-    marks = place.select(*keys, F.col("at").alias("pos"), F.lit(1).alias("kind"), *(blank.cast(t).alias(c) for c, t in (("h", "long"), ("y", "double"))))
-    ends = across.select(*keys, F.col("seg").alias("h"), F.col("at").alias("y"), F.inline(F.array(
-        F.struct((F.col("start") - CROSS).alias("pos"), F.lit(0).alias("kind")), F.struct((F.col("end") + CROSS).alias("pos"), F.lit(2).alias("kind")))))
-    w = Window.partitionBy(*keys).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = marks.unionByName(ends).withColumn("seen", F.count_if(F.col("kind") == 1).over(w)).where("kind <> 1")
-    # positions seen by the end, less those seen by the start, lie between
-    spans = swept.groupBy(*keys, "h", "y").agg((F.min("seen") + 1).alias("low"), F.max("seen").alias("high")).where("low <= high")
-    reached = spans.select(*keys, "h", "y", F.explode(F.transform(F.sequence("low", "high"), lambda k: k.cast("int"))).alias("rank"))
-    stands = down.join(place.select(*keys, "line", "rank"), [*keys, "line"]).select(*keys, "rank", F.col("seg").alias("v"), F.col("at").alias("x"), "start", "end")
-    met = reached.join(stands, [*keys, "rank"]).where(F.col("y").between(F.col("start") - CROSS, F.col("end") + CROSS))
+    mark = lambda pos, kind: F.struct(pos.alias("pos"), F.lit(kind).alias("kind"))
+    ends = F.array(mark(F.col("start") - CROSS, 0), mark(F.col("end") + CROSS, 2))
+    one = [*keys, "horizontal", "seg", "at", "start", "end"]
+    marks = lines.dropna(subset=keys).select(*one, F.inline(F.when(F.col("horizontal"), ends).otherwise(F.array(mark(F.col("at"), 1)))))
+    w = Window.partitionBy(*keys).orderBy("pos", "kind", "seg").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.withColumn("seen", F.count_if(F.col("kind") == 1).over(w))
+    # segments seen by the end, less those seen by the start, lie between; an upright one is the last of those seen with it
+    spans = swept.groupBy(*one).agg(F.min("seen").alias("low"), F.max("seen").alias("high"))
+    ranks = F.when(~F.col("horizontal"), F.array("low")).when(F.col("low") < F.col("high"), F.sequence(F.col("low") + 1, F.col("high")))
+    across, down = F.struct(F.col("seg").alias("h"), F.col("at").alias("y")), F.struct(F.col("seg").alias("v"), F.col("at").alias("x"), "start", "end")
+    reached = spans.select(*one, F.explode(ranks).alias("rank")).groupBy(*keys, "rank").agg(
+        F.first(F.when(~F.col("horizontal"), down), True).alias("_v"), F.collect_list(F.when(F.col("horizontal"), across)).alias("_h"))
+    met = reached.select(*keys, "_v.*", F.inline("_h")).where(F.col("y").between(F.col("start") - CROSS, F.col("end") + CROSS))
     return met.select(*keys, "h", "v", "x", "y")
 
 

@@ -15,7 +15,7 @@ from pagelattice.plans import lines as L
 from pagelattice.plans import styles
 from pagelattice.plans import tables as T
 from pagelattice.sources import word
-from pagelattice.sources.bridge import duckdb, view
+from pagelattice.sources.bridge import dealt, duckdb, view
 
 _PAGE = ["page_number"]
 _D = "AS DOUBLE)"
@@ -29,9 +29,13 @@ SPANS = f"""SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS page_number, l_order
   CAST(40 + l_partkey * 13 % 200 {_D} AS "left", CAST(50 + l_suppkey * 17 % 120 {_D} AS top, CAST(48 + l_partkey * 13 % 200 {_D} AS "right", CAST(56 + l_suppkey * 17 % 120 {_D} AS bottom FROM lineitem"""
 
 
+# Segments of a line item's drawings, about; dealt by page, all that follows stays in the tasks where they are.
+_WEIGHT = 2.5
+
+
 def _corners(spark, sf_dir):
-    drawn = T._table(spark, sf_dir, DRAWINGS)
-    return ruling.corners(ruling.rulings(ruling.segments(drawn, _PAGE), _PAGE), _PAGE)
+    drawn = ruling.segments(T._table(spark, sf_dir, DRAWINGS), _PAGE)
+    return ruling.corners(ruling.rulings(dealt(spark, sf_dir, drawn, *_PAGE, weight=_WEIGHT), _PAGE), _PAGE)
 
 
 def ruling_corners(spark, sf_dir):

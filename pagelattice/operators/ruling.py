@@ -84,6 +84,22 @@ def corners(lines: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, "h", "v", "x", "y")
 
 
+def _asked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (own, and q: places h, v), once for each place asked, with at: x and y of the corner that is there. A corner
+    asks for itself and has closed null."""
+    own = ["h", "v", "x", "y", "right", "bottom", "closed"]
+    met = rows.groupBy(*keys, "q").agg(F.first(F.when(F.col("closed").isNull(), F.struct("x", "y")), True).alias("at"), F.collect_list(F.struct(*own)).alias("of"))
+    return met.select(*keys, "at", F.inline("of"))
+
+
+def _beyond(rows: DataFrame, keys: list[str], line: str, by: str, other: str, name: str) -> DataFrame:
+    """rows with name: for those not closed, the other lines that cross theirs beyond them."""
+    own = [c for c in rows.columns if c not in keys]
+    met = rows.groupBy(*keys, line).agg(F.collect_list(F.when(F.col("closed").isNull(), F.struct(by, other))).alias("line"), F.collect_list(F.struct(*own)).alias("of"))
+    found = lambda o: F.when(~o["closed"], F.transform(F.filter("line", lambda p: p[by] > o[by]), lambda p: p[other]))
+    return met.select(*keys, F.inline(F.transform("of", lambda o: F.struct(*(o[c].alias(c) for c in own), found(o).alias(name)))))
+
+
 def cells(points: DataFrame, keys: list[str]) -> DataFrame:
     """The smallest closed rectangle right and below each corner: keys, left, top, right, bottom.
 
@@ -91,22 +107,25 @@ def cells(points: DataFrame, keys: list[str]) -> DataFrame:
     nearest right side, counts. Mostly these are the next corner on the line from which another line goes down
     and the next below from which one goes right; where those two don't close, all others are tried.
     """
-    along, upright = Window.partitionBy(*keys, "h"), Window.partitionBy(*keys, "v")
-    c = points.withColumns({"_right": F.max("x").over(along) > F.col("x"), "_down": F.max("y").over(upright) > F.col("y")})
-    before = lambda w, by: w.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumns({
-        "_r": F.last(F.when(F.col("_down"), F.struct("x", "v")), True).over(before(along, "x")),
-        "_b": F.last(F.when(F.col("_right"), F.struct("y", "h")), True).over(before(upright, "y"))})
-    start = c.where("_r is not null and _b is not null")
-    fourth = points.select(*keys, F.col("h").alias("_bh"), F.col("v").alias("_rv"), F.lit(True).alias("_closed"))
-    first = start.select(*keys, "h", "v", "x", "y", F.col("_r.x").alias("right"), F.col("_b.y").alias("bottom"), F.col("_r.v").alias("_rv"), F.col("_b.h").alias("_bh")).join(fourth, [*keys, "_bh", "_rv"], "left")
-    open_ = first.where("_closed is null").select(*keys, "h", "v", "x", "y")
-    rights = c.where("_down").select(*keys, "h", F.col("x").alias("right"), F.col("v").alias("_rv"))
-    belows = c.where("_right").select(*keys, "v", F.col("y").alias("bottom"), F.col("h").alias("_bh"))
-    wider = open_.join(rights, [*keys, "h"]).where("right > x").join(belows, [*keys, "v"]).where("bottom > y").join(fourth, [*keys, "_bh", "_rv"])
-    sides = [*keys, "x", "y", "right", "bottom"]
-    every = first.where("_closed").select(*sides).unionByName(wider.select(*sides))
-    best = every.groupBy(*keys, "x", "y").agg(F.min(F.struct("bottom", "right")).alias("to"))
+    before = lambda line, by: Window.partitionBy(*keys, line).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    along, upright = before("h", "x"), before("v", "y")
+    c = points.dropna(subset=keys).withColumn("_right", F.max("x").over(along) > F.col("x"))
+    c = c.withColumns({"_down": F.max("y").over(upright) > F.col("y"), "_b": F.last(F.when(F.col("_right"), F.struct("y", "h")), True).over(upright)})
+    c = c.withColumn("_r", F.last(F.when(F.col("_down"), F.struct("x", "v")), True).over(along))
+    place = lambda h, v: F.struct(h.alias("h"), v.alias("v"))
+    ask = lambda q, right, bottom, closed: F.struct(q.alias("q"), right.cast("double").alias("right"), bottom.cast("double").alias("bottom"), closed.cast("boolean").alias("closed"))
+    none, own = F.lit(None), place(F.col("h"), F.col("v"))
+    next_two = F.when(F.col("_r").isNotNull() & F.col("_b").isNotNull(), F.array(ask(place(F.col("_b.h"), F.col("_r.v")), F.col("_r.x"), F.col("_b.y"), F.lit(False))))
+    asks = F.concat(F.array(ask(own, none, none, none)), F.coalesce(next_two, F.array()))
+    first = _asked(c.select(*keys, "h", "v", "x", "y", F.inline(asks)), keys)
+    closes = F.col("at").isNotNull() & (F.col("right") > F.col("x")) & (F.col("bottom") > F.col("y"))
+    first = first.withColumn("closed", F.when(F.col("closed").isNotNull(), closes)).drop("at")
+    wider = _beyond(_beyond(first, keys, "h", "x", "v", "_rights"), keys, "v", "y", "h", "_belows")
+    every = F.flatten(F.transform("_rights", lambda v: F.transform("_belows", lambda h: place(h, v))))
+    wider = wider.withColumn("q", F.explode(F.when(F.col("closed") == False, every).otherwise(F.array(own)))).drop("_rights", "_belows")  # noqa: E712
+    found = _asked(wider, keys).where("closed or (not closed and at is not null)")
+    to = F.when(F.col("closed"), F.struct("bottom", "right")).otherwise(F.struct(F.col("at.y").alias("bottom"), F.col("at.x").alias("right")))
+    best = found.groupBy(*keys, "x", "y").agg(F.min(to).alias("to"))
     return best.select(*keys, F.col("x").alias("left"), F.col("y").alias("top"), F.col("to.right").alias("right"), F.col("to.bottom").alias("bottom"))
 
 

@@ -9,6 +9,8 @@ None of them compares all pairs of a page.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +131,13 @@ def cells(points: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("x").alias("left"), F.col("y").alias("top"), F.col("to.right").alias("right"), F.col("to.bottom").alias("bottom"))
 
 
-def tables(found: DataFrame, keys: list[str]) -> DataFrame:
+def tables(found: DataFrame, keys: list[str], deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Cells of tables: keys, table_index, row_index, column_index, row_span, column_span, box.
 
     Cells that share a corner are of one table, and a table has at least two. Tables are numbered from 0 by their
     first cell from the top and the left; rows are the distinct tops of its cells, columns the distinct left
     edges. Leading and trailing rows of a single cell over nearly the whole width are text that was
-    taken in, and go.
+    taken in, and go. deal, if given, deals rows by keys (see map_groups).
     """
     types = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "left double", "top double", "right double", "bottom double", "table_index int"])
@@ -161,7 +163,8 @@ def tables(found: DataFrame, keys: list[str]) -> DataFrame:
                 yield {**r, "table_index": number[find(k)]}
 
     own = [*keys, "table_index"]
-    c = map_groups(found.select(*keys, "left", "top", "right", "bottom"), keys, ["top", "left"], joined, schema)
+    c = map_groups(found.select(*keys, "left", "top", "right", "bottom"), keys, ["top", "left"], joined, schema, deal)
+    c = deal(c) if deal else c
     t = Window.partitionBy(*own)
     lone = (F.count("*").over(Window.partitionBy(*own, "top")) == 1) & (F.col("right") - F.col("left") >= WRAPPER * F.greatest(F.max("right").over(t) - F.min("left").over(t), F.lit(1.0)))
     c = without_wrappers(c, own, "top", lone)

@@ -12,7 +12,7 @@ from pagelattice.sources import bridge
 
 DATA = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
-RULED = ["ruling_corners", "ruled_cells"]
+RULED = ["ruling_corners", "ruled_cells", "ruled_tables"]
 
 
 @given

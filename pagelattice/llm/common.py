@@ -150,6 +150,20 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[one] & bits[two]
 
 
+def parted(df: DataFrame, col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose whole number in col may be one of ids, a table of one column, and the rows that surely have
+    none, by a Bloom filter: only the first need be shuffled to be joined with ids. A null is none."""
+    bits = df.sparkSession.sparkContext.broadcast(bloom(ids, ids.columns[0]))
+
+    @F.arrow_udf("boolean")
+    def maybe(keys: pa.Array) -> pa.Array:
+        hit = maybe_in(bits.value, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.array(hit & keys.is_valid().to_numpy(zero_copy_only=False))
+
+    found = maybe(F.col(col).cast("long"))
+    return df.where(found), df.where(~found)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component = smallest node.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import bloom, components, cut, discard, map_arrow, maybe_in, mix64, partitions, shingle_hashes, word_hashes, words_of
+from pagelattice.llm.common import bloom, components, cut, discard, map_arrow, maybe_in, mix64, parted, partitions, shingle_hashes, word_hashes, words_of
 from pagelattice.llm.neardup import confirm, hot_values, meeting_pairs, unmet
 
 WORDS, WINDOW, SHORTEST = 25, 12, 25
@@ -352,17 +352,19 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the removed passages cut out of their texts, and length_col set anew where a text
     changed. All rows and columns stay; a text may become empty. Rows that share an id lose what is
-    repeated in their own text."""
-    gone = passages(docs, id_col, text_col).where("removed").groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
+    repeated in their own text. Texts that lose nothing are not shuffled."""
+    removed = passages(docs, id_col, text_col).where("removed")
+    some, others = parted(docs, id_col, removed.select("doc_id"))
+    gone = removed.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
     mine = (F.col(id_col) == F.col("_id")) & ((F.col("_version") == 0) | (F.col("_version") == F.xxhash64(text_col)))
-    joined = docs.join(gone.withColumnsRenamed({"doc_id": "_id", "version": "_version"}), mine, "left")
+    joined = some.join(gone.withColumnsRenamed({"doc_id": "_id", "version": "_version"}), mine, "left")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     part = lambda a, b: F.substring(F.col(text_col), a + 1, b - a)
     kept = F.aggregate("_gone", start, lambda acc, g: F.struct(F.concat(acc["text"], part(acc["at"], g["start"])).alias("text"), g["end"].alias("at")), lambda acc: F.concat(acc["text"], part(acc["at"], F.lit(2**31 - 1))))
     out = joined.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("_gone").isNull(), F.col(length_col)).otherwise(F.char_length("_text").cast(docs.schema[length_col].dataType)))
-    return out.withColumn(text_col, F.col("_text")).select(*docs.columns)
+    return out.withColumn(text_col, F.col("_text")).select(*docs.columns).unionByName(others)
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:

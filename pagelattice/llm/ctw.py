@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import cut, discard, map_arrow, word_hashes, words_of
+from pagelattice.llm.common import cut, discard, map_arrow, partitions, word_hashes, words_of
 
 DEPTH = 5
 #: Bytes of the texts of a block, about, and of the slices that it is handled in.
-BLOCK, PIECE = 16 << 20, 1 << 20
-#: Strings that are held unmerged.
-HELD = 1 << 20
+BLOCK, PIECE = 16 << 20, 1 << 18
+#: Strings that are held unmerged, and those of subtrees that are worked out at a time, about.
+HELD, LOT = 1 << 16, 1 << 17
 _BELOW = DEPTH - 2
 _END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 _LN2 = np.log(2.0)
@@ -78,13 +78,13 @@ def _summed(keys: np.ndarray, values: np.ndarray):
 class Merged:
     """Sums of values by key, from many parts."""
 
-    def __init__(self, kind=np.int64):
-        self.parts, self.size, self.kind = [], 0, kind
+    def __init__(self, kind=np.int64, held: int | None = None):
+        self.parts, self.size, self.kind, self.held = [], 0, kind, HELD if held is None else held
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.parts.append((keys, values))
         self.size += len(keys)
-        if len(self.parts) > 1 and self.size > 2 * len(self.parts[0][0]) + HELD:
+        if len(self.parts) > 1 and self.size > len(self.parts[0][0]) * 3 // 2 + self.held:
             self.all()
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +95,38 @@ class Merged:
         return parts[0]
 
 
+class Ranged:
+    """Sums of values by string. Strings with the same byte before last are merged apart from others, so
+    that a merge needs little beside what is held."""
+
+    def __init__(self):
+        self.of: dict[int, Merged] = {}
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys are sorted."""
+        first = np.flatnonzero(np.diff(keys >> 40, prepend=-1))
+        for s, e in zip(first, np.append(first, len(keys))[1:], strict=True):
+            of = self.of.setdefault(int(keys[s] >> 40), Merged(held=HELD // 8))
+            of.add(keys[s:e].copy(), values[s:e].astype(np.int32))
+
+    def all(self):
+        """(keys, values) of one range after the other; none is held any more."""
+        for k in sorted(self.of):
+            yield self.of.pop(k).all()
+
+
+def _lots(sizes: list[int]):
+    """(first, end) of numbers in a row whose sizes are LOT together, or of one that is larger."""
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and size + n > LOT:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if sizes:
+        yield first, len(sizes)
+
+
 def pack(x: np.ndarray) -> bytes:
     """Bytes by place, so that high bytes, which are alike, stand together."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
@@ -225,12 +257,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, schema = TaskContext.get().partitionId(), 0, None
 
         def block(ids, train, streams, id_type):
+            nonlocal schema
             schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("g", pa.int32()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
             name, learn = f"{task}-{made}", np.array(train)
-            held, held_words = Merged(), Merged()
+            held, held_words = Ranged(), Merged()
             strings = Strings(streams)
             for text, code in strings.slices():
                 ok = learn[text]
@@ -246,15 +279,18 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held_words.add(rest, np.zeros(len(rest), np.int64))
             blob = zstandard.ZstdCompressor(level=1).compress(b"".join(streams))
             yield _rows({"block": [name], "kind": [0], "g": [0], "ids": [ids], "sizes": [pack(strings.sizes)], "a": [blob], "b": [None]}, schema)
-            codes, n = held.all()
+            for codes, n in held.all():
+                yield from questions(name, 1, codes >> 32, (codes & 0xFFFFFFFF).astype(np.uint32), n)
             words, m = held_words.all()
             order = np.argsort(words & 255, kind="stable")
-            for which, keys, values, group, rest in ((1, codes, n, codes >> 32, (codes & 0xFFFFFFFF).astype(np.uint32)), (2, words[order], m[order], words[order] & 255, words[order])):
-                start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-                stop = np.append(start[1:], len(keys))
-                rows = {"block": [name] * len(start), "kind": [which] * len(start), "g": group[start], "ids": [None] * len(start), "sizes": [None] * len(start)}
-                rows["a"], rows["b"] = [pack(rest[s:e]) for s, e in zip(start, stop, strict=True)], [pack(values[s:e]) for s, e in zip(start, stop, strict=True)]
-                yield _rows(rows, schema)
+            yield from questions(name, 2, words[order] & 255, words[order], m[order])
+
+        def questions(name, kind, group, keys, values):
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            stop = np.append(start[1:], len(keys))
+            rows = {"block": [name] * len(start), "kind": [kind] * len(start), "g": group[start], "ids": [None] * len(start), "sizes": [None] * len(start)}
+            rows["a"], rows["b"] = [pack(keys[s:e]) for s, e in zip(start, stop, strict=True)], [pack(values[s:e].astype(np.int64)) for s, e in zip(start, stop, strict=True)]
+            yield _rows(rows, schema)
 
         ids, train, streams, size, id_type = [], [], [], 0, None
         for b in batches:
@@ -310,8 +346,8 @@ def _model(asks: DataFrame) -> DataFrame:
             got = {key: m.all() for key, m in held.items()}
             strings = [(_whole(g, keys), n) for (kind, g), (keys, n) in got.items() if kind == 1]
             above = []
-            if strings:
-                parent, n0, n1, log = Subtrees(*(np.concatenate(x) for x in zip(*strings, strict=True))).roots()
+            for s, e in _lots([len(n) for _, n in strings]):
+                parent, n0, n1, log = Subtrees(*(np.concatenate(x) for x in zip(*strings[s:e], strict=True))).roots()
                 above.append((1, parent, n0.astype(np.int64), n1.astype(np.int64), log))
             above += [(2, np.zeros(1), np.array([n.sum()]), np.array([(n > 0).sum()]), np.zeros(1)) for (kind, _), (_, n) in got.items() if kind == 2]
             for (kind, g), (keys, n) in got.items():
@@ -341,8 +377,9 @@ def _answers(asks: DataFrame, model: DataFrame, above: np.ndarray) -> DataFrame:
         part, known, open_, rows, size = None, {}, False, {c: [] for c in schema.names}, 0
 
         def answered():
-            mine = [key for key in known if key[0] == 1]
-            if mine:
+            strings = [key for key in known if key[0] == 1]
+            for s, e in _lots([len(known[key][0]) for key in strings]):
+                mine = strings[s:e]
                 logs = Subtrees(np.concatenate([_whole(g, known[1, g][0]) for _, g in mine]), np.concatenate([known[k][1] for k in mine])).log10(shared.value)
                 for key, some in zip(mine, np.split(logs, np.cumsum([len(known[k][0]) for k in mine])[:-1]), strict=True):
                     known[key] = known[key][0], some.astype(np.float32)
@@ -390,19 +427,22 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     above = upper(*(top.column(c).to_numpy() for c in ("parent", "n0", "n1", "log")))
     texts = made.where("kind = 0").select("block", "kind", "g", "ids", "sizes", "a", "b")
     said = _answers(asks, model, above).select("block", "kind", "g", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("sizes"), "a", "b")
-    met = texts.union(said).repartition("block").sortWithinPartitions("block", "kind", "g")
+    # more partitions than blocks, so that few get several, as Spark makes one batch of all their rows
+    met = texts.union(said).repartition(2 * partitions(asks), "block").sortWithinPartitions("block", "kind", "g")
     base = np.log10(float(n + v + 1))
 
     def run(batches):
         def done(text, held):
-            ids, sizes = text["ids"].values, unpack(text["sizes"].as_buffer(), np.int64)
+            ids, sizes, blob = text
             codes, logs = (np.concatenate(held[1][k]) for k in (0, 1))
             words, counts = (np.concatenate(held[2][k]) for k in (0, 1))
+            held.clear()
             order = np.argsort(words, kind="stable")
             words, counts = words[order], counts[order]
-            raw = zstandard.ZstdDecompressor().decompress(text["a"].as_py())
+            raw = zstandard.ZstdDecompressor().decompress(blob)
             ends = np.cumsum(sizes).tolist()
             streams = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends, strict=True)]
+            del raw
             total = np.zeros(len(sizes))
             for at, code in Strings(streams).slices():
                 unique, back = np.unique(code, return_inverse=True)
@@ -424,7 +464,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             if block != now:
                 if now is not None:
                     yield done(text, held)
-                now, text, held = block, row, {1: ([], []), 2: ([], [])}
+                ids = row["ids"].values  # copied, as what is part of a batch holds all of it
+                text = pa.array(ids.to_pylist(), ids.type), unpack(row["sizes"].as_buffer(), np.int64), row["a"].as_py()
+                now, held = block, {1: ([], []), 2: ([], [])}
                 continue
             keys = unpack(row["a"].as_buffer(), _KEY[which])
             held[which][0].append(_whole(g, keys) if which == 1 else keys)

@@ -45,6 +45,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text))))
 
 
+def set_lists(sets: list[np.ndarray]) -> pa.ListArray:
+    """Sets of 64-bit hashes as a column of lists of signed numbers, in the order of the unsigned ones."""
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, print, sketch): print is equal for equal sets, null for empty ones."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -144,21 +150,13 @@ def meeting_pairs(postings: DataFrame, ratio: tuple[int, int] = SIMILAR) -> Data
 
 def compared(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
     """Pairs (a, b, similar, part) by their full sets (node, set); part is the Jaccard similarity."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-
-    def run(batches):
-        for b in batches:
-            at, similar, part = b.schema.get_field_index, [], []
-            for x, y in zip(b.column(at("sa")), b.column(at("sb")), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - both
-                similar.append(both > 0 and ratio[1] * both >= ratio[0] * either)
-                part.append(both / max(either, 1))
-            yield pa.RecordBatch.from_arrays([b.column(at("a")), b.column(at("b")), pa.array(similar, pa.bool_()), pa.array(part, pa.float64())], names=["a", "b", "similar", "part"])
-
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return map_arrow(both, run, "a long, b long, similar boolean, part double")
+    left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"), F.size("set").alias(f"n{c}")) for c in "ab")
+    # in Spark, as a batch of 10,000 rows with two sets each is too much for a worker
+    both = F.size(F.array_intersect("sa", "sb"))
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("all"))
+    either = F.col("all") - F.col("both")
+    similar = (F.col("both") > 0) & (ratio[1] * F.col("both") >= ratio[0] * either)
+    return rows.select("a", "b", similar.alias("similar"), (F.col("both") / F.greatest(either, F.lit(1))).alias("part"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -187,11 +185,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index
-            sets = [shingle_set(t).tobytes() for t in b.column(at("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(at("node")), pa.array(sets, pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(at("node")), set_lists([shingle_set(t) for t in b.column(at("text")).to_pylist()])], names=["node", "set"])
 
     texts = map_arrow(docs, wanted_rows, "node long, text string").join(wanted.hint("merge"), "node", "left_semi")
-    return cut(map_arrow(texts, run, "node long, set binary"))
+    return cut(map_arrow(texts, run, "node long, set array<bigint>"))
 
 
 def hot_values(postings: DataFrame) -> DataFrame:
@@ -259,7 +256,7 @@ def unmet(entries: DataFrame, joined: DataFrame, sets_of, ratio: tuple[int, int]
     def verify(table):
         t = table.combine_chunks()
         node, c, asks, col = t.column("node").to_numpy(), t.column("c").to_numpy(), t.column("asks").to_pylist(), t.column("set")
-        sets = {int(x): np.frombuffer(y.as_buffer(), np.uint64) for x, y in zip(node, col, strict=True)}
+        sets = {int(x): y.values.to_numpy().view(np.uint64) for x, y in zip(node, col, strict=True)}
         part, up, a, b = dict(zip(node.tolist(), c.tolist(), strict=True)), {}, [], []
 
         def root(x):

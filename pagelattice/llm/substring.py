@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import bloom, components, cut, discard, map_arrow, maybe_in, mix64, parted, partitions, shingle_hashes, word_hashes, words_of
-from pagelattice.llm.neardup import confirm, hot_values, meeting_pairs, unmet
+from pagelattice.llm.neardup import confirm, hot_values, meeting_pairs, set_lists, unmet
 
 WORDS, WINDOW, SHORTEST = 25, 12, 25
 #: Words in a row of which at least one begins a window, in sentences of more than SENTENCE words;
@@ -268,11 +268,11 @@ def _block_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
                     made = [_node(shingles[x : y - 4]) for x, y in zip(a, e, strict=True)]
                     hit = maybe_in(shared.value[0], np.array([m[0] for m in made], np.int64))
                     nodes += [m[0] for m, h in zip(made, hit, strict=True) if h]
-                    sets += [m[1].tobytes() for m, h in zip(made, hit, strict=True) if h]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                    sets += [m[1] for m, h in zip(made, hit, strict=True) if h]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), set_lists(sets)], names=["node", "set"])
 
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    return map_arrow(docs.select("doc_id", "text"), run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    return map_arrow(docs.select("doc_id", "text"), run, "node long, set array<bigint>").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _near_blocks(docs: DataFrame, blocks: DataFrame, made: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark
 
-from pagelattice.llm import ctw
+from pagelattice.llm import ctw, neardup
 
 
 def test_language_model_block(spark, monkeypatch):
@@ -36,3 +36,18 @@ def test_lots():
         lots = list(ctw._lots(sizes))
         assert [k for s, e in lots for k in range(s, e)] == list(range(len(sizes)))
         assert all(e - s == 1 or sum(sizes[s:e]) <= ctw.LOT for s, e in lots)
+
+
+def test_sets_are_compared_without_workers(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 64, 40, np.uint64)) for _ in range(3)]
+    sets += [np.union1d(sets[0], sets[1][:k]) for k in (5, 13, 14)] + [np.zeros(0, np.uint64), sets[2][:1]]
+    rows = [(k, [int(x) for x in s.view(np.int64)]) for k, s in enumerate(sets)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    got = neardup.compared(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "node long, set array<bigint>"))
+    assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        both, either = len(np.intersect1d(sets[r.a], sets[r.b])), len(np.union1d(sets[r.a], sets[r.b]))
+        assert r.similar == (both > 0 and 100 * both >= 75 * either) and abs(r.part - both / max(either, 1)) < 1e-12
+    assert [x.as_py() for x in neardup.set_lists(sets)] == [s for _, s in rows]
+    assert got.where("similar").count() > 2

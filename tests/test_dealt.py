@@ -58,3 +58,27 @@ def test_suppressed_by_id(spark):
     items = spark.createDataFrame(rows, "page int, id int, kind string, role string, disposition string, left double, top double, right double, bottom double")
     got = render.suppress(items, ["page"], "id")
     assert sorted((r.id, r.role, r.covered_by, r.disposition) for r in got.where(F.col("kind") == "paragraph").collect()) == [(7, "body", 2, "skip"), (7, "header", 2, "skip"), (9, "body", None, "editable")]
+
+
+@given
+def test_files_read_lines_once_in_tasks_that_grow(spark, monkeypatch):
+    docs = spark.createDataFrame([(3,), (7,), (11,)], "doc_id long")
+    assert not [f for df in documents._sectioned(spark, DATA, docs) for f in df.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+    monkeypatch.setattr(bridge, "ROWS", 4_000)  # 13 documents a task
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    contents = documents.docx_contents(spark, DATA)
+    assert contents.rdd.getNumPartitions() >= rows // 14
+    read = [Path(f).name for f in contents.inputFiles()]
+    assert not {"lineitem.parquet", "orders.parquet"} & set(read)
+    assert contents.count() == rows
+
+
+def test_stored_where_no_folder_is_shared(spark, monkeypatch):
+    df = spark.range(3)
+    got = bridge.stored(df)
+    assert got.columns == ["id"] and sorted(r.id for r in got.collect()) == [0, 1, 2] and got.inputFiles()
+    context = df.sparkSession.sparkContext
+    monkeypatch.setattr(context, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(context, "getConf", dict)
+    monkeypatch.setattr(context, "master", "spark://host:7077")
+    assert bridge.stored(df).inputFiles() == []
